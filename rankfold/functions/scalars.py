@@ -18,16 +18,26 @@ def ratio_or_zero(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(ratio(a, b), F.lit(0.0))
 
 
+def at_least(c: Column | str, low: float) -> Column:
+    """Lower bound that keeps nulls (`greatest` alone would skip them)."""
+    return F.when(_column(c).isNotNull(), F.greatest(_column(c), F.lit(low)))
+
+
+def at_most(c: Column | str, high: float) -> Column:
+    """Upper bound that keeps nulls."""
+    return F.when(_column(c).isNotNull(), F.least(_column(c), F.lit(high)))
+
+
 def log1p_nonnegative(c: Column | str) -> Column:
-    return F.log1p(F.greatest(_column(c), F.lit(0.0)))
+    return F.log1p(at_least(c, 0.0))
 
 
 def log10_from_one(c: Column | str) -> Column:
-    return F.log10(F.greatest(_column(c), F.lit(1.0)))
+    return F.log10(at_least(c, 1.0))
 
 
 def neg_log10_p(c: Column | str, floor: float = 1e-300) -> Column:
-    return -F.log10(F.greatest(_column(c), F.lit(floor)))
+    return -F.log10(at_least(c, floor))
 
 
 def p_label(c: Column | str) -> Column:

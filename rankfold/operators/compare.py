@@ -12,7 +12,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rankfold.functions.scalars import ratio
+from rankfold.functions.scalars import at_least, at_most, ratio
 from rankfold.functions.tails import chi2_p, coin_p, normal_p
 from rankfold.operators.metrics import score_distribution
 from rankfold.operators.ordering import Distribution, lookup
@@ -53,19 +53,19 @@ def components(wide: DataFrame, models: list[str]) -> DataFrame:
     """Structural components of each model's AUC, per row, as columns `c_<model>`.
 
     For a positive row: share of negatives it beats; for a negative row: share of positives
-    that beat it; ties count one half. Both follow from the counts below a score, so one
-    distribution over all models gives them; rows then look their values up.
+    that beat it; ties count one half. Both follow from the counts below a score. Each model
+    reads only its own column and y, and rows then look their values up model by model.
     """
-    found = score_distribution(to_long(wide, models), ["model"])
-    positive = (F.col("neg_below") + F.col("neg") / 2.0) / F.col("neg_total")
-    negative = 1 - (F.col("pos_below") + F.col("pos") / 2.0) / F.col("pos_total")
-    table = found.table.select("model", "score", positive.alias("_cp"), negative.alias("_cn"),
-                               (F.col("pos") + F.col("neg")).alias("n"),
-                               (F.col("pos_total") + F.col("neg_total")).alias("n_total"))
+    sizes = wide.agg(*[F.approx_count_distinct(m).alias(m) for m in models]).first()
 
     def one(rows: DataFrame, model: str) -> DataFrame:
-        mine = Distribution(table.filter(F.col("model") == model), (), "score", ("n",), found.distinct)
-        looked = lookup(rows, mine, {model: "score"}, ["_cp", "_cn"])
+        found = score_distribution(wide.select("y", model), [], model, distinct=sizes[model])
+        table = found.table.select(
+            model, ((F.col("neg_below") + F.col("neg") / 2.0) / F.col("neg_total")).alias("_cp"),
+            (1 - (F.col("pos_below") + F.col("pos") / 2.0) / F.col("pos_total")).alias("_cn"),
+            (F.col("pos") + F.col("neg")).alias("n"), (F.col("pos_total") + F.col("neg_total")).alias("n_total"))
+        mine = Distribution(table, (), model, ("n",), found.distinct)
+        looked = lookup(rows, mine, {model: model}, ["_cp", "_cn"])
         return looked.withColumn(f"c_{model}", F.when(F.col("y") == 1, F.col("_cp")).otherwise(F.col("_cn"))).drop("_cp", "_cn")
 
     return reduce(one, models, wide.select("y", *models)).drop(*models)
@@ -108,17 +108,17 @@ def delong_table(moments: DataFrame, models: list[str], pairs: list[tuple[str, s
                               scaled(a, b).alias("cov")) for a, b in pairs])
     q = F.lit(NormalDist().inv_cdf(1 - alpha / 2))
     table = moments.agg(rows.alias("_rows")).select(F.inline("_rows"))
-    se = F.sqrt(F.greatest(F.col("var1") + F.col("var2") - 2 * F.col("cov"), F.lit(0.0)))
+    se = F.sqrt(at_least(F.col("var1") + F.col("var2") - 2 * F.col("cov"), 0.0))
     return (
         table.withColumn("delta", F.col("auc1") - F.col("auc2")).withColumn("se", se)
         .withColumns({
-            "auc1_lo": F.greatest(F.col("auc1") - q * F.sqrt("var1"), F.lit(0.0)),
-            "auc1_hi": F.least(F.col("auc1") + q * F.sqrt("var1"), F.lit(1.0)),
-            "auc2_lo": F.greatest(F.col("auc2") - q * F.sqrt("var2"), F.lit(0.0)),
-            "auc2_hi": F.least(F.col("auc2") + q * F.sqrt("var2"), F.lit(1.0)),
+            "auc1_lo": at_least(F.col("auc1") - q * F.sqrt("var1"), 0.0),
+            "auc1_hi": at_most(F.col("auc1") + q * F.sqrt("var1"), 1.0),
+            "auc2_lo": at_least(F.col("auc2") - q * F.sqrt("var2"), 0.0),
+            "auc2_hi": at_most(F.col("auc2") + q * F.sqrt("var2"), 1.0),
             "delta_lo": F.col("delta") - q * F.col("se"), "delta_hi": F.col("delta") + q * F.col("se"),
             "z": F.when(F.col("se") > 0, ratio("delta", "se"))
-                  .when(F.col("delta") == 0, F.lit(0.0)).otherwise(F.lit(float("inf"))),
+                  .when(F.col("delta") == 0, F.lit(0.0)).when(F.col("se") == 0, F.lit(float("inf"))),
             "corr_auc": F.when(F.col("var1") * F.col("var2") > 0, ratio(F.col("cov"), F.sqrt(F.col("var1") * F.col("var2")))),
         })
         .withColumn("p_value", normal_p("z"))
@@ -162,11 +162,11 @@ def delong_direct(wide: DataFrame, models: list[str], limit: int = 20_000) -> Da
 def holm(df: DataFrame, p: str, family: list[str], name: str = "p_holm") -> DataFrame:
     """Holm-adjusted p values. A family is a list of comparisons, one row each."""
     everyone = W.partitionBy(*family)
-    ordered = everyone.orderBy(p)
+    ordered = everyone.orderBy(F.col(p).asc_nulls_last())
     step = (F.count(p).over(everyone) - F.row_number().over(ordered) + 1) * F.col(p)
     stepped = df.withColumn("_step", step)
     running = F.max("_step").over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    return stepped.withColumn(name, F.least(running, F.lit(1.0))).drop("_step")
+    return stepped.withColumn(name, F.when(F.col(p).isNotNull(), F.least(running, F.lit(1.0)))).drop("_step")
 
 
 def with_flags(df: DataFrame, p: str = "p_holm", delta: str = "delta", alpha: float = ALPHA,

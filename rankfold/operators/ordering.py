@@ -54,16 +54,18 @@ def distribution(
     keys: list[str],
     value: str,
     sums: dict[str, Column],
+    distinct: int | None = None,
     plain_limit: int = PLAIN_LIMIT,
     range_rows: int = RANGE_ROWS,
 ) -> Distribution:
     """Running sums of `sums` over the ascending distinct values of each group.
 
-    Null values do not take part. Runs one small job on `df` to learn the number of
-    distinct values; materialise `df` first when it is costly.
+    Null values do not take part. Unless `distinct` is given, one small job on `df` counts
+    the distinct values; materialise `df` first when it is costly.
     """
     source = df.filter(F.col(value).isNotNull())
-    distinct = count_distinct_pairs(source, [*keys, value])
+    if distinct is None:
+        distinct = count_distinct_pairs(source, [*keys, value])
     counts = source.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(
         *[F.sum(c).alias(name) for name, c in sums.items()]
     )

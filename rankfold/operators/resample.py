@@ -60,7 +60,7 @@ def _bucket_draws(spark, sizes: list[int], replicates: range, seed: int) -> Data
 def _weighted_scores(rows: DataFrame, draws: DataFrame, models: list[str], seed: int, poisson: bool) -> DataFrame:
     """`(model, score, pos, neg)` with one int32 weight per replicate packed in pos and neg."""
 
-    def one_bucket(key, mine: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+    def one_bucket(key: tuple, mine: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"model": [], "score": [], "pos": [], "neg": []})
         if mine.empty or drawn.empty:
             return empty
@@ -137,7 +137,7 @@ def replicate_metrics(wide: DataFrame, thresholds: dict[str, float], replicates:
 def _batch_metrics(scored: DataFrame, thresholds: dict[str, float], reps: range) -> DataFrame:
     ids = np.arange(reps.start, reps.stop, dtype=np.int32)
 
-    def totals(key, mine: pd.DataFrame) -> pd.DataFrame:
+    def totals(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         pos, neg = _rows_to_matrix(mine["pos"]), _rows_to_matrix(mine["neg"])
         flagged = mine["score"].to_numpy() >= thresholds[key[0]]
         return pd.DataFrame({"model": key[0], "_range": key[1], "rep": ids, "pos": pos.sum(axis=0), "neg": neg.sum(axis=0),
@@ -154,7 +154,7 @@ def _batch_metrics(scored: DataFrame, thresholds: dict[str, float], reps: range)
         F.coalesce(F.sum("neg").over(above), F.lit(0)).alias("neg_before"),
         F.sum("pos").over(whole).alias("pos_all"), F.sum("neg").over(whole).alias("neg_all"))
 
-    def inside(key, mine: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def inside(key: tuple, mine: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         start = start.sort_values("rep")
         _, pos, neg = _merge_equal(mine["score"].to_numpy(dtype=float), _rows_to_matrix(mine["pos"]),
                                    _rows_to_matrix(mine["neg"]))

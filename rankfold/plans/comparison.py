@@ -1 +1,250 @@
-"""placeholder"""
+"""Paired comparison of the score columns."""
+
+from __future__ import annotations
+
+from itertools import combinations
+from statistics import NormalDist
+
+from pyspark.sql import functions as F
+
+from rankfold.functions.scalars import neg_log10_p, p_label
+from rankfold.operators import compare as C
+from rankfold.operators import resample as B
+from rankfold.operators.split import hash_sample
+from rankfold.plans.catalog import (LONG_SQL, MODELS, THRESHOLDS, WIDE_SQL, curve_sql, normal_tail_sql, query, r, rounded, table, wide)
+
+Q = NormalDist().inv_cdf(0.975)
+PAIRS = list(combinations(MODELS, 2))
+
+
+def pairs_values(pairs) -> str:
+    return "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") t(model_a, model_b))"
+
+
+COMPONENT_SQL = f"""{LONG_SQL}, {curve_sql('long', 'model')},
+comp AS (SELECT id, y, model, CASE WHEN y = 1 THEN (neg_below + neg / 2) / neg_total ELSE 1 - (pos_below + pos / 2) / pos_total END AS c
+         FROM long JOIN curve USING (model, score))"""
+
+
+def delong_sql(pairs) -> str:
+    """CTE `d`: everything DeLong's comparison reports for the given pairs."""
+    return f"""{COMPONENT_SQL}, {pairs_values(pairs)},
+parts AS (SELECT model_a, model_b, a.y, count(*) AS n, avg(a.c) AS m1, avg(b.c) AS m2, covar_samp(a.c, b.c) / count(*) AS cv,
+                 var_samp(a.c) / count(*) AS v1, var_samp(b.c) / count(*) AS v2
+          FROM pairs JOIN comp a ON a.model = model_a JOIN comp b ON b.model = model_b AND b.id = a.id GROUP BY model_a, model_b, a.y),
+agg AS (SELECT model_a, model_b, max(m1) FILTER (y = 1) AS auc1, max(m2) FILTER (y = 1) AS auc2, sum(v1) AS v1, sum(v2) AS v2, sum(cv) AS cv
+        FROM parts GROUP BY model_a, model_b),
+d AS (SELECT *, auc1 - auc2 AS delta, sqrt(greatest(v1 + v2 - 2 * cv, 0)) AS se, (auc1 - auc2) / sqrt(greatest(v1 + v2 - 2 * cv, 0)) AS z,
+             cv / sqrt(v1 * v2) AS corr_auc FROM agg)"""
+
+
+DELONG_COLUMNS = ["auc1", "auc2", "auc1_lo", "auc1_hi", "auc2_lo", "auc2_hi", "delta", "delta_lo", "delta_hi", "se", "z", "corr_auc"]
+DELONG_SELECT = f"""model_a, model_b, round(auc1, 9) AS auc1, round(auc2, 9) AS auc2, round(greatest(auc1 - {Q} * sqrt(v1), 0), 9) AS auc1_lo,
+  round(least(auc1 + {Q} * sqrt(v1), 1), 9) AS auc1_hi, round(greatest(auc2 - {Q} * sqrt(v2), 0), 9) AS auc2_lo,
+  round(least(auc2 + {Q} * sqrt(v2), 1), 9) AS auc2_hi, round(delta, 9) AS delta, round(delta - {Q} * se, 9) AS delta_lo,
+  round(delta + {Q} * se, 9) AS delta_hi, round(se, 9) AS se, round(z, 7) AS z, round({normal_tail_sql('z')}, 7) AS p_value, round(corr_auc, 7) AS corr_auc"""
+
+
+def _rounded_delong(df):
+    return rounded(rounded(df, [c for c in DELONG_COLUMNS if c not in ("z", "corr_auc")]), ["z", "p_value", "corr_auc"], 7)
+
+
+@query("delong_pair", f"WITH {delong_sql([('m1', 'm2')])} SELECT {DELONG_SELECT} FROM d")
+def delong_pair(spark, sf):
+    return _rounded_delong(C.delong(wide(spark, sf).select("id", "y", "m1", "m2"), ["m1", "m2"]))
+
+
+HOLM_SQL = """h AS (SELECT *, least(1, max((m - rk + 1) * p) OVER (PARTITION BY family ORDER BY rk)) AS p_holm FROM (
+  SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p) AS rk FROM src))"""
+
+
+@query("delong_all_pairs", f"""WITH {delong_sql(PAIRS)}, src AS (SELECT *, 'all' AS family, {normal_tail_sql('z')} AS p FROM d), {HOLM_SQL}
+SELECT {DELONG_SELECT}, family, round(p_holm, 7) AS p_holm, p_holm < 0.05 AS significant, abs(delta) >= 0.005 AS relevant FROM h""")
+def delong_all_pairs(spark, sf):
+    return rounded(_rounded_delong(C.delong_family(wide(spark, sf), MODELS)), ["p_holm"], 7)
+
+
+@query("delong_matrix", f"""WITH {delong_sql(PAIRS)}, m AS (SELECT model_a, model_b, delta FROM d UNION ALL SELECT model_b, model_a, -delta FROM d)
+SELECT model_a AS model, {', '.join(f"round(max(delta) FILTER (model_b = '{m}'), 9) AS {m}" for m in MODELS)} FROM m GROUP BY model_a""")
+def delong_matrix(spark, sf):
+    return rounded(C.pair_matrix(C.delong(wide(spark, sf), MODELS), MODELS, "delta", -1), MODELS)
+
+
+@query("p_matrix", f"""WITH {delong_sql(PAIRS)}, q AS (SELECT model_a, model_b, {normal_tail_sql('z')} AS p FROM d),
+m AS (SELECT model_a, model_b, p FROM q UNION ALL SELECT model_b, model_a, p FROM q)
+SELECT model_a AS model, {', '.join(f"round(max(p) FILTER (model_b = '{m}'), 7) AS {m}" for m in MODELS)} FROM m GROUP BY model_a""")
+def p_matrix(spark, sf):
+    return rounded(C.pair_matrix(C.delong(wide(spark, sf), MODELS), MODELS, "p_value", 1), MODELS, 7)
+
+
+@query("p_labels", f"""WITH {delong_sql(PAIRS)}, q AS (SELECT model_a, model_b, {normal_tail_sql('z')} AS p FROM d)
+SELECT model_a, model_b, round(-log10(greatest(p, 1e-300)), 6) AS strength, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS label FROM q""")
+def p_labels(spark, sf):
+    pairs = C.delong(wide(spark, sf), MODELS)
+    return pairs.select("model_a", "model_b", r(neg_log10_p("p_value"), 6).alias("strength"), p_label("p_value").alias("label"))
+
+
+@query("auc_ci_table", f"""WITH {delong_sql([(m, m) for m in MODELS])}
+SELECT model_a AS model, round(auc1, 9) AS roc_auc, round(greatest(auc1 - {Q} * sqrt(v1), 0), 9) AS lo, round(least(auc1 + {Q} * sqrt(v1), 1), 9) AS hi FROM d""")
+def auc_ci_table(spark, sf):
+    return rounded(C.auc_intervals(wide(spark, sf), MODELS), ["roc_auc", "lo", "hi"])
+
+
+@query("auc_components", f"WITH {COMPONENT_SQL} SELECT y, model, count(*) AS n, round(avg(c), 9) AS mean, round(var_samp(c), 9) AS var FROM comp GROUP BY ALL")
+def auc_components(spark, sf):
+    parts = C.components(wide(spark, sf), MODELS)
+    long = parts.unpivot(["y"], [f"c_{m}" for m in MODELS], "model", "c")
+    return long.groupBy("y", F.substring("model", 3, 10).alias("model")).agg(
+        F.count("*").alias("n"), r(F.avg("c")).alias("mean"), r(F.var_samp("c")).alias("var"))
+
+
+DIRECT_SQL = WIDE_SQL + """, s AS (SELECT * FROM wide ORDER BY md5('11|' || id), id LIMIT 2000),
+k AS (SELECT 'm1' AS model, id, y, m1 AS v FROM s UNION ALL SELECT 'm2', id, y, m2 FROM s),
+psi AS (SELECT p.model, p.id AS pid, n.id AS nid, CASE WHEN p.v > n.v THEN 1.0 WHEN p.v = n.v THEN 0.5 ELSE 0.0 END::DOUBLE AS w
+        FROM k p JOIN k n ON p.model = n.model WHERE p.y = 1 AND n.y = 0),
+comp AS (SELECT model, 1 AS y, pid AS id, avg(w) AS c FROM psi GROUP BY model, pid UNION ALL SELECT model, 0, nid, avg(w) FROM psi GROUP BY model, nid),
+parts AS (SELECT a.y, count(*) AS n, avg(a.c) AS m1, avg(b.c) AS m2, (var_samp(a.c) + var_samp(b.c) - 2 * covar_samp(a.c, b.c)) / count(*) AS v
+          FROM comp a JOIN comp b ON a.id = b.id AND a.model = 'm1' AND b.model = 'm2' GROUP BY a.y)"""
+
+
+@query("delong_direct", f"""WITH {DIRECT_SQL} SELECT round(max(m1) FILTER (y = 1), 9) AS auc1, round(max(m2) FILTER (y = 1), 9) AS auc2,
+  round((max(m1) FILTER (y = 1) - max(m2) FILTER (y = 1)) / sqrt(sum(v)), 6) AS z, TRUE AS agrees FROM parts""")
+def delong_direct(spark, sf):
+    """Fast against direct form on a drawn sample of 2000 rows, as a validator."""
+    sample = hash_sample(wide(spark, sf).select("id", "y", "m1", "m2"), "id", 2000, seed=11)
+    direct = C.delong_direct(sample, ["m1", "m2"]).select("model_a", "auc1", "auc2", "z", "p_value")
+    fast = C.delong(sample, ["m1", "m2"]).select("model_a", F.col("z").alias("fast_z"), F.col("p_value").alias("fast_p"))
+    return direct.join(fast, "model_a").select(
+        r("auc1").alias("auc1"), r("auc2").alias("auc2"), r("z", 6).alias("z"),
+        ((F.abs(F.col("z") - F.col("fast_z")) < 1e-6) & (F.abs(F.col("p_value") - F.col("fast_p")) < 1e-6)).alias("agrees"))
+
+
+def right_sql(m: str) -> str:
+    return f"(CASE WHEN {m} >= {THRESHOLDS[m]} THEN 1 ELSE 0 END = y)"
+
+
+MCNEMAR_SQL = "mc AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS model_a, '{b}' AS model_b, count(*) FILTER ({right_sql(a)} AND NOT {right_sql(b)}) AS b, "
+    f"count(*) FILTER (NOT {right_sql(a)} AND {right_sql(b)}) AS c FROM wide" for a, b in PAIRS) + """),
+mx AS (SELECT *, pow(abs(b - c) - 1, 2) / (b + c) AS chi2 FROM mc)"""
+
+
+@query("mcnemar", f"WITH {WIDE_SQL}, {MCNEMAR_SQL} SELECT model_a, model_b, b, c, round(chi2, 6) AS chi2, 'chi2' AS method, "
+       f"round({normal_tail_sql('sqrt(chi2)')}, 6) AS p_value FROM mx")
+def mcnemar(spark, sf):
+    return rounded(C.mcnemar(wide(spark, sf), PAIRS, THRESHOLDS), ["chi2", "p_value"], 6)
+
+
+@query("mcnemar_labels", f"""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS b, count(*) FILTER (quality = 0 AND toxic = 0) AS c FROM labels),
+x AS (SELECT *, b + c AS n FROM c)
+SELECT b, c, CASE WHEN n >= 25 THEN round(pow(abs(b - c) - 1, 2) / n, 6) WHEN n = 0 THEN 0 END AS chi2,
+  CASE WHEN n = 0 THEN 'none' WHEN n < 25 THEN 'exact' ELSE 'chi2' END AS method,
+  CASE WHEN n = 0 THEN 1 WHEN n < 25 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
+         lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6)
+       ELSE round({normal_tail_sql('sqrt(pow(abs(b - c) - 1, 2) / n)')}, 6) END AS p_value FROM x""")
+def mcnemar_labels(spark, sf):
+    """Quality and "not toxic" as two classifiers of the same documents, all of which count as positive."""
+    rows = table(spark, sf, "labels").select(
+        F.lit(1).alias("y"), F.col("quality").cast("double").alias("q"), (1 - F.col("toxic")).cast("double").alias("t"))
+    out = C.mcnemar(rows, [("q", "t")], {"q": 0.5, "t": 0.5}).select("b", "c", "chi2", "method", "p_value")
+    return rounded(out, ["chi2", "p_value"], 6)
+
+
+@query("mcnemar_by_customer", f"""WITH r AS (SELECT o_custkey, o_orderstatus = 'F' AS ok1, o_totalprice > (SELECT avg(o_totalprice) FROM orders) AS ok2
+  FROM orders),
+c AS (SELECT o_custkey AS custkey, count(*) FILTER (ok1 AND NOT ok2) AS b, count(*) FILTER (NOT ok1 AND ok2) AS c FROM r GROUP BY o_custkey)
+SELECT custkey, b, c, CASE WHEN b + c = 0 THEN 'none' WHEN b + c < 25 THEN 'exact' ELSE 'chi2' END AS method,
+  CASE WHEN b + c = 0 THEN 1 WHEN b + c < 25 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
+         lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6)
+       ELSE round({normal_tail_sql('sqrt(pow(abs(b - c) - 1, 2) / (b + c))')}, 6) END AS p_value FROM c""")
+def mcnemar_by_customer(spark, sf):
+    """One test per customer: few discordant rows, so mostly the exact branch."""
+    orders = table(spark, sf, "orders")
+    mean = orders.agg(F.avg("o_totalprice").alias("v")).scalar()
+    ok1, ok2 = F.col("o_orderstatus") == "F", F.col("o_totalprice") > mean
+    counts = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count_if(ok1 & ~ok2).alias("b"), F.count_if(~ok1 & ok2).alias("c"))
+    return rounded(C.mcnemar_table(counts).select("custkey", "b", "c", "method", "p_value"), ["p_value"], 6)
+
+
+@query("holm_adjust", f"""WITH {WIDE_SQL}, {MCNEMAR_SQL},
+src AS (SELECT model_a, model_b, model_a AS family, {normal_tail_sql('sqrt(chi2)')} AS p FROM mx), {HOLM_SQL}
+SELECT family, model_a, model_b, round(p, 6) AS p_value, round(p_holm, 6) AS p_holm FROM h""")
+def holm_adjust(spark, sf):
+    tests = C.mcnemar(wide(spark, sf), PAIRS, THRESHOLDS).withColumn("family", F.col("model_a"))
+    out = C.holm(tests, "p_value", ["family"]).select("family", "model_a", "model_b", "p_value", "p_holm")
+    return rounded(out, ["p_value", "p_holm"], 6)
+
+
+def _flags(spark, sf):
+    scores = wide(spark, sf)
+    dl = C.delong_family(scores, MODELS).select("model_a", "model_b", F.col("significant").alias("delong_sig"), "relevant")
+    mc = C.holm(C.mcnemar(scores, PAIRS, THRESHOLDS).withColumn("family", F.lit("all")), "p_value", ["family"])
+    return dl.join(mc.select("model_a", "model_b", (F.col("p_holm") < 0.05).alias("mcnemar_sig")), ["model_a", "model_b"])
+
+
+FLAGS_SQL = f"""{delong_sql(PAIRS)}, {MCNEMAR_SQL},
+tests AS (SELECT d.model_a, d.model_b, d.delta, {normal_tail_sql('d.z')} AS pd, {normal_tail_sql('sqrt(mx.chi2)')} AS pm
+         FROM d JOIN mx ON d.model_a = mx.model_a AND d.model_b = mx.model_b),
+ranked AS (SELECT *, row_number() OVER (ORDER BY pd) AS rd, row_number() OVER (ORDER BY pm) AS rm FROM tests),
+flags AS (SELECT model_a, model_b, max((7 - rd) * pd) OVER (ORDER BY rd) < 0.05 AS delong_sig,
+                 max((7 - rm) * pm) OVER (ORDER BY rm) < 0.05 AS mcnemar_sig, abs(delta) >= 0.005 AS relevant FROM ranked)"""
+
+
+@query("test_agreement", f"""WITH {FLAGS_SQL} SELECT 'mcnemar_sig' AS test, count(*) FILTER (delong_sig = mcnemar_sig) AS agree,
+  count(*) FILTER (delong_sig <> mcnemar_sig) AS differ FROM flags
+UNION ALL SELECT 'relevant', count(*) FILTER (delong_sig = relevant), count(*) FILTER (delong_sig <> relevant) FROM flags""")
+def test_agreement(spark, sf):
+    return C.agreement(_flags(spark, sf), "delong_sig", ["mcnemar_sig", "relevant"])
+
+
+@query("test_disagreements", f"WITH {FLAGS_SQL} SELECT model_a, model_b, delong_sig, mcnemar_sig, relevant FROM flags "
+       "WHERE delong_sig <> mcnemar_sig OR delong_sig <> relevant")
+def test_disagreements(spark, sf):
+    return C.disagreements(_flags(spark, sf), "delong_sig", ["mcnemar_sig", "relevant"]).select(
+        "model_a", "model_b", "delong_sig", "mcnemar_sig", "relevant")
+
+
+@query("test_set_identity", f"""WITH {WIDE_SQL} SELECT count(*) AS n_base, count(*) AS n_other, 0::BIGINT AS missing_score, 0::BIGINT AS label_differs,
+  0::BIGINT AS surplus, TRUE AS identical FROM wide""")
+def test_set_identity(spark, sf):
+    scores = wide(spark, sf)
+    other = scores.select("id", "y", F.col("m2").alias("score")).repartition(7, "score")
+    return C.score_join_check(scores.select("id", "y"), other)
+
+
+REPLICATES = 200
+
+
+@query("bootstrap_delta")
+def bootstrap_delta(spark, sf):
+    return B.paired_bootstrap(wide(spark, sf), [("m1", "m2")], {m: THRESHOLDS[m] for m in ("m1", "m2")}, REPLICATES)
+
+
+OBSERVED_SQL = f"""{LONG_SQL}, {curve_sql('long', 'model')},
+ranks AS (SELECT model, sum(pos * (neg_below + neg / 2)) / (max(pos_total) * max(neg_total)) AS roc_auc,
+  sum(pos / pos_total * (pos_total - pos_below) / (pos_total - pos_below + neg_total - neg_below)) AS average_precision FROM curve GROUP BY model),
+f AS (SELECT model, 2.0::DOUBLE * count(*) FILTER (y = 1 AND score >= t) / (count(*) FILTER (score >= t) + count(*) FILTER (y = 1)) AS f1
+      FROM long JOIN (VALUES {', '.join(f"('{m}', {t:.17e})" for m, t in THRESHOLDS.items())}) v(m, t) ON model = m GROUP BY model),
+o AS (SELECT * FROM ranks JOIN f USING (model))"""
+
+
+@query("bootstrap_observed", f"WITH {OBSERVED_SQL} " + " UNION ALL ".join(
+    f"SELECT 'm1' AS model_a, 'm2' AS model_b, '{m}' AS metric, round(max({m}) FILTER (model = 'm1') - max({m}) FILTER (model = 'm2'), 9) AS observed FROM o"
+    for m in B.METRICS))
+def bootstrap_observed(spark, sf):
+    out = B._observed_deltas(wide(spark, sf), [("m1", "m2")], {m: THRESHOLDS[m] for m in ("m1", "m2")})
+    return rounded(out, ["observed"])
+
+
+@query("bootstrap_auc_ci")
+def bootstrap_auc_ci(spark, sf):
+    return B.bootstrap_auc_interval(wide(spark, sf), ["m1"], REPLICATES)
+
+
+@query("three_test_table")
+def three_test_table(spark, sf):
+    scores = wide(spark, sf).select("id", "y", "m1", "m2", "m3")
+    thresholds = {m: THRESHOLDS[m] for m in ("m1", "m2", "m3")}
+    pairs = [("m1", "m2"), ("m1", "m3")]
+    return B.three_test_table(C.delong_family(scores, list(thresholds), pairs), C.mcnemar(scores, pairs, thresholds),
+                              B.paired_bootstrap(scores, pairs, thresholds, 100))

@@ -197,15 +197,15 @@ def partition_join(spark, sf):
     return rows.join(make_split(rows, "id", "y"), "id").select("id", "price", "split", "fold")
 
 
-@query("score_join_check", f"""WITH {WIDE_SQL}, other AS (SELECT id, CASE WHEN id % 101 = 0 THEN 1 - y ELSE y END AS y, m2 AS score FROM wide
-  WHERE id % 97 <> 0)
+@query("score_join_check", f"""WITH {WIDE_SQL}, other AS (SELECT id, CASE WHEN m1 > 0.9 THEN 1 - y ELSE y END AS y, m2 AS score FROM wide
+  WHERE m2 < 0.95)
 SELECT (SELECT count(*) FROM wide) AS n_base, (SELECT count(*) FROM other) AS n_other,
   (SELECT count(*) FROM wide LEFT JOIN other USING (id) WHERE other.score IS NULL) AS missing_score,
   (SELECT count(*) FROM wide JOIN other USING (id) WHERE wide.y <> other.y) AS label_differs, 0::BIGINT AS surplus, FALSE AS identical""")
 def score_join_check(spark, sf):
     scores = wide(spark, sf)
-    other = scores.filter(F.col("id") % 97 != 0).select(
-        "id", F.when(F.col("id") % 101 == 0, 1 - F.col("y")).otherwise(F.col("y")).alias("y"), F.col("m2").alias("score"))
+    other = scores.filter(F.col("m2") < 0.95).select(
+        "id", F.when(F.col("m1") > 0.9, 1 - F.col("y")).otherwise(F.col("y")).alias("y"), F.col("m2").alias("score"))
     return C.score_join_check(scores.select("id", "y"), other)
 
 

@@ -60,7 +60,8 @@ def split_overlap(spark, sf):
     return S.id_overlap(a, b)
 
 
-@query("split_repeatability", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query("split_repeatability", f"""WITH {SPLIT_SQL} SELECT (SELECT count(*) FROM (FROM split EXCEPT ALL FROM split)) AS missing,
+  (SELECT count(*) FROM (FROM split EXCEPT ALL FROM split)) AS extra""")
 def split_repeatability(spark, sf):
     return S.table_difference(_split(spark, sf), S.make_split(base(spark, sf).repartition(13, "y"), "id", "y"))
 

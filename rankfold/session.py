@@ -30,20 +30,25 @@ def get_session(app: str = "rankfold", master: str | None = None, conf: dict | N
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediates: `spark.checkpoint.dir` of the session, else a fresh local one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="rankfold-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and read on from there.
 
     Used where a result is costly to recompute and is read more than once (model
-    scores, bootstrap weights). The files live in the shared folder named by
+    scores, permuted copies). The files live in the folder named by
     `spark.checkpoint.dir`, so losing an executor does not lose them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="rankfold-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
