@@ -1 +1,199 @@
-"""placeholder"""
+"""Classifiers, importances and explanations on the feature frame.
+
+Grids are smaller than the defaults so that the whole catalogue runs in one sitting;
+every query still reads all resolved orders.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, functions as F
+
+from rankfold import schema as S
+from rankfold.operators import explain as E
+from rankfold.operators import features as X
+from rankfold.operators import metrics as M
+from rankfold.operators import models as L
+from rankfold.operators.ordering import midranks
+from rankfold.operators.report import joint_extremes
+from rankfold.operators.split import hash_sample, make_split
+from rankfold.plans.catalog import query, rounded
+from rankfold.plans.features import FEATURES_SQL, features
+from rankfold.plans.splitting import SPLIT_SQL
+from rankfold.plans.storage import _place
+from rankfold.session import materialize
+
+SMALL = dict(reg_params=[1e-5, 1e-4], depths=[3, 5], forest_trees=[10], boost_rounds=[5], boost_depths=[3], max_iter=20)
+
+
+def specs():
+    return L.model_specs(**SMALL)
+
+
+_PREPARED: dict[tuple[str, str], tuple] = {}
+
+
+def prepared(spark, sf):
+    """Train and test vectors of a session, kept in the shared folder: every fit reads them many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PREPARED:
+        _PREPARED[key] = _prepare(spark, sf)
+    return _PREPARED[key]
+
+
+def _prepare(spark, sf):
+    frame = materialize(features(spark, sf))
+    split = make_split(frame, "id", "default")
+    train, test, fitted, kept = X.prepare(frame, split, carry=["issue_year", "term_months"])
+    return materialize(train), materialize(test), fitted, kept, frame, split
+
+
+def _first_params(spec: L.Spec) -> dict:
+    return {p.name: v for p, v in spec.grid[0].items()}
+
+
+def _scores(key: str):
+    def run(spark, sf) -> DataFrame:
+        train, test, *_ = prepared(spark, sf)
+        spec = specs()[key]
+        return L.score(L.refit(spec, _first_params(spec), train), test, spec.score_column)
+
+    return run
+
+
+for _name, _key in (("lr_scores", "LR"), ("dt_scores", "DT"), ("rf_scores", "RF"), ("gbt_scores", "GB"), ("svm_scores", "SVM"), ("nb_scores", "NB")):
+    query(_name)(_scores(_key))
+
+
+# The fitted variances carry a billionth of the largest feature variance as smoothing.
+@query("nb_class_moments", f"WITH {FEATURES_SQL}, {SPLIT_SQL}, tr AS (SELECT f.* FROM features f JOIN split s ON f.id = CAST(s.id AS VARCHAR) WHERE NOT is_test), "
+       f"eps AS (SELECT 1e-9 * greatest({', '.join(f'var_pop(coalesce({c}, -1))' for c in S.NUMERIC)}) AS e FROM tr) "
+       + " UNION ALL ".join(f"SELECT '{c}' AS variable, \"default\" AS y, round(avg(coalesce({c}, -1)), 4) AS mean, "
+                            f"round(sqrt(var_pop(coalesce({c}, -1)) + max(e)), 4) AS sd "
+                            "FROM tr, eps GROUP BY \"default\"" for c in ("loan_amnt", "annual_inc", "open_acc")))
+def nb_class_moments(spark, sf):
+    """Means and variances a fitted Gaussian naive Bayes model holds for each class."""
+    train, *_ = prepared(spark, sf)
+    model = L.refit(specs()["NB"], {}, train)
+    names = ["loan_amnt", "annual_inc", "open_acc"]
+    at = [S.NUMERIC.index(c) for c in names]
+    theta, sigma = model.theta.toArray(), model.sigma.toArray()
+    # Two classes by three variables, from the fitted model.
+    rows = [(c, int(y), float(theta[y, i]), float(sigma[y, i]) ** 0.5) for c, i in zip(names, at) for y in (0, 1)]
+    return rounded(spark.createDataFrame(rows, "variable string, y int, mean double, sd double"), ["mean", "sd"], 4)
+
+
+@query("cv_grid_table")
+def cv_grid_table(spark, sf):
+    train, *_ = prepared(spark, sf)
+    spec = specs()["DT"]
+    return L.cv_table(spark, "DT", spec, L.cross_validate(spec, train))
+
+
+@query("oof_scores")
+def oof_scores(spark, sf):
+    train, *_ = prepared(spark, sf)
+    spec = specs()["LR"]
+    return L.oof_scores(L.with_params(spec.estimator, _first_params(spec)), train, spec.score_column)
+
+
+@query("oof_threshold")
+def oof_threshold(spark, sf):
+    train, *_ = prepared(spark, sf)
+    parts = []
+    for key in ("LR", "SVM"):
+        spec = specs()[key]
+        found = L.oof_threshold(L.with_params(spec.estimator, _first_params(spec)), train, spec.score_column)
+        parts.append(found.withColumn("model", F.lit(key)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("model_record")
+def model_record(spark, sf):
+    """Full run of one model: search, test scores, threshold, record; the second call resumes."""
+    train, test, *_ = prepared(spark, sf)
+    out = _place(spark, "models")
+    L.run_model("LR", specs()["LR"], train, test, out)
+    return L.run_model("LR", specs()["LR"], train, test, out)
+
+
+@query("scaling_leak_check")
+def scaling_leak_check(spark, sf):
+    train, *_ = prepared(spark, sf)
+    return L.scaling_leak(train, reg_params=[1e-5], max_iter=20)
+
+
+@query("temporal_validation")
+def temporal_validation(spark, sf):
+    train, test, *_ = prepared(spark, sf)
+    return L.temporal_validation(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, train, test, "issue_year", 1998, F.col("term_months") == 36)
+
+
+@query("impurity_importance")
+def impurity_importance(spark, sf):
+    train, *_ = prepared(spark, sf)
+    return L.impurity_importance(L.refit(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, train), train)
+
+
+def scoring_pipeline(spark, sf, key: str = "GB"):
+    """Preprocessing and model as one transformer of model-input rows, with train and test rows."""
+    train, _, fitted, kept, frame, split = prepared(spark, sf)
+    spec = specs()[key]
+    model = L.refit(spec, _first_params(spec), train)
+    rows = materialize(X.model_input(frame.join(split.select("id", "split"), "id"), kept, S.NUMERIC, S.CATEGORICAL))
+    pipeline = PipelineModel(stages=[fitted, model])
+    return pipeline, rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    pipeline, _, test = scoring_pipeline(spark, sf)
+    return E.permutation_importance(pipeline, test, S.FEATURES, "default", repeats=2)
+
+
+@query("local_surrogate")
+def local_surrogate(spark, sf):
+    """The two test rows that two models both get most wrong."""
+    pipeline, train, test = scoring_pipeline(spark, sf)
+    other = L.refit(specs()["DT"], {"maxDepth": 3}, pipeline.stages[0].transform(train))
+    first = L.score(pipeline, test, "probability")
+    second = L.score(PipelineModel(stages=[pipeline.stages[0], other]), test, "probability")
+    both = materialize(first.select("id", "y", F.col("score").alias("p1")).join(second.select("id", F.col("score").alias("p2")), "id"))
+    ranked = midranks(midranks(both, [], "p1", "r1", "pct1"), [], "p2", "r2", "pct2").withColumn("pct", F.col("pct1") + F.col("pct2"))
+    picked = joint_extremes(ranked, "p1", "p2", 0.5, 0.5).select("id", "kind")
+    chosen = materialize(test.join(F.broadcast(picked), "id"))
+    reference = E.Reference(train, S.NUMERIC, S.CATEGORICAL)
+    return E.local_surrogate(pipeline, chosen, reference, samples=5000, top=10).join(chosen.select("id", "kind"), "id")
+
+
+@query("surrogate_stability")
+def surrogate_stability(spark, sf):
+    pipeline, train, test = scoring_pipeline(spark, sf)
+    one = materialize(hash_sample(test, "id", 1))
+    reference = E.Reference(train, S.NUMERIC, S.CATEGORICAL)
+    return E.appearance_counts(E.local_surrogate(pipeline, one, reference, samples=5000, top=5, seeds=[0, 1, 2, 3, 4]))
+
+
+@query("surrogate_global")
+def surrogate_global(spark, sf):
+    pipeline, train, test = scoring_pipeline(spark, sf)
+    some = materialize(hash_sample(test, "id", 60))
+    reference = E.Reference(train, S.NUMERIC, S.CATEGORICAL)
+    return E.mean_absolute_weight(E.local_surrogate(pipeline, some, reference, samples=2000, top=len(S.FEATURES)))
+
+
+@query("six_model_comparison")
+def six_model_comparison(spark, sf):
+    """Test metrics of all six models at the default and at the out-of-fold F1 threshold."""
+    train, test, *_ = prepared(spark, sf)
+    parts, points = [], []
+    for key, spec in specs().items():
+        params = _first_params(spec)
+        parts.append(L.score(L.refit(spec, params, train), test, spec.score_column).withColumn("model", F.lit(key)))
+        points.append((key, "default", spec.default_threshold))
+        points.append((key, "oof_f1", L.oof_threshold(L.with_params(spec.estimator, params), train, spec.score_column).first()["threshold"]))
+    scores = materialize(reduce(lambda a, b: a.unionByName(b), parts))
+    thresholds = spark.createDataFrame(points, "model string, point string, threshold double")
+    return M.operating_points(scores, thresholds, ["model"])
