@@ -16,6 +16,7 @@ from rankfold.functions.scalars import at_least, at_most, ratio
 from rankfold.functions.tails import chi2_p, coin_p, normal_p
 from rankfold.operators.metrics import score_distribution
 from rankfold.operators.ordering import Distribution, lookup
+from rankfold.session import materialize
 
 ALPHA = 0.05
 MARGIN = 0.005
@@ -156,7 +157,8 @@ def delong_direct(wide: DataFrame, models: list[str], limit: int = 20_000) -> Da
 
     pos, neg = wide.filter(F.col("y") == 1), wide.filter(F.col("y") == 0)
     parts = against(pos, neg, higher).unionByName(against(neg, pos, lambda mine, other: higher(other, mine)))
-    return delong_table(_moments(parts, models), models)
+    # Stored once: every covariance would otherwise repeat the comparisons of its columns.
+    return delong_table(_moments(materialize(parts), models), models)
 
 
 def holm(df: DataFrame, p: str, family: list[str], name: str = "p_holm") -> DataFrame:
@@ -214,7 +216,9 @@ def mcnemar_table(counts: DataFrame) -> DataFrame:
         counts.withColumn("chi2", chi2)
         .withColumn("method", F.when(n == 0, "none").when(n < 25, "exact").otherwise("chi2"))
         .withColumn("p_value", F.when(n == 0, F.lit(1.0))
-                    .when(n < 25, coin_p(F.least("b", "c"), n)).otherwise(chi2_p("chi2", F.lit(1.0))))
+                    # Vectorised functions see every row, so the exact test gets nulls where it does not apply.
+                    .when(n < 25, coin_p(F.when(n < 25, F.least("b", "c")), F.when(n < 25, n)))
+                    .otherwise(chi2_p("chi2", F.lit(1.0))))
     )
 
 

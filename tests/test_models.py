@@ -71,7 +71,7 @@ def test_surrogate_recovers_a_linear_score(spark, data):
 
     model = PipelineModel(stages=[fitted, L.refit(L.model_specs(max_iter=30)["LR"], {"regParam": 1e-4}, train)])
     reference = E.Reference(df, ["x1", "x2"], ["kind"])
-    out = E.local_surrogate(model, df.limit(3), reference, samples=1500, top=3, seeds=[1, 2]).toPandas()
+    out = E.local_surrogate(model, df.limit(3), reference, samples=1500, top=3, seeds=[1, 2]).toPandas().sort_values(["id", "seed", "position"])
     assert len(out) == 3 * 2 * 3
     assert (out.groupby(["id", "seed"])["weight"].apply(lambda w: w.abs().is_monotonic_decreasing)).all()
     assert out[out["position"] == 1]["feature"].isin(["x1", "kind"]).all() and (out["r2"] > 0.3).all()
