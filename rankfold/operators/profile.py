@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankfold.functions.scalars import log1p_nonnegative, ratio
-from rankfold.operators.association import chi2_from_counts, long_numeric
 from rankfold.functions.tails import chi2_p
-from rankfold.operators.ordering import distribution, exact_quantiles, with_group_columns
+from rankfold.operators.association import chi2_from_counts, long_numeric
+from rankfold.operators.ordering import Distribution, distribution, exact_quantiles, with_group_columns
+from rankfold.session import materialize
 
 
 def frequency_table(df: DataFrame, columns: list[str], rare_below: float = 1.0) -> DataFrame:
@@ -86,24 +89,37 @@ def missing_vs_label(df: DataFrame, columns: list[str], label: str, min_rows: in
         F.when(enough, F.col("chi2")).alias("chi2"), F.when(enough, chi2_p("chi2", "dof")).alias("p_value"))
 
 
-def _shape(value: Column) -> list[Column]:
-    """Bias-adjusted skewness and excess kurtosis."""
-    n = F.count(value).cast("double")
-    g1, g2 = F.skewness(value), F.kurtosis(value)
-    return [
+def _moments_of_values(table: DataFrame) -> DataFrame:
+    """Moments of each variable from its value table: mean first, then powers of deviations.
+
+    Skewness and excess kurtosis carry the small-sample adjustment.
+    """
+    basic = table.groupBy("variable").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+                                          F.min("value").alias("min"), F.max("value").alias("max"))
+    d = F.col("value") - F.col("mean")
+    powers = with_group_columns(table.select("variable", "value", F.col("n").alias("_w")), basic, ["variable"]).groupBy(
+        "variable", "n", "mean", "min", "max").agg(*[F.sum(F.col("_w") * F.pow(d, k)).alias(f"_s{k}") for k in (2, 3, 4)])
+    n = F.col("n").cast("double")
+    m2 = F.col("_s2") / n
+    g1, g2 = ratio(F.col("_s3") / n, F.pow(m2, 1.5)), ratio(F.col("_s4") / n, m2 * m2) - 3
+    return powers.select(
+        "variable", "n", "mean", "min", "max", F.sqrt(ratio(F.col("_s2"), n - 1)).alias("sd"),
         F.when(n > 2, ratio(g1 * F.sqrt(n * (n - 1)), n - 2)).alias("skew"),
-        F.when(n > 3, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"),
-    ]
+        F.when(n > 3, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"))
+
+
+def _value_table(long: DataFrame) -> Distribution:
+    """Ordered value table of every variable, stored because several steps read it."""
+    found = distribution(long, ["variable"], "value", {"n": F.lit(1)})
+    return replace(found, table=materialize(found.table))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sd, min, quartiles, max of every numeric column."""
     long = long_numeric(df, columns)
-    moments = long.groupBy("variable").agg(F.count("*").alias("n"), F.avg("value").alias("mean"),
-                                           F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
-                                           F.max("value").alias("max"))
-    quartiles = _quartiles(exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75]))
-    return with_group_columns(moments, quartiles, ["variable"]).select(
+    found = _value_table(long)
+    quartiles = _quartiles(exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], found))
+    return with_group_columns(_moments_of_values(found.table), quartiles, ["variable"]).select(
         "variable", "n", "mean", "sd", "min", "p25", "median", "p75", "max")
 
 
@@ -117,10 +133,8 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts, moments, exact quartiles, 1.5 IQR fences and outliers of every column."""
     long = long_numeric(df, columns)
     total = df.agg(F.count("*").alias("n")).scalar()
-    moments = long.groupBy("variable").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"), *_shape(F.col("value")))
-    found = distribution(long, ["variable"], "value", {"n": F.lit(1)})
+    found = _value_table(long)
+    moments = _moments_of_values(found.table)
     quartiles = _quartiles(exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], found))
     fences = quartiles.withColumn("iqr", F.col("p75") - F.col("p25")).withColumns({
         "lower": F.col("p25") - 1.5 * F.col("iqr"), "upper": F.col("p75") + 1.5 * F.col("iqr")})

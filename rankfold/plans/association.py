@@ -11,7 +11,7 @@ from rankfold.functions import text
 from rankfold.operators import association as A
 from rankfold.plans.catalog import (AUC_SQL, BASE_SQL, WIDE_SQL, base, chi2_tail_sql, curve_sql, normal_tail_sql, query, r, rounded, table,
                                     wide)
-from rankfold.plans.features import FEATURES_SQL, RAW_SQL, YEAR_MONTH_SQL, features, raw_text
+from rankfold.plans.features import FEATURES_SQL, RAW_SQL, YEAR_MONTH_SQL, features, raw_text, stored_features
 
 LEVELS_SQL = BASE_SQL + """,
 levels AS (SELECT id, y, CAST(period AS VARCHAR) AS period, priority, segment, n_name AS nation FROM base JOIN nation ON nationkey = n_nationkey)"""
@@ -92,7 +92,7 @@ SELECT variable, round(mean1, 4) AS mean1, round(mean0, 4) AS mean0, round(diff,
   round(t, 6) AS t, round(t_dof, 3) AS t_dof, round({T_TAIL_SQL}, 6) AS p_welch, u, round(uz, 6) AS u_z,
   CASE WHEN uz < 0 THEN CAST(1 AS DOUBLE) ELSE round({normal_tail_sql('uz')}, 6) END AS p_mann_whitney FROM sx""")
 def numeric_association(spark, sf):
-    out = A.numeric_association(features(spark, sf), CONTINUOUS, "default")
+    out = A.numeric_association(stored_features(spark, sf), CONTINUOUS, "default")
     out = rounded(rounded(out, ["mean1", "mean0", "diff"], 4), ["t_dof"], 3)
     return rounded(out, ["cohens_d", "point_biserial", "t", "p_welch", "u_z", "p_mann_whitney"], 6)
 

@@ -12,6 +12,7 @@ from rankfold.operators import profile as P
 from rankfold.operators.split import make_split
 from rankfold.plans.catalog import BASE_SQL, WIDE_SQL, base, query, r, rounded, table, wide
 from rankfold.plans.splitting import SPLIT_SQL
+from rankfold.session import materialize
 
 
 def raw_text(spark, sf) -> DataFrame:
@@ -94,6 +95,17 @@ def features(spark, sf) -> DataFrame:
     return X.build_features(raw_text(spark, sf))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_features(spark, sf) -> DataFrame:
+    """Feature frame written once per session; profiles and fits read it in several passes."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = materialize(features(spark, sf))
+    return _STORED[key]
+
+
 @query("feature_frame", f"""WITH {FEATURES_SQL} SELECT id, "default", issue_year,
   {', '.join(f'round({c}, 6) AS {c}' for c in S.NUMERIC)}, {', '.join(S.CATEGORICAL)} FROM features""")
 def feature_frame(spark, sf):
@@ -143,7 +155,7 @@ train AS (SELECT * FROM tagged WHERE split = 'train'),
 
 def _split_features(spark, sf):
     split = make_split(base(spark, sf), "id", "y").withColumn("id", F.col("id").cast("string"))
-    return features(spark, sf).join(split.select("id", "split"), "id")
+    return stored_features(spark, sf).join(split.select("id", "split"), "id")
 
 
 @query("rare_level_fold", f"WITH {FOLD_SQL} SELECT id, split, " + ", ".join(

@@ -20,7 +20,7 @@ from rankfold.operators.ordering import midranks
 from rankfold.operators.report import joint_extremes
 from rankfold.operators.split import hash_sample, make_split
 from rankfold.plans.catalog import query, rounded
-from rankfold.plans.features import FEATURES_SQL, features
+from rankfold.plans.features import FEATURES_SQL, stored_features
 from rankfold.plans.splitting import SPLIT_SQL
 from rankfold.plans.storage import _place
 from rankfold.session import materialize
@@ -44,7 +44,7 @@ def prepared(spark, sf):
 
 
 def _prepare(spark, sf):
-    frame = materialize(features(spark, sf))
+    frame = stored_features(spark, sf)
     split = make_split(frame, "id", "default")
     train, test, fitted, kept = X.prepare(frame, split, carry=["issue_year", "term_months"])
     return materialize(train), materialize(test), fitted, kept, frame, split

@@ -9,7 +9,7 @@ from rankfold.functions.scalars import log10_from_one, log1p_nonnegative
 from rankfold.operators import profile as P
 from rankfold.operators import report as R
 from rankfold.plans.catalog import BASE_SQL, base, chi2_tail_sql, query, r, rounded, table
-from rankfold.plans.features import FEATURES_SQL, RAW_SQL, features, raw_text
+from rankfold.plans.features import FEATURES_SQL, RAW_SQL, features, raw_text, stored_features
 
 NULLABLE = ["dti", "revol_util", "mort_acc", "emp_length", "credit_history_years", "int_rate"]
 
@@ -64,7 +64,7 @@ SELECT "column", CAST(nm AS BIGINT) AS n_missing, CASE WHEN nm >= 10 THEN round(
   CASE WHEN nm >= 10 THEN round(pm / nm - pp / np, 9) END AS diff, CASE WHEN nm >= 10 THEN round(chi2, 6) END AS chi2,
   CASE WHEN nm >= 10 THEN round({chi2_tail_sql('chi2', '1')}, 6) END AS p_value FROM x""")
 def missing_vs_target(spark, sf):
-    out = P.missing_vs_label(features(spark, sf), NULLABLE, "default")
+    out = P.missing_vs_label(stored_features(spark, sf), NULLABLE, "default")
     return rounded(rounded(out, ["rate_missing", "rate_present", "diff"]), ["chi2", "p_value"], 6)
 
 
@@ -93,7 +93,7 @@ NUMERIC_PROFILE_SQL = f"WITH {FEATURES_SQL} " + " UNION ALL ".join(
 
 @query("numeric_profile", NUMERIC_PROFILE_SQL)
 def numeric_profile(spark, sf):
-    out = P.numeric_profile(features(spark, sf), S.NUMERIC)
+    out = P.numeric_profile(stored_features(spark, sf), S.NUMERIC)
     money = ["mean", "median", "sd", "min", "p25", "p75", "max", "iqr", "lower", "upper"]
     return rounded(rounded(out, money, 4), ["missing_pct", "outliers_pct", "skew", "kurtosis"], 6)
 
@@ -126,7 +126,7 @@ LOG_COLUMNS = ["loan_amnt", "installment", "annual_inc", "dti", "term_months", "
          WHEN abs(skewness({c})) > 1 AND abs(skewness(CASE WHEN {c} IS NOT NULL THEN ln(1 + greatest({c}, 0)) END)) < 0.5 * abs(skewness({c})) THEN 'log' ELSE 'no' END AS advice
     FROM features""" for c in LOG_COLUMNS))
 def log_advice(spark, sf):
-    return rounded(P.log_advice(features(spark, sf), LOG_COLUMNS), ["skew", "skew_log1p"], 6)
+    return rounded(P.log_advice(stored_features(spark, sf), LOG_COLUMNS), ["skew", "skew_log1p"], 6)
 
 
 @query("frequency_table", """WITH t AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS level FROM orders

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +42,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path below the shared folder; one subfolder per application, to be removed after the run."""
+    return f"{shared_folder(spark)}/rankfold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's checkpoint folder and read on from there.
+    """Write `df` as Parquet below the shared folder and read on from there.
 
-    Used where a result is costly to recompute and is read more than once (model
-    scores, permuted copies). The files live in the folder named by
-    `spark.checkpoint.dir`, so losing an executor does not lose them.
+    Used where a result is costly to recompute and is read more than once (model scores,
+    permuted copies, value tables). It cuts the lineage and survives lost executors, and
+    later reads still prune columns and push filters down.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
