@@ -143,16 +143,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
     if found is None:
         found = distribution(df, keys, value, {"n": F.lit(1)})
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    # Each value answers for the 0-based positions n_below .. n_below + n - 1.
-    hit = (
-        found.table
-        .withColumn("prob", F.explode(probs))
-        .withColumn("_pos", F.col("prob") * (F.col("n_total") - 1).cast("double"))
-        .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-        .withColumn("_last", F.col("n_below") + F.col("n") - 1)
-        .filter(((F.col("_lo") >= F.col("n_below")) & (F.col("_lo") <= F.col("_last")))
-                | ((F.col("_hi") >= F.col("n_below")) & (F.col("_hi") <= F.col("_last"))))
-    )
+    # Each value answers for the 0-based positions n_below .. n_below + n - 1; a quantile lies
+    # between two neighbouring positions, so at most two values answer for it.
+    last = F.col("n_total").cast("double") - 1
+
+    def mine(p: Column) -> Column:
+        first_at, last_at = F.col("n_below"), F.col("n_below") + F.col("n") - 1
+        return F.floor(p * last).between(first_at, last_at) | F.ceil(p * last).between(first_at, last_at)
+
+    hit = (found.table.withColumn("prob", F.explode(F.filter(probs, mine)))
+           .withColumn("_pos", F.col("prob") * last).withColumn("_lo", F.floor("_pos")))
     low, high = F.min(value), F.max(value)
     weight = F.first(F.col("_pos") - F.col("_lo"))
     return hit.groupBy(*keys, "prob").agg((low + (high - low) * weight).alias("quantile"))
