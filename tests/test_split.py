@@ -50,4 +50,4 @@ def test_differences_are_reported(spark):
     split = S.make_split(population(spark))
     assert S.table_difference(split, split.filter("rank <> 5")).first().asDict() == {"missing": 1, "extra": 0}
     overlap = S.id_overlap(split.filter("is_test"), split.filter("rank < 10")).first()
-    assert overlap["n_common"] == overlap["n_a"] == 201
+    assert overlap["n_common"] == overlap["n_a"] == 202
