@@ -1,0 +1,136 @@
+"""Secret scan: fixed patterns, and runs of high entropy found with sliding windows.
+
+For each character class the text's maximal runs of that class are the candidates. A window of fixed width slides along
+each candidate; the sum of c*log2(c) over its character counts changes by two terms per step, so entropy costs O(1) a
+position. Windows at or above the class's limit are merged to spans. The allow list then drops harmless spans.
+
+Defined cases: a null text counts as empty and gives zero counts and the hash of the empty string; repeated rows give
+repeated results; other columns are ignored, whatever their names; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+_LONG_HEX = re.compile(r"[0-9a-f]{32,}")
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+
+
+@dataclass(frozen=True)
+class CharacterClass:
+    """Candidates are runs of `letters` of at least `window` characters; a window counts from `limit` bits on."""
+
+    kind: str
+    letters: str
+    window: int
+    limit: float
+
+
+CLASSES = (CharacterClass("entropy_hex", "0-9A-Fa-f", 20, 2.9), CharacterClass("entropy_base64", "A-Za-z0-9+/=_-", 20, 3.9))
+
+
+@dataclass(frozen=True)
+class AllowList:
+    """A span is harmless if its text is listed, matches a pattern in full, or is a sequence of ordinary words.
+
+    Ordinary words: no digit, or letters in one case only with no more than one change between letters and digits.
+    """
+
+    values: frozenset = frozenset()
+    patterns: tuple = (r"[0-9]+", r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T0-9-]*", r"(?i)[a-z0-9+/=_-]*example[a-z0-9+/=_-]*",
+                       r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", r"[a-z0-9_-]*(/[A-Za-z0-9_-]+){2,}/?")
+    words: bool = True
+    _compiled: list = field(default_factory=list, compare=False)
+
+    def harmless(self, text: str) -> bool:
+        if text in self.values:
+            return True
+        if self.words:
+            digits = [c.isdigit() for c in text]
+            if not any(digits):
+                return True
+            changes = sum(a != b for a, b in zip(digits, digits[1:]))
+            if changes <= 1 and (text.islower() or text.isupper()):
+                return True
+        return any(re.fullmatch(p, text) for p in self.patterns)
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """Matches of the fixed patterns, leftmost and not overlapping within a kind: (start, end, kind)."""
+    spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    # A maximal run of 32 or more is what the open pattern finds, less its short matches.
+    return spans + [(m.start(), m.end(), "hex") for m in _LONG_HEX.finditer(text)]
+
+
+def dense_spans(text: str, window: int, limit: float) -> Iterator[tuple[int, int]]:
+    """Unions of touching windows whose entropy is at least `limit` bits."""
+    counts: defaultdict[str, int] = defaultdict(int)
+    power = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    total, begin, end = 0.0, -1, -1
+    for i, c in enumerate(text):
+        counts[c] += 1
+        total += power[counts[c]] - power[counts[c] - 1]
+        if i >= window:
+            old = text[i - window]
+            counts[old] -= 1
+            total += power[counts[old]] - power[counts[old] + 1]
+        if i >= window - 1 and math.log2(window) - total / window >= limit - 1e-9:
+            if begin >= 0 and i - window + 1 > end:
+                yield begin, end
+                begin = -1
+            begin, end = (i - window + 1 if begin < 0 else begin), i + 1
+    if begin >= 0:
+        yield begin, end
+
+
+def entropy_spans(text: str, classes=CLASSES, allow: AllowList = AllowList()) -> list[tuple[int, int, str]]:
+    found = []
+    for c in classes:
+        for run in re.finditer(f"[{c.letters}]{{{c.window},}}", text):
+            for a, b in dense_spans(run.group(), c.window, c.limit):
+                if not allow.harmless(run.group()[a:b]):
+                    found.append((run.start() + a, run.start() + b, c.kind))
+    return found
+
+
+def _joined(spans: list[tuple[int, int, str]]) -> str:
+    order = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[2], s[1]))
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in order)
+
+
+SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_entropy bigint, base_sha256 string, spans string"
+
+
+def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes=CLASSES,
+                 allow: AllowList = AllowList()) -> DataFrame:
+    """One row per input row with counts, the hash of the base spans and all spans in code points. No shuffle."""
+
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                base, more = base_spans(text), entropy_spans(text, classes, allow)
+                kinds = [k for _, _, k in base]
+                rows.append((doc, *(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(_joined(base).encode()).hexdigest(),
+                             _joined(base + more)))
+            types = [pa.int64()] * 5 + [pa.string()] * 2
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=SCHEMA_NAMES)
+
+    return docs.select(docs[id_column].cast("bigint"), docs[text_column].cast("string")).mapInArrow(scan, SCHEMA)
+
+
+SCHEMA_NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
