@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankfold.llm import ann, chat, mixing, quality, secrets, warc
+from rankfold.llm import ann, chat, decontaminate, jaccard, mixing, quality, secrets, warc
 from rankfold.llm.common import table
 
 
@@ -29,10 +29,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.as_rows(warc.resolve_revisits(warc.page_captures(table(spark, sf_dir, "pages"))))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op4_source_mix, op5_preference_format,
-                                    op6_quality_classifier, op9_revisit_resolution)}
+                                    op6_quality_classifier, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join)}
 SQL = {"op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL}
