@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankfold.llm import ann, chat, decontaminate, jaccard, mixing, quality, secrets, warc
+from rankfold.llm import ann, chat, decontaminate, jaccard, lines, mixing, quality, secrets, warc
 from rankfold.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op4_source_mix, op5_preference_format,
+REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_line_dedup, op4_source_mix, op5_preference_format,
                                     op6_quality_classifier, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join)}
-SQL = {"op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL}
+SQL = {"op3_line_dedup": lines.SQL, "op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL}
