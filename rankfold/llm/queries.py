@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankfold.llm import ann, chat, decontaminate, jaccard, lines, mixing, quality, secrets, warc
+from rankfold.llm import ann, chat, decontaminate, jaccard, lines, mixing, quality, secrets, suffixtree, warc
 from rankfold.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_line_dedup, op4_source_mix, op5_preference_format,
-                                    op6_quality_classifier, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join)}
+                                    op6_quality_classifier, op7_suffix_tree_scores, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join)}
 SQL = {"op3_line_dedup": lines.SQL, "op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL}
