@@ -9,7 +9,8 @@ root's toward equal ones. Retained contexts and the parts of them that lead ther
 is always the longest suffix in the tree; scoring walks it over many stretches of text at once.
 
 Counting covers every training text; batches count for themselves, then one shuffle adds up (symbol runs and words alike).
-Word counts of the `TOLD` most frequent words go to all tasks, those of other words come by a join.
+Counts of words that make up at least `WORD_SHARE` of all words, so at most 1 / WORD_SHARE of them, go to all tasks; those of
+other words come by a join.
 
 Words are told apart by a 64-bit hash. Defined cases: null and empty texts are the end mark alone; rows that repeat are
 scored each; without training texts all bytes are equally likely and no word is known; an empty table gives an empty result.
@@ -27,7 +28,7 @@ from rankfold.llm.common import fold, materialize
 from rankfold.llm.words import Block, blocks
 
 DEPTH, SHARE, GAIN, PULL = 5, 1e-5, 10.0, 2.0
-TOLD = 1 << 18
+WORD_SHARE = 1e-6
 STRETCH = 1024
 _BITS = 9  # a symbol is its byte plus one; zero is none
 _LOW = (1 << _BITS) - 1
@@ -103,7 +104,7 @@ def _contexts(grams: DataFrame) -> pd.DataFrame:
         whole = whole | ((F.col("d") == d) & full)
     rows = rows.filter(whole).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("d", "context"))
-    return rows.withColumn("total", total).filter(F.col("total") >= SHARE * everything).drop("total").toPandas()
+    return rows.withColumn("total", total).filter(F.col("total") >= SHARE * everything).drop("total").toArrow().to_pandas()
 
 
 class SuffixTree:
@@ -115,29 +116,30 @@ class SuffixTree:
         self.column[seen] = np.arange(1, len(seen) + 1)
         width = len(seen) + 1
         # The root; a byte never seen keeps the share that smoothing leaves it.
-        rows = rows.sort_values(["d", "context"], kind="stable")
+        rows = rows.sort_values("context", kind="stable")  # a longer context has the larger code
         keys = rows[["d", "context"]].drop_duplicates().to_numpy(dtype=np.int64)
         if not len(keys):
             keys = np.zeros((1, 2), dtype=np.int64)
         where = {int(c): i for i, c in enumerate(keys[:, 1])}
-        counts = np.zeros((len(keys), width))
-        np.add.at(counts, ([where[int(c)] for c in rows["context"]], self.column[rows["symbol"].to_numpy(dtype=np.int64)]), rows["n"].to_numpy())
-        total = counts.sum(axis=1)
+        counts = np.zeros((len(keys), width), dtype=np.float32)
+        owner = np.searchsorted(keys[:, 1], rows["context"].to_numpy(dtype=np.int64))
+        counts[owner, self.column[rows["symbol"].to_numpy(dtype=np.int64)]] = rows["n"].to_numpy()
         parent = np.array([where[int(c) & ((1 << (_BITS * (d - 1))) - 1)] if d else -1 for d, c in keys], dtype=np.int64)
-        equal = np.full(width, 1 / 256)
-        smooth, retained = np.zeros_like(counts), np.zeros(len(keys), dtype=bool)
+        smooth, retained = np.full((len(keys), width), 1 / 256, dtype=np.float32), np.zeros(len(keys), dtype=bool)
         for d in range(DEPTH + 1):
-            at = np.flatnonzero(keys[:, 0] == d)
-            if not len(at):
-                continue
-            prior = smooth[parent[at]] if d else np.broadcast_to(equal, (len(at), width))
-            smooth[at] = (counts[at] + PULL * prior) / (total[at] + PULL)[:, None]
-            if d:
-                raw = counts[at] / total[at][:, None]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(raw > 0, raw * np.log(raw / prior), 0).sum(axis=1) * total[at]
-                retained[at] = (gain >= GAIN) & (keys[at, 1] & _LOW > 0)
-                smooth[at[~retained[at]]] = prior[~retained[at]]
+            of_length = np.flatnonzero(keys[:, 0] == d)
+            for at in np.array_split(of_length, len(of_length) // 4096 + 1):
+                prior = smooth[parent[at]].astype(float) if d else smooth[at].astype(float)
+                n = counts[at].astype(float)
+                total = n.sum(axis=1, keepdims=True)
+                here = (n + PULL * prior) / (total + PULL)
+                if d:
+                    raw = n / np.maximum(total, 1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        gain = (np.where(raw > 0, raw * np.log(raw / prior), 0) * total).sum(axis=1)
+                    retained[at] = gain >= GAIN
+                    here = np.where(retained[at, None], here, prior)
+                smooth[at] = here
         self.retained = int(retained.sum()) + 1
         states = {0, _END + 1} if _END + 1 in where else {0}
         for d, c in keys[retained]:
@@ -146,7 +148,7 @@ class SuffixTree:
                     states.add((int(c) >> (_BITS * older)) & ((1 << (_BITS * n)) - 1))
         self.codes = np.array(sorted(states), dtype=np.int64)
         place = np.array([where.get(int(c), 0) for c in self.codes])
-        self.logs = np.log10(smooth[place])
+        self.logs = np.log10(smooth[place].astype(float))
         symbols = np.concatenate([[0], seen])
         longer = (self.codes[:, None] << _BITS) | symbols[None, :]
         self.next = np.zeros(longer.shape, dtype=np.int32)
@@ -187,7 +189,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id",
     sums = vocabulary.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
     ends = counted.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     total, distinct = (sums["tokens"] or 0) + ends, sums["words"] + int(ends > 0)
-    told = vocabulary.orderBy(F.desc("n"), "word").limit(TOLD).toPandas().sort_values("word")
+    told = vocabulary.filter(F.col("n") >= WORD_SHARE * (sums["tokens"] or 0)).toArrow().to_pandas().sort_values("word")
     told_words, told_n = told["word"].to_numpy(dtype=np.int64), told["n"].to_numpy(dtype=np.int64)
     width = len(keep)
 
