@@ -65,12 +65,12 @@ def _entry(text: Column, bucket: Column, edits: int, i: int, target: Column, shi
 
 def first_keys(lines: DataFrame, threshold: int, rest: bool) -> DataFrame:
     """Keys of whole lines. A line's own segments serve as probe at shift 0 too, unless `rest` asks for both apart."""
-    text, n, none = F.col("line"), F.length("line"), F.lit(0).cast("long")
+    text, n, none = F.col("line"), F.col("_n"), F.lit(0).cast("long")
     entries = [_entry(text, none, threshold, i, n, 0, False, rest) for i in range(threshold + 1)]
     for gap in range(threshold + 1):
         for i in range(threshold + 1):
             entries += [_entry(text, none, threshold, i, n - gap, s, True, rest) for s in _places(threshold, gap, i) if rest or gap or s]
-    return lines.select("h", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("h", "e.*")
+    return lines.withColumn("_n", F.length("line")).select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
 
 def next_keys(rows: DataFrame, threshold: int) -> DataFrame:
@@ -84,7 +84,7 @@ def next_keys(rows: DataFrame, threshold: int) -> DataFrame:
             for gap in range(-edits, edits + 1):
                 entries += [F.when(mine & F.col("probe") & (F.col("gap") == gap), _entry(text, F.col("key"), edits, i, n - gap, s, True, True))
                             for s in _places(edits, gap, i)]
-    return rows.select("h", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("h", "e.*")
+    return rows.select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
 
 def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -132,7 +132,8 @@ def candidates(lines: DataFrame, threshold: int) -> DataFrame:
 def within(pairs: DataFrame, a: str, b: str, limit: int) -> DataFrame:
     """Rows whose strings `a` and `b` are at most `limit` edits apart: common ends are cut off, then `banded_distance`.
 
-    The parts become columns one after the other, so that none is worked out twice.
+    The lengths of the common ends and then what lies between are stored before the filter reads them: pushed into the
+    filter, their expressions would be worked out at every step.
     """
 
     def same(p: Column, q: Column) -> Column:
@@ -148,8 +149,8 @@ def within(pairs: DataFrame, a: str, b: str, limit: int) -> DataFrame:
                              "_q": F.split(F.when(first, F.col(b)).otherwise(F.col(a)), "")})
     cut = cut.withColumn("_shorter", F.least(F.size("_p"), F.size("_q"))).filter(F.abs(F.length(a) - F.length(b)) <= limit)
     cut = cut.withColumns({"_head": same(F.col("_p"), F.col("_q")), "_back": same(F.reverse("_p"), F.reverse("_q"))})
-    cut = cut.withColumn("_tail", F.least("_back", F.col("_shorter") - F.col("_head")))
-    cut = cut.withColumns({"_p": middle("_p"), "_q": middle("_q")})
+    cut = materialize(cut.withColumn("_tail", F.least("_back", F.col("_shorter") - F.col("_head"))))
+    cut = materialize(cut.select(*pairs.columns, middle("_p").alias("_p"), middle("_q").alias("_q")))
     near = F.when(F.size("_q") == 0, F.size("_p") <= limit).otherwise(banded_distance(F.col("_p"), F.col("_q"), limit) <= limit)
     return cut.filter(near).select(*pairs.columns)
 
