@@ -9,7 +9,7 @@ Sets are equal, highly similar, or neither, and the join uses all three relation
 * Between trees an index of prefix shingles (frequent ones last) finds candidates. Its lists hold one entry per tree;
   they are cut to blocks, and two blocks are skipped whole if their positions and sizes leave too little overlap. The answer of a
   tree's members is derived from the computed overlap of the roots plus what the members gained; only pairs that this bound
-  leaves open are compared.
+  leaves open are compared, and only while their trees are in different components.
 
 So no link between different trees is lost, and links within a tree are not needed for the components.
 
@@ -20,6 +20,7 @@ that repeat an id are one document; rows without id take no part and have no com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,8 @@ K = 5
 #: Sets link if 4 * intersection >= 3 * union, which is 7 * intersection >= 3 * (size + size).
 PART, WHOLE = 3, 4
 HASHES = 4
-#: A shingle counts as frequent from so many texts on; at most FREQUENT_MOST are told to all tasks. They order the
-#: prefixes and decide no result.
-FREQUENT, FREQUENT_MOST = 128, 1_000_000
+#: So many of the most frequent shingles are told to all tasks. They order the prefixes and decide no result.
+FREQUENT_MOST = 1_000_000
 BROADCAST_ROWS = 2_000_000
 LIST_BLOCK = 256
 
@@ -113,27 +113,38 @@ def _linked(row: DataFrame) -> DataFrame:
 
 
 def _trees(nodes: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """`(rep, n, root, gained)` of every representative, and the verified links `(a, b)` that made the trees."""
+    """`(rep, n, root, gained)` of every representative, and the verified links `(a, b)` that made the trees.
+
+    Only meetings of like size that agree in two minima are compared; the index finds what this leaves out.
+    """
+    minima = [f"m{i}" for i in range(HASHES)]
     meetings = None
-    for i in range(HASHES):
-        first = nodes.groupBy(f"m{i}").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("most > a").drop("most")
-        met = nodes.join(first, f"m{i}").filter("a < rep").select("a", F.col("rep").alias("b"))
+    for m in minima:
+        first = nodes.groupBy(m).agg(F.min(F.struct("rep", "n", *minima)).alias("f"), F.max("rep").alias("last")).filter("last > f.rep")
+        agree = sum((F.col(x) == F.col(f"f.{x}")).cast("int") for x in minima)
+        like = (WHOLE * F.least("n", "f.n") >= PART * F.greatest("n", "f.n")) & (agree >= 2)
+        met = nodes.join(first.withColumnRenamed(m, "_m"), F.col(m) == F.col("_m")).filter((F.col("f.rep") < F.col("rep")) & like).select(
+            F.col("f.rep").alias("a"), F.col("rep").alias("b"))
         meetings = met if meetings is None else meetings.union(met)
     links = materialize(_linked(overlaps(docs, materialize(meetings.distinct()), k)))
-    best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"), (-F.col("a")).alias("low"),
-                          (F.col("nb") - F.col("common")).alias("gained")))
-    parents = links.groupBy(F.col("b").alias("rep")).agg(best.alias("p")).select(
-        "rep", (-F.col("p.low")).alias("root"), F.col("p.gained").alias("gained"))
-    tree = materialize(nodes.select("rep", "n").distinct().join(parents, "rep", "left").select(
-        "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("gained", F.lit(0)).cast("long").alias("gained")))
-    while True:  # parents have smaller ids, so jumping ends at roots; what was gained adds up
-        up = tree.filter("root <> rep").select(F.col("rep").alias("at"), F.col("root").alias("next"), F.col("gained").alias("more"))
+    best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"), (-F.col("a")).alias("low")))
+    parents = links.groupBy(F.col("b").alias("rep")).agg(best.alias("p")).select("rep", (-F.col("p.low")).alias("root"))
+    tree = materialize(nodes.select("rep", "n").distinct().join(parents, "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("root")))
+    while True:  # parents have smaller ids, so jumping ends at roots
+        up = tree.filter("root <> rep").select(F.col("rep").alias("at"), F.col("root").alias("next"))
         moved = materialize(tree.join(up, F.col("root") == F.col("at"), "left").select(
-            "rep", "n", F.coalesce("next", "root").alias("root"), (F.col("gained") + F.coalesce("more", F.lit(0))).alias("gained"),
-            F.col("next").isNotNull().alias("changed")))
+            "rep", "n", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("changed")))
         tree = moved.drop("changed")
         if not moved.filter("changed").limit(1).count():
-            return tree, links.select("a", "b")
+            break
+    # What each member has over its root, counted directly.
+    known = links.select("a", "b", "nb", "common")
+    pairs = tree.filter("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b")).distinct()
+    far = overlaps(docs, materialize(pairs.join(known, ["a", "b"], "left_anti")), k).select("a", "b", "nb", "common")
+    gained = known.unionByName(far).groupBy(F.col("a").alias("root"), F.col("b").alias("rep")).agg(F.max(F.col("nb") - F.col("common")).alias("gained"))
+    size = F.count("*").over(Window.partitionBy("root"))
+    tree = tree.join(gained, ["root", "rep"], "left").select("rep", "n", "root", F.coalesce("gained", F.lit(0)).alias("gained"))
+    return materialize(tree.withColumn("alone", size == 1)), links.select("a", "b")
 
 
 def prefix_length(n):
@@ -141,25 +152,44 @@ def prefix_length(n):
     return n - -(-PART * n // WHOLE) + 1
 
 
-def _candidates(docs: DataFrame, tree: DataFrame, frequent: np.ndarray, k: int) -> DataFrame:
-    """Distinct pairs of roots `(a, b)` whose members may link, from the index of prefix shingles."""
+def _shingle_counts(docs: DataFrame, ids: DataFrame, key: str, k: int) -> DataFrame:
+    """`(shingle, texts)` of the shingles that several of the texts have."""
+
+    def count(batches):
+        for batch in batches:
+            held = [s for _, s in _sets(batch.column(0), k)]
+            shingle, texts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle)), pa.array(texts)], names=["shingle", "texts"])
+
+    rows = _of(docs.sparkSession, docs, ids, key).select("text").mapInArrow(count, "shingle long, texts long")
+    return rows.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter("texts > 1")
+
+
+def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, grouped: bool = False) -> DataFrame:
+    """Distinct pairs `(a, b)` of roots whose members may link, from the index of prefix shingles.
+
+    `tree`: `(rep, root, alone, kind)`; if `grouped`, pairs of one kind are left out. Shingles are ordered by their
+    `counts(shingle, texts)`, those without a count first.
+    """
     spark = docs.sparkSession
+    counts = counts.orderBy(F.desc("texts"), "shingle").limit(FREQUENT_MOST).toArrow().to_pandas()
+    known = counts["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, times = known[order], counts["texts"].to_numpy(dtype=np.int64)[order]
 
     def emit(batches):
         for batch in batches:
-            roots = batch.column(0).to_numpy()
+            roots, alone, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
             parts = []
             for row, s in _sets(batch.column(1), k):
                 n = len(s)
                 if n:
-                    if len(frequent):
-                        at = np.searchsorted(frequent, s)
-                        at[at == len(frequent)] = 0
-                        late = frequent[at] == s
-                        s = np.concatenate([s[~late], s[late]])
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")]
                     p = prefix_length(n)
-                    parts.append(np.column_stack([_signed(s[:p]), np.full(p, roots[row]), np.full(p, n), n - np.arange(p)]))
-            rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+                    parts.append(np.column_stack([_signed(s[:p]), np.full(p, roots[row]), np.full(p, n), n - np.arange(p), np.full(p, alone[row]), np.full(p, kind[row])]))
+            rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
             # One entry per shingle and tree: sizes from least to most, and the most that can follow.
             order = np.lexsort((rows[:, 1], rows[:, 0]))
             rows = rows[order]
@@ -167,32 +197,33 @@ def _candidates(docs: DataFrame, tree: DataFrame, frequent: np.ndarray, k: int)
             least, most, rest = (f.reduceat(rows[:, c], start) if len(start) else np.zeros(0, np.int64)
                                  for f, c in ((np.minimum, 2), (np.maximum, 2), (np.maximum, 3)))
             yield pa.RecordBatch.from_arrays([pa.array(rows[start, 0]), pa.array(rows[start, 1]), pa.array(least.astype(np.int32)),
-                                              pa.array(most.astype(np.int32)), pa.array(rest.astype(np.int32))],
-                                             names=["token", "root", "least", "most", "rest"])
+                                              pa.array(most.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(rows[start, 4] > 0), pa.array(rows[start, 5])],
+                                             names=["token", "root", "least", "most", "rest", "alone", "kind"])
 
-    member = tree.select(F.col("rep"), F.col("root"))
-    texts = _of(spark, docs, member, "rep").select("root", "text")
-    index = texts.mapInArrow(emit, "token long, root long, least int, most int, rest int")
+    texts = _of(spark, docs, tree.select("rep", "root", "alone", "kind"), "rep").select("root", "text", "alone", "kind")
+    index = texts.mapInArrow(emit, "token long, root long, least int, most int, rest int, alone boolean, kind long")
     lists = index.repartition(F.col("token")).sortWithinPartitions("token", "least")
-    pairs = lists.mapInArrow(_join_lists, "a long, b long")
-    return materialize(pairs.distinct())
+    met = lists.mapInArrow(partial(_join_lists, grouped=grouped), "a long, b long, sizes int, rest int")
+    # Of two sets, not trees, all common shingles up to the last met are counted: at most `rest` more can follow.
+    found = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.max("sizes").alias("sizes"))
+    return materialize(found.filter("sizes = 0 or 7 * (shared + rest - 1) >= 3 * sizes").select("a", "b"))
 
 
-def _join_lists(batches):
+def _join_lists(batches, grouped: bool):
     """Root pairs of each index list; a list may run over several batches."""
-    held = np.zeros((0, 5), dtype=np.int64)
+    held = np.zeros((0, 7), dtype=np.int64)
     for batch in batches:
-        rows = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         rows = np.concatenate([held, rows])
         if not len(rows):
             continue
         whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last list may go on
         held = rows[whole:]
-        yield from _pairs(rows[:whole])
-    yield from _pairs(held)
+        yield from _pairs(rows[:whole], grouped)
+    yield from _pairs(held, grouped)
 
 
-def _pairs(rows: np.ndarray):
+def _pairs(rows: np.ndarray, grouped: bool):
     start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(rows)])
     found = []
@@ -202,7 +233,7 @@ def _pairs(rows: np.ndarray):
         step = max(1, 2_000_000 // len(i))
         for part in range(0, len(at), step):
             x = at[part:part + step]
-            found.append(_fitting(rows, x[:, i].ravel(), x[:, j].ravel()))
+            found.append(_fitting(rows, x[:, i].ravel(), x[:, j].ravel(), grouped))
     for a, n in zip(start[size > LIST_BLOCK], size[size > LIST_BLOCK]):
         cuts = np.arange(a, a + n, LIST_BLOCK)
         least, rest = np.minimum.reduceat(rows[:a + n, 2], cuts), np.maximum.reduceat(rows[:a + n, 4], cuts)
@@ -214,7 +245,7 @@ def _pairs(rows: np.ndarray):
             for z in y[fits]:
                 i, j = np.meshgrid(np.arange(cuts[x], min(cuts[x] + LIST_BLOCK, a + n)), np.arange(cuts[z], min(cuts[z] + LIST_BLOCK, a + n)))
                 i, j = i.ravel(), j.ravel()
-                found.append(_fitting(rows, i[i < j], j[i < j]))
+                found.append(_fitting(rows, i[i < j], j[i < j], grouped))
             if len(found) > 64:
                 yield _batch(found)
                 found = []
@@ -222,29 +253,68 @@ def _pairs(rows: np.ndarray):
         yield _batch(found)
 
 
-def _fitting(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _fitting(rows: np.ndarray, i: np.ndarray, j: np.ndarray, grouped: bool) -> np.ndarray:
     a, b = rows[i], rows[j]
-    ok = (a[:, 1] != b[:, 1]) & (7 * np.minimum(a[:, 4], b[:, 4]) >= 3 * (a[:, 2] + b[:, 2])) & (
+    ok = (a[:, 1] != b[:, 1]) & ((a[:, 6] != b[:, 6]) | (not grouped)) & (7 * np.minimum(a[:, 4], b[:, 4]) >= 3 * (a[:, 2] + b[:, 2])) & (
         WHOLE * a[:, 3] >= PART * b[:, 2]) & (WHOLE * b[:, 3] >= PART * a[:, 2])
-    return np.column_stack([np.minimum(a[ok, 1], b[ok, 1]), np.maximum(a[ok, 1], b[ok, 1])])
+    a, b = a[ok], b[ok]
+    sizes = np.where((a[:, 5] > 0) & (b[:, 5] > 0), a[:, 2] + b[:, 2], 0)
+    return np.column_stack([np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1]), sizes, np.minimum(a[:, 4], b[:, 4])])
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    """`(a, b, sizes, rest)` of each meeting in a list; sizes is 0 unless both are single sets."""
+    rows = np.concatenate(found)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)),
+                                       pa.array(rows[:, 3].astype(np.int32))], names=["a", "b", "sizes", "rest"])
 
 
-def _member_links(docs: DataFrame, tree: DataFrame, open_pairs: DataFrame, k: int) -> DataFrame:
-    """Links between members of trees whose roots don't link: derived bounds first, then exact overlaps."""
-    member = tree.select("rep", "root", (7 * F.col("gained") - 3 * F.col("n")).alias("slack"))
-    best = member.groupBy("root").agg(F.max("slack").alias("best"))
-    a, b = (best.select(F.col("root").alias(c), F.col("best").alias(f"best_{c}")) for c in "ab")
-    left = open_pairs.join(a, "a").join(b, "b").filter("7 * common + best_a + best_b >= 0").join(
-        member.select(F.col("root").alias("a"), F.col("rep").alias("x"), F.col("slack").alias("sx")), "a").filter("7 * common + sx + best_b >= 0")
-    pairs = left.join(member.select(F.col("root").alias("b"), F.col("rep").alias("y"), F.col("slack").alias("sy")), "b").filter(
-        "7 * common + sx + sy >= 0 and not (x = a and y = b)")
-    pairs = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return _linked(overlaps(docs, pairs, k)).select("a", "b")
+def _tree_links(docs: DataFrame, tree: DataFrame, links: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """Components `(node, component)` of the roots. `links` join roots; `roots` holds all overlaps of candidate roots.
+
+    Trees whose roots don't link may still hold members that do. The roots' overlap and what members gained bound the
+    members' overlap; pairs that the bound leaves open are compared exactly, those with the best bounds first, and trees that
+    have come into one component meanwhile are left out. The members of what stays open meet in an index of their own.
+    """
+    linked = f"{WHOLE} * common >= {PART} * (na + nb - common)"
+    links = materialize(links.unionByName(roots.filter(linked).select("a", "b")))
+    member = materialize(tree.select("rep", "root", (7 * F.col("gained") - 3 * F.col("n")).alias("slack")).withColumn(
+        "place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("slack"), "rep"))))
+    best = member.filter("place = 1").select("root", F.col("slack").alias("best"))
+    sides = [(best.select(F.col("root").alias(c), F.col("best").alias(f"best_{c}"))) for c in "ab"]
+    open_ = materialize(roots.filter(f"not ({linked})").join(sides[0], "a").join(sides[1], "b").filter("7 * common + best_a + best_b >= 0"))
+    for most in (4, 32, None):
+        placed = connected_components(links)
+        for c in "ab":
+            open_ = open_.join(placed.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
+        open_ = materialize(open_.filter("coalesce(in_a, a) <> coalesce(in_b, b)").drop("in_a", "in_b"))
+        if not open_.limit(1).count():
+            return placed
+        if most is None:
+            break
+        some = member.filter(F.col("place") <= most)
+        a, b = (some.select(F.col("root").alias(c), F.col("rep").alias(f"x{c}"), F.col("slack").alias(f"s{c}")) for c in "ab")
+        asked = open_.join(a, "a").join(b, "b").filter("7 * common + sa + sb >= 0 and not (xa = a and xb = b)")
+        links = materialize(links.unionByName(_asked_links(docs, asked, k)))
+    # The rest: an index of the members of the open trees, shingles ordered by how many of these have them.
+    left = open_.select(F.col("a").alias("root")).union(open_.select("b")).distinct()
+    rest = materialize(member.join(left, "root").join(placed, F.col("root") == F.col("node"), "left").select(
+        "rep", "root", "slack", F.coalesce("component", "root").alias("kind")))
+    counts = _shingle_counts(docs, rest.select("rep").distinct(), "rep", k)
+    met = _candidates(docs, rest.select("rep", F.col("rep").alias("root"), F.lit(True).alias("alone"), "kind"), counts, k, grouped=True)
+    for c, x in (("a", "p"), ("b", "q")):
+        met = met.join(rest.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"), F.col("slack").alias(f"s{c}")), c).withColumnRenamed(c, x)
+    ends = met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.col("p").alias("xa"), F.col("q").alias("xb"),
+                      (F.col("sa") + F.col("sb")).alias("both"))
+    asked = ends.join(open_.select("a", "b", "common"), ["a", "b"]).filter("7 * common + both >= 0")
+    return connected_components(links.unionByName(_asked_links(docs, asked, k)))
+
+
+def _asked_links(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """`(a, b)` of the roots whose members `xa` and `xb` link."""
+    asked = materialize(asked.select("a", "b", F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y")).distinct())
+    near = _linked(overlaps(docs, asked.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), k))
+    return asked.join(near.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select("a", "b")
 
 
 def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K) -> DataFrame:
@@ -252,25 +322,21 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     signed = _signatures(docs, k)
     rows = signed.filter("part = 0")
-    counts = signed.filter("part = 1").groupBy("fp1").agg(F.sum("n").alias("texts")).filter(F.col("texts") >= FREQUENT)
-    frequent = counts.orderBy(F.desc("texts"), "fp1").limit(FREQUENT_MOST).select("fp1").toPandas()["fp1"]
-    frequent = np.sort(frequent.to_numpy(dtype=np.int64).view(np.uint64))
+    counts = signed.filter("part = 1").groupBy("fp1").agg(F.sum("n").alias("texts")).select(F.col("fp1").alias("shingle"), "texts")
     full = rows.filter("n > 0 and doc_id is not null")
     nodes = materialize(full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]))
     tree, near = _trees(nodes, docs, k)
-    roots = overlaps(docs, _candidates(docs, tree, frequent, k), k)
-    linked = f"{WHOLE} * common >= {PART} * (na + nb - common)"
-    wide = _member_links(docs, tree, roots.filter(f"not ({linked})"), k)
-    root_of = tree.groupBy("rep").agg(F.min("root").alias("root"))
-    links = near.unionByName(wide)
-    for c in "ab":
-        links = links.join(root_of.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")), c)
-    links = links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(roots.filter(linked).select("a", "b"))
+    sides = tree.select("rep", "root", "alone", F.lit(0).cast("long").alias("kind"))
+    roots = overlaps(docs, _candidates(docs, sides, counts, k), k)
+    root_of = materialize(tree.groupBy("rep").agg(F.min("root").alias("root")))
     # Rows that repeat an id with another text tie the trees of their sets.
-    again = full.join(nodes.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"]).filter("doc_id <> rep")
     several = full.groupBy("doc_id").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).filter("lo <> hi").select("doc_id")
-    tied = again.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = connected_components(links.unionByName(tied))
+    tied = full.join(several, "doc_id").join(nodes.select("n", "fp1", "fp2", "rep"), ["n", "fp1", "fp2"])
+    first_rep = tied.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    links = near.unionByName(tied.join(first_rep, "doc_id").select(F.col("rep").alias("a"), "b"))
+    for c in "ab":
+        links = links.join(root_of.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")), c)
+    first = _tree_links(docs, tree, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b"), roots, k)
     placed = nodes.join(root_of, "rep").join(first, F.col("root") == F.col("node"), "left").select(
         "n", "fp1", "fp2", F.coalesce("component", "root").alias("component_id"))
     return rows.join(placed, ["n", "fp1", "fp2"], "left").select(
