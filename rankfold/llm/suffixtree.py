@@ -54,25 +54,42 @@ def stream(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(symbols: np.ndarray) -> np.ndarray:
     """Code of every symbol and the context before it; contexts begin anew after an end mark."""
-    code = symbols.astype(np.int64) + 1
+    code = np.concatenate([[_END], symbols]).astype(np.int64) + 1
     total, before = code.copy(), code
     for j in range(1, DEPTH + 1):
-        back = np.empty_like(code)
-        back[j:], back[:j] = code[:len(code) - j], 0
-        if j == 1:
-            back[:1] = _END + 1
-        else:
+        back = np.zeros_like(code)
+        back[j:] = code[:len(code) - j]
+        if j > 1:
             back[(before == 0) | (before == _END + 1)] = 0
         total |= back << (_BITS * j)
         before = back
-    return total
+    return total[1:]
 
 
-def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+class Tally:
+    """Keys with counts; parts are merged as soon as they outgrow `MERGE` entries, so memory follows the distinct keys."""
+
+    MERGE = 1 << 20
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size - len(self.parts[0][0]) > self.MERGE:
+            self.parts = [self.merged()]
+            self.size = len(self.parts[0][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        start = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]][:len(keys)])
+        return keys[start], np.add.reduceat(n, start) if len(start) else n
 
 
 def _gather(texts: DataFrame) -> DataFrame:
@@ -80,11 +97,11 @@ def _gather(texts: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            symbols, words = [], []
-            for block in blocks(batch.column(0), 1 << 22):
-                symbols.append(np.unique(runs(stream(block)[0]), return_counts=True))
-                words.append(np.unique(block.hashes.view(np.int64), return_counts=True))
-            found = [_count(symbols), _count(words), (np.zeros(1, np.int64), np.full(1, batch.num_rows))]
+            symbols, words = Tally(), Tally()
+            for block in blocks(batch.column(0)):
+                symbols.add(runs(stream(block)[0]))
+                words.add(block.hashes.view(np.int64))
+            found = [symbols.merged(), words.merged(), (np.zeros(1, np.int64), np.full(1, batch.num_rows))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(k) for k, _ in found])),
                  pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([n for _, n in found]))], names=["kind", "key", "n"])
