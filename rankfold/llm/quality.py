@@ -48,16 +48,19 @@ def build_dictionary(pieces: list[bytes]) -> bytes | None:
         return b"".join(pieces)[-DICTIONARY_BYTES:] or None
 
 
+def _gain(pieces: list, better: zstandard.ZstdCompressor, worse: zstandard.ZstdCompressor) -> float:
+    """Bytes with the bad dictionary less bytes with the good one, per byte of text."""
+    gain = sum(len(worse.compress(p)) - len(better.compress(p)) for p in pieces)
+    return gain / max(1, sum(map(len, pieces)))
+
+
 def raw_score(docs: DataFrame, good: bytes | None, bad: bytes | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`(id, raw)`: bytes with the bad dictionary less bytes with the good one, per byte of text."""
+    """`(id, raw)` of every row."""
 
     def measure(batches):
         better, worse = _compressor(good), _compressor(bad)
         for batch in batches:
-            raw = []
-            for pieces in _pieces(batch.column(1)):
-                gain = sum(len(worse.compress(p)) - len(better.compress(p)) for p in pieces)
-                raw.append(gain / max(1, sum(map(len, pieces))))
+            raw = [_gain(pieces, better, worse) for pieces in _pieces(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=[id_column, "raw"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -112,6 +115,19 @@ class CompressionClassifier:
         return raw_score(docs, self.good, self.bad, id_column, text_column).withColumn("score", 1 / (1 + F.exp(-z)))
 
 
+    def keep(self, docs: DataFrame, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+        """Rows that score at least the threshold, with all their columns; a filter in place, without a shuffle."""
+        at, slope, offset, good, bad = docs.columns.index(text_column), self.slope / self.scale, self.offset, self.good, self.bad
+
+        def choose(batches):
+            better, worse = _compressor(good), _compressor(bad)
+            for batch in batches:
+                raw = np.array([_gain(pieces, better, worse) for pieces in _pieces(batch.column(at))], dtype=float)
+                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * raw + offset, -700, 700))) >= threshold))
+
+        return docs.mapInArrow(choose, docs.schema)
+
+
 def _sample(texts: DataFrame) -> list[bytes]:
     """At most PIECES pieces of the texts, by hash."""
 
