@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def dense_spans(text: str, window: int, limit: float) -> Iterator[tuple[int, int]]:
     """Unions of touching windows whose entropy is at least `limit` bits."""
     counts: defaultdict[str, int] = defaultdict(int)
-    power = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    power = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     total, begin, end = 0.0, -1, -1
     for i, c in enumerate(text):
         counts[c] += 1
