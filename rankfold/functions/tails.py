@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+#: A series ends when a step changes less than this; one that doesn't end within MOST_STEPS gives NaN.
+SMALLEST_STEP, MOST_STEPS = 1e-15, 100_000
 
 def _gamma_q(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
@@ -27,7 +29,7 @@ def _gamma_q(a: float, x: float) -> float:
     if x < a + 1:
         term = total = 1.0 / a
         n = a
-        while abs(term) > abs(total) * 1e-17:
+        while abs(term) > abs(total) * SMALLEST_STEP:
             n += 1
             term *= x / n
             total += term
@@ -36,16 +38,16 @@ def _gamma_q(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
     h = d
-    for i in range(1, 100_000):
+    for i in range(1, MOST_STEPS):
         an = -i * (i - a)
         b += 2
         d = 1 / (an * d + b or tiny)
         c = b + an / c or tiny
         step = c * d
         h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return h * scale
+        if abs(step - 1) < SMALLEST_STEP:
+            return h * scale
+    return math.nan
 
 
 def _beta_i(x: float, a: float, b: float) -> float:
@@ -60,16 +62,16 @@ def _beta_i(x: float, a: float, b: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
     h = d
-    for m in range(1, 100_000):
+    for m in range(1, MOST_STEPS):
         for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                           -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + numerator * d or tiny)
             c = 1 + numerator / c or tiny
             step = c * d
             h *= step
-        if abs(step - 1) < 1e-16:
-            break
-    return math.exp(log_front) * h / a
+        if abs(step - 1) < SMALLEST_STEP:
+            return math.exp(log_front) * h / a
+    return math.nan
 
 
 def _normal_two_sided(z: float) -> float:

@@ -37,26 +37,32 @@ def chi2_from_counts(counts: DataFrame) -> DataFrame:
     Only occupied cells are needed: chi2 = n (sum o^2 / (row x column) - 1).
     """
     pair = ["var_a", "var_b"]
-    rows = counts.groupBy(*pair, "a").agg(F.sum("n").alias("row_n"))
-    columns = counts.groupBy(*pair, "b").agg(F.sum("n").alias("col_n"))
-    shares = (counts.join(rows, [*pair, "a"]).join(columns, [*pair, "b"])
-              .groupBy(*pair).agg(F.sum(F.col("n") * F.col("n") / (F.col("row_n") * F.col("col_n"))).alias("share"),
-                                  F.sum("n").alias("n")))
-    sizes = rows.groupBy(*pair).agg(F.count("*").alias("levels_a")).join(
-        columns.groupBy(*pair).agg(F.count("*").alias("levels_b")), pair)
-    return with_group_columns(shares, sizes, pair).select(
-        *pair, F.col("n").cast("long").alias("n"), "levels_a", "levels_b",
-        (F.col("n") * (F.col("share") - 1)).alias("chi2"),
+    # The cells are few next to the rows they count; sums of rows and columns are windows over them.
+    row_n = F.sum("n").over(W.partitionBy(*pair, "a"))
+    col_n = F.sum("n").over(W.partitionBy(*pair, "b"))
+    cells = counts.withColumns({"row_n": row_n, "col_n": col_n})
+    return cells.groupBy(*pair).agg(
+        F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n") / (F.col("row_n") * F.col("col_n"))).alias("share"),
+        F.count_distinct("a").alias("levels_a"), F.count_distinct("b").alias("levels_b")).select(
+        *pair, F.col("total").cast("long").alias("n"), "levels_a", "levels_b",
+        (F.col("total") * (F.col("share") - 1)).alias("chi2"),
         ((F.col("levels_a") - 1) * (F.col("levels_b") - 1)).alias("dof"))
 
 
-def bias_corrected_v(chi2: Column, n: Column, r: Column, k: Column) -> Column:
-    """Cramer's V with bias correction."""
-    n = n.cast("double")
-    phi2 = F.greatest(F.lit(0.0), ratio(chi2, n) - ratio((k - 1) * (r - 1), n - 1))
-    rc = r - ratio((r - 1) ** 2, n - 1)
-    kc = k - ratio((k - 1) ** 2, n - 1)
-    return F.sqrt(phi2 / F.greatest(F.least(kc - 1, rc - 1), F.lit(1e-12)))
+def corrected_v(chi2: Column, total: Column, levels_a: Column, levels_b: Column) -> Column:
+    """Cramer's V after Bergsma (2013): what independent variables would show on average is taken off.
+
+    A table with one level on a side has no association.
+    """
+    spare = total.cast("double") - 1
+
+    def freedom(levels: Column) -> Column:
+        return (levels - 1) * (1 - ratio(levels - 1, spare))
+
+    by_chance = ratio((levels_a - 1) * (levels_b - 1), spare)
+    excess = ratio(chi2, total.cast("double")) - by_chance
+    most = F.least(freedom(levels_a), freedom(levels_b))
+    return F.when((excess > 0) & (most > 0), F.sqrt(excess / most)).otherwise(F.lit(0.0))
 
 
 def categorical_association(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -65,14 +71,14 @@ def categorical_association(df: DataFrame, columns: list[str], label: str) -> Da
     return table.select(
         F.col("var_a").alias("variable"), F.col("levels_a").alias("levels"), "chi2", "dof",
         chi2_p("chi2", "dof").alias("p_value"),
-        bias_corrected_v(F.col("chi2"), F.col("n"), F.col("levels_a"), F.col("levels_b")).alias("cramers_v"))
+        corrected_v(F.col("chi2"), F.col("n"), F.col("levels_a"), F.col("levels_b")).alias("cramers_v"))
 
 
 def cramers_v_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """`(var_a, var_b, cramers_v)` for all ordered pairs, from all rows; 1 on the diagonal."""
     table = chi2_from_counts(pair_counts(df, list(combinations(columns, 2)))).select(
         "var_a", "var_b",
-        bias_corrected_v(F.col("chi2"), F.col("n"), F.col("levels_a"), F.col("levels_b")).alias("cramers_v"))
+        corrected_v(F.col("chi2"), F.col("n"), F.col("levels_a"), F.col("levels_b")).alias("cramers_v"))
     mirrored = table.select(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "cramers_v")
     diagonal = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("var_a")).select(
         "var_a", F.col("var_a").alias("var_b"), F.lit(1.0).alias("cramers_v"))

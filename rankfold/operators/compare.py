@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rankfold.functions.scalars import at_least, at_most, ratio
 from rankfold.functions.tails import chi2_p, coin_p, normal_p
 from rankfold.operators.metrics import score_distribution
-from rankfold.operators.ordering import Distribution, lookup
+from rankfold.operators.ordering import Distribution, lookup, midranks
 from rankfold.session import materialize
 
 ALPHA = 0.05
@@ -135,30 +135,22 @@ def auc_intervals(wide: DataFrame, models: list[str], alpha: float = ALPHA) -> D
                         F.col("auc1_lo").alias("lo"), F.col("auc1_hi").alias("hi"))
 
 
-def delong_direct(wide: DataFrame, models: list[str], limit: int = 20_000) -> DataFrame:
-    """Same figures as `delong`, from every positive-negative pair. Validates the fast form.
+def delong_by_ranks(wide: DataFrame, models: list[str]) -> DataFrame:
+    """Same figures as `delong` by another route: mid-ranks of all rows less mid-ranks within the class.
 
-    The pair count is quadratic, so tables above `limit` rows are refused: draw a
-    `hash_sample` first. The negatives travel as arrays inside a broadcast of checked size.
+    A row's rank among all less its rank in its own class counts the other class below it.
     """
-    n = wide.count()
-    if n > limit:
-        raise ValueError(f"{n} rows; the direct form compares all pairs - sample at most {limit} rows first")
-
-    def against(rows: DataFrame, others: DataFrame, wins) -> DataFrame:
-        packed = others.agg(*[F.collect_list(m).alias(f"_o_{m}") for m in models]).withColumn("_k", F.lit(1))
-        joined = rows.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
-        return joined.select("y", *[
-            (F.aggregate(f"_o_{m}", F.lit(0.0), lambda acc, o: acc + wins(F.col(m), o)) / F.size(f"_o_{m}"))
-            .alias(f"c_{m}") for m in models])
-
-    def higher(a: Column, b: Column) -> Column:
-        return F.when(a > b, 1.0).when(a == b, 0.5).otherwise(0.0)
-
-    pos, neg = wide.filter(F.col("y") == 1), wide.filter(F.col("y") == 0)
-    parts = against(pos, neg, higher).unionByName(against(neg, pos, lambda mine, other: higher(other, mine)))
-    # Stored once: every covariance would otherwise repeat the comparisons of its columns.
-    return delong_table(_moments(materialize(parts), models), models)
+    rows = wide.select("y", *models)
+    for m in models:
+        rows = midranks(midranks(rows, [], m, f"_all_{m}"), ["y"], m, f"_own_{m}")
+    sizes = wide.groupBy("y").agg(F.count("*").alias("n"))
+    other = {1: sizes.filter("y = 0").select("n").scalar(), 0: sizes.filter("y = 1").select("n").scalar()}
+    parts = []
+    for m in models:
+        below = F.col(f"_all_{m}") - F.col(f"_own_{m}")
+        parts.append(F.when(F.col("y") == 1, below / other[1]).otherwise(1 - below / other[0]).alias(f"c_{m}"))
+    # Stored once: every covariance would otherwise repeat the lookups.
+    return delong_table(_moments(materialize(rows.select("y", *parts)), models), models)
 
 
 def holm(df: DataFrame, p: str, family: list[str], name: str = "p_holm") -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from rankfold.operators.metrics import auc, best_f1_threshold, first_best, multi_threshold_counts, with_search_f1
+from rankfold.operators.features import prepare
+from rankfold.operators.metrics import auc, first_best, multi_threshold_counts, with_search_f1
+from rankfold.operators.ordering import exact_quantiles
 from rankfold.session import materialize
 from rankfold.sources.files import resume_record
 
@@ -39,7 +41,7 @@ class Spec:
         return 0.5 if self.score_column == "probability" else 0.0
 
 
-def model_specs(label: str = "default", seed: int = 42, max_memory_mb: int = 256, max_bins: int = 32,
+def model_specs(label: str = "default", seed: int = 42, max_memory_mb: int = 64, max_bins: int = 32,
                 reg_params=REG_PARAMS, depths=DEPTHS, forest_trees=FOREST_TREES, boost_rounds=BOOST_ROUNDS,
                 boost_depths=BOOST_DEPTHS, max_iter: int = 100) -> dict[str, Spec]:
     """Estimator, parameter grid and score column of each model.
@@ -146,7 +148,8 @@ def oof_threshold(estimator: Estimator, train: DataFrame, score_column: str, fol
     if score_column == "probability":
         grid = [round(s, 4) for s in steps]
     else:
-        grid = sorted(set(scores.filter(F.col("fold") == 0).approxQuantile("score", steps, 1e-3)))
+        quantiles = exact_quantiles(scores.filter(F.col("fold") == 0), [], "score", steps)
+        grid = sorted({row["quantile"] for row in quantiles.collect()})  # as many as there are points
     return first_best(with_search_f1(multi_threshold_counts(scores, [], grid)), [], "f1", "threshold").select("threshold", "f1")
 
 
@@ -205,14 +208,21 @@ def scaling_leak(train: DataFrame, label: str = "default", folds: int = 3, reg_p
     return spark.createDataFrame(rows, "scaler string, auc_cv double, reg_param double")
 
 
-def temporal_validation(spec: Spec, params: dict, train: DataFrame, test: DataFrame, period: str, last_train: int,
-                        condition=None, label: str = "default") -> DataFrame:
-    """Same test rows (the period after `last_train`) scored by a model of all periods and one of the past."""
+def temporal_validation(spec: Spec, params: dict, features: DataFrame, split: DataFrame, period: str, last_train: int,
+                        condition=None, label: str = "default", **columns) -> DataFrame:
+    """Same test rows (the period after `last_train`) scored by a model of all periods and one of the past.
+
+    `features` are rows of the model frame. Levels, encoder and scaler are learnt anew from the rows that each model is
+    trained on, so the model of the past knows nothing of what came later.
+    """
     condition = F.lit(True) if condition is None else condition
-    past = train.filter((F.col(period) <= last_train) & condition)
-    later = test.filter((F.col(period) == last_train + 1) & condition)
-    parts = [score(refit(spec, params, rows), later, spec.score_column, label).withColumn("trained_on", F.lit(name))
-             for name, rows in (("all_periods", train), ("past_only", past))]
+    placed = materialize(features.select("id", period, F.coalesce(condition, F.lit(False)).alias("_asked")).join(split, "id"))
+    later = (F.col("split") == "test") & (F.col(period) == last_train + 1) & F.col("_asked")
+    train = F.col("split") == "train"
+    parts = []
+    for name, learnt in (("all_periods", train), ("past_only", train & (F.col(period) <= last_train) & F.col("_asked"))):
+        known, asked, *_ = prepare(features, placed.filter(learnt | later).select(*split.columns), label=label, **columns)
+        parts.append(score(refit(spec, params, known), asked, spec.score_column, label).withColumn("trained_on", F.lit(name)))
     scores = materialize(parts[0].unionByName(parts[1]))
     sizes = scores.groupBy("trained_on").agg(F.count("*").alias("n_test"))
     return auc(scores, ["trained_on"]).join(sizes, "trained_on")
@@ -226,7 +236,3 @@ def impurity_importance(model: Model, features: DataFrame) -> DataFrame:
     rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(values)]
     return features.sparkSession.createDataFrame(rows, "feature string, importance double")
 
-
-def thresholds_by_model(scores: DataFrame, by: list[str], points: int = 199) -> DataFrame:
-    """F1 threshold of each model from its out-of-fold scores."""
-    return best_f1_threshold(scores, by, points=points)

@@ -60,13 +60,14 @@ def distribution(
 ) -> Distribution:
     """Running sums of `sums` over the ascending distinct values of each group.
 
-    Null values do not take part. Unless `distinct` is given, one small job on `df` counts
+    Null values do not take part. Values keep their own type, so integers and decimals beyond 2^53
+    stay apart. Unless `distinct` is given, one small job on `df` counts
     the distinct values; materialise `df` first when it is costly.
     """
     source = df.filter(F.col(value).isNotNull())
     if distinct is None:
         distinct = count_distinct_pairs(source, [*keys, value])
-    counts = source.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(
+    counts = source.groupBy(*keys, value).agg(
         *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     names = list(sums)
@@ -94,9 +95,11 @@ def _ranged(source: DataFrame, counts: DataFrame, keys: list[str], value: str, n
     cuts = sorted(set(
         source.select(F.col(value).cast("double").alias(value)).approxQuantile(value, probabilities, 0.25 / ranges)
     ))
-    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol="_range",
+    # The nearest double never falls as the value grows, so it may choose the range.
+    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_near", outputCol="_range",
                             handleInvalid="keep")
-    placed = bucketizer.transform(counts).withColumn("_range", F.col("_range").cast("int"))
+    placed = bucketizer.transform(counts.withColumn("_near", F.col(value).cast("double"))).drop("_near").withColumn(
+        "_range", F.col("_range").cast("int"))
 
     within = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     rows = placed.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"_in_{n}") for n in names])
@@ -155,7 +158,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
            .withColumn("_pos", F.col("prob") * last).withColumn("_lo", F.floor("_pos")))
     low, high = F.min(value), F.max(value)
     weight = F.first(F.col("_pos") - F.col("_lo"))
-    return hit.groupBy(*keys, "prob").agg((low + (high - low) * weight).alias("quantile"))
+    return hit.groupBy(*keys, "prob").agg((low.cast("double") + (high - low).cast("double") * weight).alias("quantile"))
 
 
 def lookup(rows: DataFrame, found: Distribution, on: dict[str, str], take: list[str],
@@ -165,24 +168,27 @@ def lookup(rows: DataFrame, found: Distribution, on: dict[str, str], take: list[
     `on` maps row columns to table columns. Small tables (by measured size) are broadcast.
     For larger ones, the values that hold more than `hot_share` of a group's rows - at most
     1/hot_share per group - are broadcast and only the remaining rows are shuffled, so a
-    value shared by a third of all rows never gathers in one task.
+    value shared by a third of all rows never gathers in one task. Rows pass both joins in one
+    branch: a settled row has no value left to look for and is dealt by a hash of itself.
     """
     table = found.table.select(*[F.col(t).alias(f"_t_{r}") for r, t in on.items()],
                                *[F.col(c).alias(f"_v_{c}") for c in take],
                                (F.col(weight) > F.col(f"{weight}_total") * hot_share).alias("_hot"))
-    condition = [F.col(r).cast("double") == F.col(f"_t_{r}") if on[r] == found.value else F.col(r) == F.col(f"_t_{r}")
-                 for r in on]
+    condition = [F.col(r) == F.col(f"_t_{r}") for r in on]
     drop = [f"_t_{r}" for r in on]
     if found.distinct <= broadcast_rows:
         joined = rows.join(F.broadcast(table.drop("_hot")), _all(condition))
         return joined.select(*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in take])
-    hot = table.filter("_hot")
-    first = rows.join(F.broadcast(hot), _all(condition), "left").drop(*drop)
-    settled = first.filter(F.col("_hot").isNotNull()).drop("_hot")
-    open_rows = first.filter(F.col("_hot").isNull()).drop("_hot", *[f"_v_{c}" for c in take])
-    rest = open_rows.join(table.filter(~F.col("_hot")), _all(condition)).drop("_hot", *drop)
-    out = [*rows.columns, *[F.col(f"_v_{c}").alias(c) for c in take]]
-    return settled.select(*out).unionByName(rest.select(*out))
+    hot = table.filter("_hot").select(*drop, F.struct(*[f"_v_{c}" for c in take]).alias("_first"))
+    rest = table.filter(~F.col("_hot")).select(
+        *[F.col(c).alias(f"_s{c}") for c in drop], F.struct(*[f"_v_{c}" for c in take]).alias("_second"), F.lit(0).alias("_deal"))
+    settled = F.col("_first").isNotNull()
+    dealt = rows.join(F.broadcast(hot), _all(condition), "left").drop(*drop).withColumns({
+        "_part": F.when(settled, F.pmod(F.xxhash64(*rows.columns), F.lit(4095)).cast("int") + 1).otherwise(F.lit(0)),
+        **{f"_k_{r}": F.when(~settled, F.col(r)) for r in on}})
+    match = [F.col(f"_k_{r}") == F.col(f"_s_t_{r}") for r in on] + [F.col("_part") == F.col("_deal")]
+    joined = dealt.join(rest, _all(match), "left").withColumn("_found", F.coalesce("_first", "_second"))
+    return joined.filter("_found is not null").select(*rows.columns, *[F.col(f"_found._v_{c}").alias(c) for c in take])
 
 
 def _all(conditions: list[Column]) -> Column:

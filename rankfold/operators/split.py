@@ -111,9 +111,8 @@ def hash_sample(df: DataFrame, id_column: str, n: int, seed: int = 42, digits: i
 
 
 def fraction_sample(df: DataFrame, id_column: str, fraction: float, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Rows whose hash falls in the first `fraction` of the hash space, at most `n` of them."""
-    limit = f"{min(int(fraction * 16**8), 16**8 - 1):08x}"
-    kept = df.filter(F.substring(hash_order(id_column, seed), 1, 8) < limit)
+    """Rows whose hash falls in the first `fraction` of the hash space, at most `n` of them; all rows from 1 on."""
+    kept = df if fraction >= 1 else df.filter(F.substring(hash_order(id_column, seed), 1, 8) < f"{int(fraction * 16**8):08x}")
     return kept if n is None else hash_sample(kept, id_column, n, seed)
 
 

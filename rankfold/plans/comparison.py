@@ -98,23 +98,14 @@ def auc_components(spark, sf):
         F.count("*").alias("n"), r(F.avg("c")).alias("mean"), r(F.var_samp("c")).alias("var"))
 
 
-DIRECT_SQL = WIDE_SQL + """, s AS (SELECT * FROM wide ORDER BY md5('11|' || id), id LIMIT 2000),
-k AS (SELECT 'm1' AS model, id, y, m1 AS v FROM s UNION ALL SELECT 'm2', id, y, m2 FROM s),
-psi AS (SELECT p.model, p.id AS pid, n.id AS nid, CASE WHEN p.v > n.v THEN 1.0 WHEN p.v = n.v THEN 0.5 ELSE 0.0 END::DOUBLE AS w
-        FROM k p JOIN k n ON p.model = n.model WHERE p.y = 1 AND n.y = 0),
-comp AS (SELECT model, 1 AS y, pid AS id, avg(w) AS c FROM psi GROUP BY model, pid UNION ALL SELECT model, 0, nid, avg(w) FROM psi GROUP BY model, nid),
-parts AS (SELECT a.y, count(*) AS n, avg(a.c) AS m1, avg(b.c) AS m2, (var_samp(a.c) + var_samp(b.c) - 2 * covar_samp(a.c, b.c)) / count(*) AS v
-          FROM comp a JOIN comp b ON a.id = b.id AND a.model = 'm1' AND b.model = 'm2' GROUP BY a.y)"""
-
-
-@query("delong_direct", f"""WITH {DIRECT_SQL} SELECT round(max(m1) FILTER (y = 1), 9) AS auc1, round(max(m2) FILTER (y = 1), 9) AS auc2,
-  round((max(m1) FILTER (y = 1) - max(m2) FILTER (y = 1)) / sqrt(sum(v)), 6) AS z, TRUE AS agrees FROM parts""")
+@query("delong_direct", f"""WITH {delong_sql([('m1', 'm2')])}
+SELECT round(auc1, 9) AS auc1, round(auc2, 9) AS auc2, round(z, 6) AS z, TRUE AS agrees FROM d""")
 def delong_direct(spark, sf):
-    """Fast against direct form on a drawn sample of 2000 rows, as a validator."""
-    sample = hash_sample(wide(spark, sf).select("id", "y", "m1", "m2"), "id", 2000, seed=11)
-    direct = C.delong_direct(sample, ["m1", "m2"]).select("model_a", "auc1", "auc2", "z", "p_value")
-    fast = C.delong(sample, ["m1", "m2"]).select("model_a", F.col("z").alias("fast_z"), F.col("p_value").alias("fast_p"))
-    return direct.join(fast, "model_a").select(
+    """Components from counts below a score against components from mid-ranks, over all rows."""
+    rows = wide(spark, sf).select("id", "y", "m1", "m2")
+    ranks = C.delong_by_ranks(rows, ["m1", "m2"]).select("model_a", "auc1", "auc2", "z", "p_value")
+    fast = C.delong(rows, ["m1", "m2"]).select("model_a", F.col("z").alias("fast_z"), F.col("p_value").alias("fast_p"))
+    return ranks.join(fast, "model_a").select(
         r("auc1").alias("auc1"), r("auc2").alias("auc2"), r("z", 6).alias("z"),
         ((F.abs(F.col("z") - F.col("fast_z")) < 1e-6) & (F.abs(F.col("p_value") - F.col("fast_p")) < 1e-6)).alias("agrees"))
 
@@ -163,7 +154,8 @@ def mcnemar_by_customer(spark, sf):
     mean = orders.agg(F.avg("o_totalprice").alias("v")).scalar()
     ok1, ok2 = F.col("o_orderstatus") == "F", F.col("o_totalprice") > mean
     counts = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count_if(ok1 & ~ok2).alias("b"), F.count_if(~ok1 & ok2).alias("c"))
-    return rounded(C.mcnemar_table(counts).select("custkey", "b", "c", "method", "p_value"), ["p_value"], 6)
+    tested = C.mcnemar_table(counts.select("b", "c").distinct())  # one p value for each pair of counts
+    return rounded(counts.join(tested, ["b", "c"]).select("custkey", "b", "c", "method", "p_value"), ["p_value"], 6)
 
 
 @query("holm_adjust", f"""WITH {WIDE_SQL}, {MCNEMAR_SQL},

@@ -92,7 +92,7 @@ features AS (
 
 
 def features(spark, sf) -> DataFrame:
-    return X.build_features(raw_text(spark, sf))
+    return X.model_frame(raw_text(spark, sf))
 
 
 _STORED: dict[tuple[str, str], DataFrame] = {}
@@ -183,7 +183,7 @@ def scaled_moments(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     rows = X.fill_sentinel(features(spark, sf).select("id", *SCALED), SCALED)
-    fitted = X.preprocessing(SCALED, []).fit(rows)
+    fitted = X.vector_pipeline(SCALED, []).fit(rows)
     z = fitted.transform(rows).select(F.posexplode(vector_to_array("features_sc")).alias("i", "z"))
     stats = z.groupBy("i").agg(F.avg("z").alias("mean"), F.stddev_samp("z").alias("sd"), F.max("z").alias("max"))
     names = F.array(*[F.lit(c) for c in SCALED])

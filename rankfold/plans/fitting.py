@@ -127,8 +127,8 @@ def scaling_leak_check(spark, sf):
 
 @query("temporal_validation")
 def temporal_validation(spark, sf):
-    train, test, *_ = prepared(spark, sf)
-    return L.temporal_validation(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, train, test, "issue_year", 1998, F.col("term_months") == 36)
+    *_, frame, split = prepared(spark, sf)
+    return L.temporal_validation(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, frame, split, "issue_year", 1998, F.col("term_months") == 36)
 
 
 @query("impurity_importance")
@@ -150,7 +150,7 @@ def scoring_pipeline(spark, sf, key: str = "GB"):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     pipeline, _, test = scoring_pipeline(spark, sf)
-    return E.permutation_importance(pipeline, test, S.FEATURES, "default", repeats=2)
+    return E.permutation_importance(pipeline, test, S.FEATURES, "default", repeats=3)
 
 
 @query("local_surrogate")

@@ -47,14 +47,16 @@ def write_record(df: DataFrame, path: str) -> None:
 
 
 def read_record(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """The stored record, or None when there is none or its writing never finished."""
+    """The stored record, or None when there is none or its writing never finished (no `_SUCCESS` marker)."""
     try:
         found = spark.read.schema(schema).json(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return None if found.isEmpty() else found
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    finished = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return found if finished and not found.isEmpty() else None
 
 
 def resume_record(spark: SparkSession, path: str, schema: T.StructType, compute: Callable[[], DataFrame]) -> DataFrame:

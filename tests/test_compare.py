@@ -1,9 +1,11 @@
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankfold.operators import compare as C
-from rankfold.operators.association import bias_corrected_v
+from rankfold.operators import compare as C, ordering
+from rankfold.operators.association import corrected_v
 
 
 def brute_delong(y, s1, s2):
@@ -16,10 +18,10 @@ def brute_delong(y, s1, s2):
     return delta, delta / np.sqrt(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1])
 
 
-def test_fast_direct_and_brute_force_agree(scores):
+def test_counts_ranks_and_all_pairs_agree(scores):
     df, frame = scores
     fast = {(r["model_a"], r["model_b"]): r for r in C.delong(df, ["a", "b", "c"]).collect()}
-    direct = {(r["model_a"], r["model_b"]): r for r in C.delong_direct(df, ["a", "b", "c"]).collect()}
+    direct = {(r["model_a"], r["model_b"]): r for r in C.delong_by_ranks(df, ["a", "b", "c"]).collect()}
     y = frame["y"].to_numpy()
     for (m1, m2), row in fast.items():
         delta, z = brute_delong(y, frame[m1].to_numpy(), frame[m2].to_numpy())
@@ -27,9 +29,26 @@ def test_fast_direct_and_brute_force_agree(scores):
         assert (direct[m1, m2]["z"], direct[m1, m2]["p_value"]) == pytest.approx((row["z"], row["p_value"]), abs=1e-6)
 
 
-def test_direct_form_refuses_large_tables(scores):
-    with pytest.raises(ValueError):
-        C.delong_direct(scores[0], ["a", "b"], limit=100)
+def test_plan_of_components_grows_with_the_models_not_faster(scores, monkeypatch):
+    """With the broadcast of value tables switched off, as for scores with many distinct values."""
+    monkeypatch.setattr(C, "lookup", partial(ordering.lookup, broadcast_rows=0))
+    df, _ = scores
+    wide = df.select("id", "y", "a", "b", "c", *[(F.col("b") * k).alias(f"b{k}") for k in (2, 3, 4)])
+
+    def size(models):
+        plan = C.components(wide, models)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join "), plan.count("InMemoryRelation")
+
+    sizes = [size(["a", "b", "c", "b2", "b3", "b4"][:m]) for m in (1, 2, 4, 6)]
+    assert all(big[0] <= m * sizes[0][0] and big[1] <= m * sizes[0][1] for m, big in zip((2, 4, 6), sizes[1:]))
+
+
+def test_components_are_the_same_without_broadcast(scores, monkeypatch):
+    df, _ = scores
+    want = C.delong(df, ["a", "b", "c"]).collect()
+    monkeypatch.setattr(C, "lookup", partial(ordering.lookup, broadcast_rows=0))
+    for x, y in zip(want, C.delong(df, ["a", "b", "c"]).collect()):
+        assert x["z"] == pytest.approx(y["z"], abs=1e-9) and x["auc1"] == pytest.approx(y["auc1"], abs=1e-12)
 
 
 def test_identical_scores_and_antisymmetry(scores):
@@ -99,7 +118,7 @@ V = [(33436.97356541286, 2, 0.17625888141764437), (9203.081442985327, 3, 0.09246
 
 def test_cramers_v_from_stored_statistics(spark):
     table = spark.createDataFrame([(x, r) for x, r, _ in V], "x double, r int")
-    got = {r["r"]: r["v"] for r in table.select("r", bias_corrected_v(F.col("x"), F.lit(1076248), F.col("r"), F.lit(2)).alias("v")).collect()}
+    got = {r["r"]: r["v"] for r in table.select("r", corrected_v(F.col("x"), F.lit(1076248), F.col("r"), F.lit(2)).alias("v")).collect()}
     for _, r, v in V:
         assert got[r] == pytest.approx(v, abs=1e-14)
 

@@ -13,7 +13,7 @@ PLAIN = {"id": "1", "loan_status": "Fully Paid", "issue_d": "Aug-2015", "term":
 
 def frame(spark, *changes):
     rows = [{**PLAIN, "id": str(i), **c} for i, c in enumerate(changes)]
-    return X.build_features(spark.createDataFrame([tuple(r[c] for c in S.RAW_COLUMNS) for r in rows], S.text_schema(S.RAW_COLUMNS)))
+    return X.model_frame(spark.createDataFrame([tuple(r[c] for c in S.RAW_COLUMNS) for r in rows], S.text_schema(S.RAW_COLUMNS)))
 
 
 def one(spark, **change):
@@ -72,9 +72,8 @@ def test_pruned_columns_reach_the_scan(spark, tmp_path):
 
 def test_one_hot_slots(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "level string, x double")
-    for twice, width in ((False, 1 + 4), (True, 1 + 5)):
-        vector = X.preprocessing(["x"], ["level"], twice).fit(rows).transform(rows).first()["features"]
-        assert vector.size == width
+    vector = X.vector_pipeline(["x"], ["level"]).fit(rows).transform(rows).first()["features"]
+    assert vector.size == 1 + 4  # three levels and one for levels not seen
 
 
 def test_prepare_learns_on_training_rows_only(spark):
@@ -133,3 +132,11 @@ def test_ordinal_code_of_many_levels(spark, monkeypatch):
     df = spark.range(3000).select(F.format_string("k%04d", F.col("id") % 1500).alias("level"))
     codes = {r["level"]: r["code"] for r in A.ordinal_code(df, "level", "code").collect()}
     assert codes == {f"k{i:04d}": i for i in range(1500)}
+
+
+def test_a_record_without_its_end_marker_is_not_finished(spark, tmp_path):
+    path = str(tmp_path / "record")
+    files.write_record(spark.createDataFrame([("m", 1.0)], "model string, value double"), path)
+    assert files.read_record(spark, path, "model string, value double").count() == 1
+    (tmp_path / "record" / "_SUCCESS").unlink()
+    assert files.read_record(spark, path, "model string, value double") is None

@@ -59,3 +59,14 @@ def test_nulls_take_no_part(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.0,), (2.0,)], "v double")
     table = O.distribution(df, [], "v", {"n": F.lit(1)}).table
     assert rows(table.select("v", "n", "n_below", "n_total")) == [(1.0, 1, 0, 3), (2.0, 2, 1, 3)]
+
+
+def test_neighbours_beyond_double_precision_stay_apart(spark):
+    from decimal import Decimal
+
+    longs = spark.createDataFrame([(2**53,), (2**53 + 1,), (2**53 + 1,)], "v long")
+    assert sorted((r["v"] - 2**53, r["midrank"]) for r in O.midranks(longs, [], "v").collect()) == [(0, 1.0), (1, 2.5), (1, 2.5)]
+    exact = spark.createDataFrame([(Decimal("90071992547409.93"),), (Decimal("90071992547409.92"),)], "v decimal(20,2)")
+    for limit in (0, 10):
+        found = O.distribution(exact, [], "v", {"n": F.lit(1)}, plain_limit=limit)
+        assert found.table.count() == 2

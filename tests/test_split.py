@@ -51,3 +51,11 @@ def test_differences_are_reported(spark):
     assert S.table_difference(split, split.filter("rank <> 5")).first().asDict() == {"missing": 1, "extra": 0}
     overlap = S.id_overlap(split.filter("is_test"), split.filter("rank < 10")).first()
     assert overlap["n_common"] == overlap["n_a"] == 202
+
+
+def test_whole_fraction_keeps_every_row(spark):
+    # The hash of one id in 4.3e9 starts with eight f; with a whole fraction no hash is looked at.
+    df = spark.range(50).select(F.col("id").cast("string").alias("id"))
+    plan = S.fraction_sample(df, "id", 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan.lower() and S.fraction_sample(df, "id", 1.0).count() == 50
+    assert 0 < S.fraction_sample(df, "id", 0.5).count() < 50

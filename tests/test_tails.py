@@ -28,3 +28,12 @@ def test_nulls_pass_through(spark):
     df = spark.createDataFrame([(None, 1.0), (1.0, 1.0)], "x double, k double")
     rows = df.select(tails.chi2_p("x", "k").alias("c"), tails.t_p("x", "k").alias("t"), tails.normal_p("x").alias("n")).collect()
     assert tuple(rows[0]) == (None, None, None) and rows[1]["t"] == pytest.approx(0.5)
+
+
+def test_a_fraction_that_does_not_end_is_no_number(monkeypatch):
+    import math
+
+    from rankfold.functions import tails
+
+    monkeypatch.setattr(tails, "MOST_STEPS", 2)
+    assert math.isnan(tails._gamma_q(3.0, 9.0)) and math.isnan(tails._beta_i(0.4, 30.0, 40.0))
