@@ -27,11 +27,17 @@ BROADCAST_ROWS = 1_000_000
 _TRIM = " \t\r\x0b\x0c"
 
 
+def _trimmed(line: Column) -> Column:
+    """Without white space at the ends; the general trim is slow and only asked of lines with more than plain spaces."""
+    special = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.when(special, F.btrim(line, F.lit(_TRIM))).otherwise(F.trim(line))
+
+
 def line_table(docs: DataFrame, min_chars: int) -> DataFrame:
     """`(doc_id, row, pos, line, h, h2)`: lines that take part; `row` tells apart texts of one id."""
     rows = docs.filter("doc_id is not null and text is not null").select(
         "doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(_TRIM))).filter(F.length("line") >= min_chars)
+    rows = rows.withColumn("line", _trimmed(F.col("line"))).filter(F.length("line") >= min_chars)
     return rows.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(20), F.col("line"))})
 
 
@@ -48,7 +54,7 @@ def _places(edits: int, gap: int, i: int) -> range:
     return range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)
 
 
-def _entry(text: Column, bucket: Column, edits: int, i: int, target: Column, shift: int, probe: bool, rest: bool) -> Column:
+def _entry(text: Column, n: Column, bucket: Column, edits: int, i: int, target: Column, shift: int, probe: bool, rest: bool) -> Column:
     """A key, and what is left beside the match: text, edits allowed there and by how much it is longer than its partner's."""
     start, size = _segment(target, edits, i)
     at = start + shift
@@ -56,35 +62,35 @@ def _entry(text: Column, bucket: Column, edits: int, i: int, target: Column, shi
     fields = [key.alias("key"), F.lit(probe).alias("probe")]
     if rest:
         right = edits - i >= i  # go on with the side that may hold more edits
-        left_over = F.substring(text, at + size + 1, F.length(text)) if right else F.substring(text, F.lit(1), at)
-        gap = (F.length(text) - at) - (target - start) if right else F.lit(shift)
+        left_over = F.substring(text, at + size + 1, n) if right else F.substring(text, F.lit(1), at)
+        gap = (n - at) - (target - start) if right else F.lit(shift)
         fields += [left_over.alias("text"), F.lit(edits - i if right else i).alias("edits"), gap.cast("int").alias("gap")]
     # A place outside the text has no key, save the empty segment of an empty text.
-    return F.when((at >= 0) & (at + size <= F.length(text)), F.struct(*fields))
+    return F.when((at >= 0) & (at + size <= n), F.struct(*fields))
 
 
 def first_keys(lines: DataFrame, threshold: int, rest: bool) -> DataFrame:
     """Keys of whole lines. A line's own segments serve as probe at shift 0 too, unless `rest` asks for both apart."""
     text, n, none = F.col("line"), F.col("_n"), F.lit(0).cast("long")
-    entries = [_entry(text, none, threshold, i, n, 0, False, rest) for i in range(threshold + 1)]
+    entries = [_entry(text, n, none, threshold, i, n, 0, False, rest) for i in range(threshold + 1)]
     for gap in range(threshold + 1):
         for i in range(threshold + 1):
-            entries += [_entry(text, none, threshold, i, n - gap, s, True, rest) for s in _places(threshold, gap, i) if rest or gap or s]
+            entries += [_entry(text, n, none, threshold, i, n - gap, s, True, rest) for s in _places(threshold, gap, i) if rest or gap or s]
     return lines.withColumn("_n", F.length("line")).select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
 
 def next_keys(rows: DataFrame, threshold: int) -> DataFrame:
     """Keys of what was left: `rows(h, key, probe, text, edits, gap)`, each refined under its own key."""
-    text, n = F.col("text"), F.length("text")
+    text, n = F.col("text"), F.col("_n")
     entries = []
     for edits in range(threshold + 1):
         for i in range(edits + 1):
             mine = F.col("edits") == edits
-            entries.append(F.when(mine & ~F.col("probe"), _entry(text, F.col("key"), edits, i, n, 0, False, True)))
+            entries.append(F.when(mine & ~F.col("probe"), _entry(text, n, F.col("key"), edits, i, n, 0, False, True)))
             for gap in range(-edits, edits + 1):
-                entries += [F.when(mine & F.col("probe") & (F.col("gap") == gap), _entry(text, F.col("key"), edits, i, n - gap, s, True, True))
+                entries += [F.when(mine & F.col("probe") & (F.col("gap") == gap), _entry(text, n, F.col("key"), edits, i, n - gap, s, True, True))
                             for s in _places(edits, gap, i)]
-    return rows.select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
+    return rows.withColumn("_n", F.length("text")).select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
 
 def _among(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -226,10 +232,10 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     text = F.col(text_column)
     joined = docs.join(kept, (docs[id_column] == F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left")
     parts = F.split(text, "\n")
-    stays = F.filter(parts, lambda x, i: (F.length(F.btrim(x, F.lit(_TRIM))) < min_chars) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
+    stays = F.filter(parts, lambda x, i: (F.length(_trimmed(x)) < min_chars) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
     active = F.col(id_column).isNotNull() & text.isNotNull()
     result = joined.withColumns({"_lines": F.when(text.isNotNull(), F.size(parts)).otherwise(0), "_stays": stays})
-    body = F.when(F.exists("_stays", lambda x: F.btrim(x, F.lit(_TRIM)) != ""), F.array_join("_stays", "\n")).when(
+    body = F.when(F.exists("_stays", lambda x: _trimmed(x) != ""), F.array_join("_stays", "\n")).when(
         F.size("_stays") == F.col("_lines"), text).otherwise(F.lit(""))
     removed = F.when(active, F.col("_lines") - F.size("_stays")).otherwise(0)
     return result.withColumns({text_column: F.when(active, body).otherwise(text), "_removed": removed}).select(*docs.columns, "_lines", "_removed")
