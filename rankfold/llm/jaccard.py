@@ -8,8 +8,8 @@ Sets are equal, highly similar, or neither, and the join uses all three relation
   parent. Along the tree a set knows how many shingles it gained at most over its root.
 * Between trees an index of prefix shingles (frequent ones last) finds candidates. Its lists hold one entry per tree;
   they are cut to blocks, and two blocks are skipped whole if their positions and sizes leave too little overlap. The answer of a
-  tree's members is derived from the computed overlap of the roots plus what the members gained; only pairs that this bound
-  leaves open are compared, and only while their trees are in different components.
+  tree's members is derived from the computed overlap of the roots plus what the members gained; only members that this bound
+  leaves open, of trees in different components, meet and are compared.
 
 So no link between different trees is lost, and links within a tree are not needed for the components.
 
@@ -270,44 +270,38 @@ def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _tree_links(docs: DataFrame, tree: DataFrame, links: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """Components `(node, component)` of the roots. `links` join roots; `roots` holds all overlaps of candidate roots.
+    """`(root, component)` of all roots. `links` join roots; `roots` holds all overlaps of candidate roots.
 
     Trees whose roots don't link may still hold members that do. The roots' overlap and what members gained bound the
-    members' overlap; pairs that the bound leaves open are compared exactly, those with the best bounds first, and trees that
-    have come into one component meanwhile are left out. The members of what stays open meet in an index of their own.
+    members' overlap. Members of trees that this leaves open, and that are in different components yet, meet in an index of
+    their own, with shingles ordered by how many of them have these.
     """
     linked = f"{WHOLE} * common >= {PART} * (na + nb - common)"
-    links = materialize(links.unionByName(roots.filter(linked).select("a", "b")))
-    member = materialize(tree.select("rep", "root", (7 * F.col("gained") - 3 * F.col("n")).alias("slack")).withColumn(
-        "place", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("slack"), "rep"))))
-    best = member.filter("place = 1").select("root", F.col("slack").alias("best"))
-    sides = [(best.select(F.col("root").alias(c), F.col("best").alias(f"best_{c}"))) for c in "ab"]
-    open_ = materialize(roots.filter(f"not ({linked})").join(sides[0], "a").join(sides[1], "b").filter("7 * common + best_a + best_b >= 0"))
-    for most in (4, 32, None):
-        placed = connected_components(links)
-        for c in "ab":
-            open_ = open_.join(placed.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-        open_ = materialize(open_.filter("coalesce(in_a, a) <> coalesce(in_b, b)").drop("in_a", "in_b"))
-        if not open_.limit(1).count():
-            return placed
-        if most is None:
-            break
-        some = member.filter(F.col("place") <= most)
-        a, b = (some.select(F.col("root").alias(c), F.col("rep").alias(f"x{c}"), F.col("slack").alias(f"s{c}")) for c in "ab")
-        asked = open_.join(a, "a").join(b, "b").filter("7 * common + sa + sb >= 0 and not (xa = a and xb = b)")
-        links = materialize(links.unionByName(_asked_links(docs, asked, k)))
-    # The rest: an index of the members of the open trees, shingles ordered by how many of these have them.
+    placed = connected_components(links.unionByName(roots.filter(linked).select("a", "b")))
+    every = materialize(tree.select("root").distinct().join(placed, F.col("root") == F.col("node"), "left").select(
+        "root", F.coalesce("component", "root").alias("component")))
+    member = tree.select("rep", "root", (7 * F.col("gained") - 3 * F.col("n")).alias("slack"))
+    best = member.groupBy("root").agg(F.max("slack").alias("best")).join(every, "root")
+    open_ = roots.filter(f"not ({linked})").select("a", "b", "common")
+    for c in "ab":
+        open_ = open_.join(best.select(F.col("root").alias(c), F.col("best").alias(f"best_{c}"), F.col("component").alias(f"in_{c}")), c)
+    open_ = materialize(open_.filter("7 * common + best_a + best_b >= 0 and in_a <> in_b").select("a", "b", "common"))
+    if not open_.limit(1).count():
+        return every
     left = open_.select(F.col("a").alias("root")).union(open_.select("b")).distinct()
-    rest = materialize(member.join(left, "root").join(placed, F.col("root") == F.col("node"), "left").select(
-        "rep", "root", "slack", F.coalesce("component", "root").alias("kind")))
+    rest = materialize(member.join(left, "root").join(every, "root").select("rep", "root", "slack", F.col("component").alias("kind")))
     counts = _shingle_counts(docs, rest.select("rep").distinct(), "rep", k)
     met = _candidates(docs, rest.select("rep", F.col("rep").alias("root"), F.lit(True).alias("alone"), "kind"), counts, k, grouped=True)
     for c, x in (("a", "p"), ("b", "q")):
         met = met.join(rest.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}"), F.col("slack").alias(f"s{c}")), c).withColumnRenamed(c, x)
     ends = met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.col("p").alias("xa"), F.col("q").alias("xb"),
                       (F.col("sa") + F.col("sb")).alias("both"))
-    asked = ends.join(open_.select("a", "b", "common"), ["a", "b"]).filter("7 * common + both >= 0")
-    return connected_components(links.unionByName(_asked_links(docs, asked, k)))
+    asked = ends.join(open_, ["a", "b"]).filter("7 * common + both >= 0")
+    more = _asked_links(docs, asked, k)
+    for c in "ab":  # links between components, which are then joined in turn
+        more = more.join(every.select(F.col("root").alias(c), F.col("component").alias(f"in_{c}")), c)
+    wider = connected_components(more.select(F.col("in_a").alias("a"), F.col("in_b").alias("b"))).withColumnRenamed("component", "wider")
+    return every.join(wider, F.col("component") == F.col("node"), "left").select("root", F.coalesce("wider", "component").alias("component"))
 
 
 def _asked_links(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -337,8 +331,7 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     for c in "ab":
         links = links.join(root_of.select(F.col("rep").alias(c), F.col("root").alias(f"r{c}")), c)
     first = _tree_links(docs, tree, links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b"), roots, k)
-    placed = nodes.join(root_of, "rep").join(first, F.col("root") == F.col("node"), "left").select(
-        "n", "fp1", "fp2", F.coalesce("component", "root").alias("component_id"))
+    placed = nodes.join(root_of, "rep").join(first, "root").select("n", "fp1", "fp2", F.col("component").alias("component_id"))
     return rows.join(placed, ["n", "fp1", "fp2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
