@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankfold.functions.scalars import log1p_nonnegative, ratio
 from rankfold.functions.tails import chi2_p
 from rankfold.operators.association import chi2_from_counts, long_numeric
-from rankfold.operators.ordering import Distribution, distribution, exact_quantiles, with_group_columns
-from rankfold.session import materialize
+from rankfold.operators.ordering import exact_quantiles, with_group_columns
 
 
 def frequency_table(df: DataFrame, columns: list[str], rare_below: float = 1.0) -> DataFrame:
@@ -89,37 +86,33 @@ def missing_vs_label(df: DataFrame, columns: list[str], label: str, min_rows: in
         F.when(enough, F.col("chi2")).alias("chi2"), F.when(enough, chi2_p("chi2", "dof")).alias("p_value"))
 
 
-def _moments_of_values(table: DataFrame) -> DataFrame:
-    """Moments of each variable from its value table: mean first, then powers of deviations.
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Moments of every column with values, from one aggregation over the wide rows; its one row is then turned.
 
-    Skewness and excess kurtosis carry the small-sample adjustment.
+    Skewness and excess kurtosis carry the small-sample adjustment. NaN counts as missing.
     """
-    basic = table.groupBy("variable").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-                                          F.min("value").alias("min"), F.max("value").alias("max"))
-    d = F.col("value") - F.col("mean")
-    powers = with_group_columns(table.select("variable", "value", F.col("n").alias("_w")), basic, ["variable"]).groupBy(
-        "variable", "n", "mean", "min", "max").agg(*[F.sum(F.col("_w") * F.pow(d, k)).alias(f"_s{k}") for k in (2, 3, 4)])
-    n = F.col("n").cast("double")
-    m2 = F.col("_s2") / n
-    g1, g2 = ratio(F.col("_s3") / n, F.pow(m2, 1.5)), ratio(F.col("_s4") / n, m2 * m2) - 3
-    return powers.select(
-        "variable", "n", "mean", "min", "max", F.sqrt(ratio(F.col("_s2"), n - 1)).alias("sd"),
-        F.when(n > 2, ratio(g1 * F.sqrt(n * (n - 1)), n - 2)).alias("skew"),
-        F.when(n > 3, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)).alias("kurtosis"))
-
-
-def _value_table(long: DataFrame) -> Distribution:
-    """Ordered value table of every variable, stored because several steps read it."""
-    found = distribution(long, ["variable"], "value", {"n": F.lit(1)})
-    return replace(found, table=materialize(found.table))
+    parts = []
+    for c in columns:
+        v = _present(c)
+        parts.append(F.struct(
+            F.lit(c).alias("variable"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.stddev_samp(v).alias("sd"), F.skewness(v).alias("g1"), F.kurtosis(v).alias("g2")))
+    n, spread = F.col("n").cast("double"), F.col("sd") > 0
+    return df.agg(F.array(*parts).alias("_rows")).select(F.inline("_rows")).filter("n > 0").select(
+        "variable", "n", "mean", "min", "max", "sd",
+        F.when((n > 2) & spread, ratio(F.col("g1") * F.sqrt(n * (n - 1)), n - 2)).alias("skew"),
+        F.when((n > 3) & spread, ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurtosis"))
+
+
+def _present(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sd, min, quartiles, max of every numeric column."""
-    long = long_numeric(df, columns)
-    found = _value_table(long)
-    quartiles = _quartiles(exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], found))
-    return with_group_columns(_moments_of_values(found.table), quartiles, ["variable"]).select(
+    quartiles = _quartiles(exact_quantiles(long_numeric(df, columns), ["variable"], "value", [0.25, 0.5, 0.75]))
+    return with_group_columns(_moments(df, columns), quartiles, ["variable"]).select(
         "variable", "n", "mean", "sd", "min", "p25", "median", "p75", "max")
 
 
@@ -131,16 +124,18 @@ def _quartiles(quantiles: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts, moments, exact quartiles, 1.5 IQR fences and outliers of every column."""
-    long = long_numeric(df, columns)
     total = df.agg(F.count("*").alias("n")).scalar()
-    found = _value_table(long)
-    moments = _moments_of_values(found.table)
-    quartiles = _quartiles(exact_quantiles(long, ["variable"], "value", [0.25, 0.5, 0.75], found))
-    fences = quartiles.withColumn("iqr", F.col("p75") - F.col("p25")).withColumns({
+    moments = _moments(df, columns)
+    quartiles = _quartiles(exact_quantiles(long_numeric(df, columns), ["variable"], "value", [0.25, 0.5, 0.75]))
+    rows = quartiles.withColumn("iqr", F.col("p75") - F.col("p25")).withColumns({
         "lower": F.col("p25") - 1.5 * F.col("iqr"), "upper": F.col("p75") + 1.5 * F.col("iqr")})
-    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    outliers = with_group_columns(found.table.select("variable", "value", "n"), fences, ["variable"]).groupBy(
-        "variable").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers"))
+    found = rows.collect()  # one row per column
+    fences = df.sparkSession.createDataFrame(found, rows.schema)
+    outside = [F.struct(F.lit(r["variable"]).alias("variable"), F.count_if(
+        (_present(r["variable"]) < r["lower"]) | (_present(r["variable"]) > r["upper"])).alias("outliers")) for r in found]
+    if not outside:
+        outside = [F.struct(F.lit(None).cast("string").alias("variable"), F.lit(0).cast("long").alias("outliers"))]
+    outliers = df.agg(F.array(*outside).alias("_rows")).select(F.inline("_rows"))
     return (moments.join(fences, "variable").join(outliers, "variable").select(
         "variable", "n", (100.0 - 100.0 * F.col("n") / total).alias("missing_pct"), "mean", "median", "sd", "min", "p25",
         "p75", "max", "iqr", "lower", "upper", "outliers", (100.0 * ratio("outliers", "n")).alias("outliers_pct"),
