@@ -17,7 +17,7 @@ HEADLINE = [
 
 def main() -> None:
     from rankfold.plans import REGISTRY
-    from rankfold.session import get_session
+    from rankfold.session import drop_scratch, get_session
     from rankfold.sources.files import evaluate_fully
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -33,6 +33,7 @@ def main() -> None:
         evaluate_fully(REGISTRY[name](spark, sf_dir))
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
+    drop_scratch(spark)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))

@@ -47,6 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rankfold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what this application has stored below the shared folder; call it when no result is read any more."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rankfold-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet below the shared folder and read on from there.
 
