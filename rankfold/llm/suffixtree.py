@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankfold.llm.common import fold, materialize
+from rankfold.llm.common import fold, materialize, rows_per_batch
 from rankfold.llm.words import Block, blocks
 
 DEPTH, SHARE, GAIN, PULL = 5, 1e-5, 10.0, 2.0
 WORD_SHARE = 1e-6
 STRETCH = 1024
+#: Texts held at once by a task; they are worked through in blocks.
+BATCH_ROWS = 4000
 _BITS = 9  # a symbol is its byte plus one; zero is none
 _LOW = (1 << _BITS) - 1
 _END = 10
@@ -106,7 +108,8 @@ def _gather(texts: DataFrame) -> DataFrame:
                 [pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(k) for k, _ in found])),
                  pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([n for _, n in found]))], names=["kind", "key", "n"])
 
-    return materialize(texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    with rows_per_batch(texts.sparkSession, BATCH_ROWS):
+        return materialize(texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 def _contexts(grams: DataFrame) -> pd.DataFrame:
@@ -243,7 +246,8 @@ def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id",
     given = docs.select(*keep, F.col(text_column).cast("string"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:width]]
     schema = ", ".join([*fields, "_row long, n_tokens long, _known long, _logs double, score double, _rare array<long>"])
-    rows = materialize(given.mapInArrow(measure, schema))
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        rows = materialize(given.mapInArrow(measure, schema))
     asked = rows.select("_row", F.explode("_rare").alias("word"))
     more = asked.join(vocabulary, "word").groupBy("_row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
     base = F.col("_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
