@@ -63,9 +63,52 @@ def _scores(key: str):
     return run
 
 
-for _name, _key in (("lr_scores", "LR"), ("dt_scores", "DT"), ("rf_scores", "RF"), ("gbt_scores", "GB"), ("svm_scores", "SVM"), ("nb_scores", "NB")):
+for _name, _key in (("lr_scores", "LR"), ("dt_scores", "DT"), ("rf_scores", "RF"), ("gbt_scores", "GB"), ("svm_scores", "SVM")):
     query(_name)(_scores(_key))
 
+# Gaussian naive Bayes has a closed form: class means and variances of numbers and level indicators.
+_LEVELS = ", ".join(f"""keep_{c} AS (SELECT {c} AS level FROM filled WHERE NOT is_test GROUP BY {c}
+  HAVING count(*) >= 0.01 * (SELECT count(*) FROM filled WHERE NOT is_test))""" for c in S.CATEGORICAL)
+_VALUES = " UNION ALL ".join(
+    [f"SELECT id, y, is_test, fold, '{c}' AS v, CAST({c} AS DOUBLE) AS x FROM folded" for c in S.NUMERIC]
+    + [f"""SELECT id, y, is_test, fold, '{c}=' || level, CASE WHEN {c} = level THEN 1.0 ELSE 0.0 END::DOUBLE
+  FROM folded, (SELECT DISTINCT {c} AS level FROM folded WHERE NOT is_test)""" for c in S.CATEGORICAL])
+NB_VALUES_SQL = f"""{FEATURES_SQL}, {SPLIT_SQL},
+filled AS (SELECT f.id, f."default" AS y, is_test, fold, {', '.join(f'coalesce(f.{c}, -1) AS {c}' for c in S.NUMERIC)}, {', '.join(S.CATEGORICAL)}
+  FROM features f JOIN split s ON f.id = CAST(s.id AS VARCHAR)),
+{_LEVELS},
+folded AS (SELECT id, y, is_test, fold, {', '.join(S.NUMERIC)},
+  {', '.join(f"CASE WHEN {c} IN (SELECT level FROM keep_{c}) THEN {c} ELSE '{S.RARE_LEVEL}' END AS {c}" for c in S.CATEGORICAL)} FROM filled),
+x AS ({_VALUES})"""
+
+
+def naive_bayes_sql(name: str, learn: str, ask: str) -> str:
+    """CTE `name`: `(id, y, fold, score)` of the rows `ask`, by the classes' moments over the rows `learn`."""
+    return f"""{name}_eps AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(x) AS s FROM x WHERE {learn} GROUP BY v)),
+{name}_moments AS (SELECT v, y AS k, avg(x) AS m, var_pop(x) + max(e) AS s FROM x, {name}_eps WHERE {learn} GROUP BY v, y),
+{name}_prior AS (SELECT y AS k, ln(count(*)::DOUBLE) AS p FROM folded WHERE {learn} GROUP BY y),
+{name}_sums AS (SELECT id, x.y, fold, k, sum(-0.5 * ln(2 * pi() * s) - (x - m) * (x - m) / (2 * s)) AS l
+  FROM x JOIN {name}_moments USING (v) WHERE {ask} GROUP BY id, x.y, fold, k),
+{name} AS (SELECT id, y, fold, 1 / (1 + exp(max(l + p) FILTER (k = 0) - max(l + p) FILTER (k = 1))) AS score
+  FROM {name}_sums JOIN {name}_prior USING (k) GROUP BY id, y, fold)"""
+
+
+@query("nb_scores", f"WITH {NB_VALUES_SQL}, {naive_bayes_sql('nb', 'NOT is_test', 'is_test')} SELECT id, y, round(score, 6) AS score FROM nb")
+def nb_scores(spark, sf):
+    return rounded(_scores("NB")(spark, sf), ["score"], 6)
+
+
+NB_OOF_SQL = f"{NB_VALUES_SQL}, " + ", ".join(
+    naive_bayes_sql(f"nb{k}", f"(NOT is_test AND fold <> {k})", f"(NOT is_test AND fold = {k})") for k in range(3)) + (
+    ", oof AS (" + " UNION ALL ".join(f"SELECT * FROM nb{k}" for k in range(3)) + ")")
+
+
+@query("nb_oof_scores", f"WITH {NB_OOF_SQL} SELECT id, y, fold, round(score, 6) AS score FROM oof")
+def nb_oof_scores(spark, sf):
+    """Every training row scored by the naive Bayes model that did not see its fold."""
+    train, *_ = prepared(spark, sf)
+    return rounded(L.oof_scores(specs()["NB"].estimator, train, "probability"), ["score"], 6)
+
 
 # The fitted variances carry a billionth of the largest feature variance as smoothing.
 @query("nb_class_moments", f"WITH {FEATURES_SQL}, {SPLIT_SQL}, tr AS (SELECT f.* FROM features f JOIN split s ON f.id = CAST(s.id AS VARCHAR) WHERE NOT is_test), "
