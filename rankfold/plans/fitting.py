@@ -19,7 +19,7 @@ from rankfold.operators import models as L
 from rankfold.operators.ordering import midranks
 from rankfold.operators.report import joint_extremes
 from rankfold.operators.split import hash_sample, make_split
-from rankfold.plans.catalog import query, rounded
+from rankfold.plans.catalog import AUC_SQL, curve_sql, query, rounded
 from rankfold.plans.features import FEATURES_SQL, stored_features
 from rankfold.plans.splitting import SPLIT_SQL
 from rankfold.plans.storage import _place
@@ -67,38 +67,39 @@ for _name, _key in (("lr_scores", "LR"), ("dt_scores", "DT"), ("rf_scores", "RF"
     query(_name)(_scores(_key))
 
 # Gaussian naive Bayes has a closed form: class means and variances of numbers and level indicators.
-_LEVELS = ", ".join(f"""keep_{c} AS (SELECT {c} AS level FROM filled WHERE NOT is_test GROUP BY {c}
-  HAVING count(*) >= 0.01 * (SELECT count(*) FROM filled WHERE NOT is_test))""" for c in S.CATEGORICAL)
-_VALUES = " UNION ALL ".join(
-    [f"SELECT id, y, is_test, fold, '{c}' AS v, CAST({c} AS DOUBLE) AS x FROM folded" for c in S.NUMERIC]
-    + [f"""SELECT id, y, is_test, fold, '{c}=' || level, CASE WHEN {c} = level THEN 1.0 ELSE 0.0 END::DOUBLE
-  FROM folded, (SELECT DISTINCT {c} AS level FROM folded WHERE NOT is_test)""" for c in S.CATEGORICAL])
-NB_VALUES_SQL = f"""{FEATURES_SQL}, {SPLIT_SQL},
-filled AS (SELECT f.id, f."default" AS y, is_test, fold, {', '.join(f'coalesce(f.{c}, -1) AS {c}' for c in S.NUMERIC)}, {', '.join(S.CATEGORICAL)}
-  FROM features f JOIN split s ON f.id = CAST(s.id AS VARCHAR)),
-{_LEVELS},
-folded AS (SELECT id, y, is_test, fold, {', '.join(S.NUMERIC)},
-  {', '.join(f"CASE WHEN {c} IN (SELECT level FROM keep_{c}) THEN {c} ELSE '{S.RARE_LEVEL}' END AS {c}" for c in S.CATEGORICAL)} FROM filled),
-x AS ({_VALUES})"""
-
-
-def naive_bayes_sql(name: str, learn: str, ask: str) -> str:
-    """CTE `name`: `(id, y, fold, score)` of the rows `ask`, by the classes' moments over the rows `learn`."""
-    return f"""{name}_eps AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(x) AS s FROM x WHERE {learn} GROUP BY v)),
-{name}_moments AS (SELECT v, y AS k, avg(x) AS m, var_pop(x) + max(e) AS s FROM x, {name}_eps WHERE {learn} GROUP BY v, y),
-{name}_prior AS (SELECT y AS k, ln(count(*)::DOUBLE) AS p FROM folded WHERE {learn} GROUP BY y),
-{name}_sums AS (SELECT id, x.y, fold, k, sum(-0.5 * ln(2 * pi() * s) - (x - m) * (x - m) / (2 * s)) AS l
-  FROM x JOIN {name}_moments USING (v) WHERE {ask} GROUP BY id, x.y, fold, k),
+FILLED_SQL = f"""{FEATURES_SQL}, {SPLIT_SQL},
+filled AS (SELECT f.id, f."default" AS y, issue_year, is_test, fold, {', '.join(f'coalesce(f.{c}, -1) AS {c}' for c in S.NUMERIC)},
+  {', '.join(S.CATEGORICAL)} FROM features f JOIN split s ON f.id = CAST(s.id AS VARCHAR))"""
+
+
+def naive_bayes_sql(name: str, learn: str, ask: str, levels: str = "NOT is_test") -> str:
+    """CTE `name`: `(id, y, fold, score)` of the rows `ask`, by moments over the rows `learn` and levels of the rows `levels`."""
+    keep = ", ".join(f"""{name}_keep_{c} AS (SELECT {c} AS level FROM filled WHERE {levels} GROUP BY {c}
+  HAVING count(*) >= 0.01 * (SELECT count(*) FROM filled WHERE {levels}))""" for c in S.CATEGORICAL)
+    folded = ", ".join(f"CASE WHEN {c} IN (SELECT level FROM {name}_keep_{c}) THEN {c} ELSE '{S.RARE_LEVEL}' END AS {c}" for c in S.CATEGORICAL)
+    own = "id, y, issue_year, term_months, is_test, fold"
+    values = " UNION ALL ".join(
+        [f"SELECT {own}, '{c}' AS v, CAST({c} AS DOUBLE) AS x FROM {name}_folded" for c in S.NUMERIC]
+        + [f"""SELECT {own}, '{c}=' || level, CASE WHEN {c} = level THEN 1.0 ELSE 0.0 END::DOUBLE
+  FROM {name}_folded, (SELECT DISTINCT {c} AS level FROM {name}_folded WHERE {levels})""" for c in S.CATEGORICAL])
+    return f"""{keep},
+{name}_folded AS (SELECT id, y, issue_year, is_test, fold, {', '.join(S.NUMERIC)}, {folded} FROM filled),
+{name}_x AS ({values}),
+{name}_eps AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(x) AS s FROM {name}_x WHERE {learn} GROUP BY v)),
+{name}_moments AS (SELECT v, y AS k, avg(x) AS m, var_pop(x) + max(e) AS s FROM {name}_x, {name}_eps WHERE {learn} GROUP BY v, y),
+{name}_prior AS (SELECT y AS k, ln(count(*)::DOUBLE) AS p FROM filled WHERE {learn} GROUP BY y),
+{name}_sums AS (SELECT id, q.y, fold, k, sum(-0.5 * ln(2 * pi() * s) - (x - m) * (x - m) / (2 * s)) AS l
+  FROM {name}_x q JOIN {name}_moments USING (v) WHERE {ask} GROUP BY id, q.y, fold, k),
 {name} AS (SELECT id, y, fold, 1 / (1 + exp(max(l + p) FILTER (k = 0) - max(l + p) FILTER (k = 1))) AS score
   FROM {name}_sums JOIN {name}_prior USING (k) GROUP BY id, y, fold)"""
 
 
-@query("nb_scores", f"WITH {NB_VALUES_SQL}, {naive_bayes_sql('nb', 'NOT is_test', 'is_test')} SELECT id, y, round(score, 6) AS score FROM nb")
+@query("nb_scores", f"WITH {FILLED_SQL}, {naive_bayes_sql('nb', 'NOT is_test', 'is_test')} SELECT id, y, round(score, 6) AS score FROM nb")
 def nb_scores(spark, sf):
     return rounded(_scores("NB")(spark, sf), ["score"], 6)
 
 
-NB_OOF_SQL = f"{NB_VALUES_SQL}, " + ", ".join(
+NB_OOF_SQL = f"{FILLED_SQL}, " + ", ".join(
     naive_bayes_sql(f"nb{k}", f"(NOT is_test AND fold <> {k})", f"(NOT is_test AND fold = {k})") for k in range(3)) + (
     ", oof AS (" + " UNION ALL ".join(f"SELECT * FROM nb{k}" for k in range(3)) + ")")
 
@@ -168,6 +169,21 @@ def scaling_leak_check(spark, sf):
     return L.scaling_leak(train, reg_params=[1e-5], max_iter=20)
 
 
+_LATER = "(is_test AND issue_year = 1999 AND term_months = 36)"
+_PAST = "(NOT is_test AND issue_year <= 1998 AND term_months = 36)"
+
+
+@query("temporal_validation_nb", f"""WITH {FILLED_SQL}, {naive_bayes_sql('every', 'NOT is_test', _LATER)}, {naive_bayes_sql('past', _PAST, _LATER, _PAST)},
+both_sides AS (SELECT 'all_periods' AS trained_on, y, score FROM every UNION ALL SELECT 'past_only', y, score FROM past),
+{curve_sql('both_sides', 'trained_on')}
+SELECT trained_on, round({AUC_SQL}, 6) AS roc_auc, CAST(max(pos_total + neg_total) AS BIGINT) AS n_test FROM curve GROUP BY trained_on""")
+def temporal_validation_nb(spark, sf):
+    """Naive Bayes of all periods and of the past alone, levels and all learnt anew for each."""
+    *_, frame, split = prepared(spark, sf)
+    out = L.temporal_validation(specs()["NB"], {}, frame, split, "issue_year", 1998, F.col("term_months") == 36)
+    return rounded(out.select("trained_on", "roc_auc", "n_test"), ["roc_auc"], 6)
+
+
 @query("temporal_validation")
 def temporal_validation(spark, sf):
     *_, frame, split = prepared(spark, sf)
