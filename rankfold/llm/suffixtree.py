@@ -1,16 +1,15 @@
 """Scores of texts by a probabilistic suffix tree over bytes, beside add-one word counts.
 
 A text is its lower-cased words with one space between and an end mark; its symbols are bytes. A context is what the
-last `DEPTH` symbols since the text's begin were, or a part of that. Contexts that make up at least `SHARE` of all
-training symbols are candidates, so there are at most 1 / SHARE of each length, whatever the size of the corpus. A
-candidate is retained if its next-symbol counts diverge from those of its parent (the context without its oldest symbol):
-count times Kullback-Leibler divergence of at least `GAIN` nats. Probabilities are smoothed toward the parent's, and the
-root's toward equal ones. Retained contexts and the parts of them that lead there become the states of an automaton whose state
-is always the longest suffix in the tree; scoring walks it over many stretches of text at once.
+last `DEPTH` symbols since the text's begin were, or a part of that. A context is retained if its next-symbol counts diverge from
+those of its parent (the context without its oldest symbol): count times Kullback-Leibler divergence of at least `GAIN` nats.
+Every context of the training texts is tried, however rare, so the tree grows with the corpus. Probabilities are
+smoothed toward the parent's, and the root's toward equal ones; a context that isn't retained has its parent's.
 
-Counting covers every training text; batches count for themselves, then one shuffle adds up (symbol runs and words alike).
-Counts of words that make up at least `WORD_SHARE` of all words, so at most 1 / WORD_SHARE of them, go to all tasks; those of
-other words come by a join.
+The tree is a partitioned table. Symbol runs (a symbol and its context) are counted in batches, then by one shuffle; each
+length is worked out from the next shorter one by a join, also for runs that only texts to be scored have. Runs that make
+up at least `GRAM_SHARE` of all runs, so at most 1 / GRAM_SHARE of them, and words that make up at least `WORD_SHARE` of
+all words go to all tasks, to save shuffling; texts meet their other runs and words by a join. The shares don't change a score.
 
 Words are told apart by a 64-bit hash. Defined cases: null and empty texts are the end mark alone; rows that repeat are
 scored each; without training texts all bytes are equally likely and no word is known; an empty table gives an empty result.
@@ -18,18 +17,20 @@ scored each; without training texts all bytes are equally likely and no word is
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankfold.llm.common import fold, materialize, rows_per_batch
 from rankfold.llm.words import Block, blocks
 
-DEPTH, SHARE, GAIN, PULL = 5, 1e-5, 10.0, 2.0
-WORD_SHARE = 1e-6
-STRETCH = 1024
+DEPTH, GAIN, PULL = 5, 10.0, 2.0
+GRAM_SHARE, WORD_SHARE = 5e-7, 1e-6
 #: Texts held at once by a task; they are worked through in blocks.
 BATCH_ROWS = 4000
 _BITS = 9  # a symbol is its byte plus one; zero is none
@@ -60,7 +61,7 @@ def runs(symbols: np.ndarray) -> np.ndarray:
     total, before = code.copy(), code
     for j in range(1, DEPTH + 1):
         back = np.zeros_like(code)
-        back[j:] = code[:len(code) - j]
+        back[j:] = code[:max(0, len(code) - j)]
         if j > 1:
             back[(before == 0) | (before == _END + 1)] = 0
         total |= back << (_BITS * j)
@@ -95,26 +96,71 @@ class Tally:
 
 
 def _gather(texts: DataFrame) -> DataFrame:
-    """`(kind, key, n)`: symbol runs (kind 0) and word hashes (kind 1) of all texts; kind 2 counts the texts."""
+    """`(kind, key, n, m)`: symbol runs (kind 0) and word hashes (kind 1); kind 2 counts the texts.
+
+    `n` counts the texts that are learnt from: all, or those that a second column marks. `m` counts all texts; words
+    and texts that aren't learnt from are left out.
+    """
 
     def count(batches):
         for batch in batches:
-            symbols, words = Tally(), Tally()
-            for block in blocks(batch.column(0)):
+            learnt = batch.column(1) if batch.num_columns > 1 else pa.array(np.ones(batch.num_rows, dtype=bool))
+            symbols, words, asked = Tally(), Tally(), Tally()
+            for block in blocks(batch.column(0).filter(learnt)):
                 symbols.add(runs(stream(block)[0]))
                 words.add(block.hashes.view(np.int64))
-            found = [symbols.merged(), words.merged(), (np.zeros(1, np.int64), np.full(1, batch.num_rows))]
+            for block in blocks(batch.column(0).filter(pc.invert(learnt))):
+                asked.add(runs(stream(block)[0]))
+            found = [symbols.merged(), asked.merged(), words.merged(), (np.zeros(1, np.int64), np.full(1, pc.sum(learnt, min_count=0).as_py()))]
+            size = [len(k) for k, _ in found]
+            m = np.concatenate([n for _, n in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(3, dtype=np.int32), [len(k) for k, _ in found])),
-                 pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([n for _, n in found]))], names=["kind", "key", "n"])
+                [pa.array(np.repeat(np.array([0, 0, 1, 2], dtype=np.int32), size)), pa.array(np.concatenate([k for k, _ in found])),
+                 pa.array(np.where(np.repeat([False, True, False, False], size), 0, m)), pa.array(m)], names=["kind", "key", "n", "m"])
 
     with rows_per_batch(texts.sparkSession, BATCH_ROWS):
-        return materialize(texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+        counts = texts.mapInArrow(count, "kind int, key long, n long, m long")
+        return materialize(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def _probabilities(grams: DataFrame) -> DataFrame:
+    """`(key, m, log)`: log10 probability of the symbol of every run after its context, for `grams(key, n, m)`.
+
+    Runs are cut shorter length by length, from the longest down to the symbol alone; `m` marks the given ones. Then each
+    length takes its priors from the one below: a run has at most 256 longer ones, and a context as many next symbols.
+    """
+
+    def cut(d: int):
+        return F.col("key").bitwiseAND(F.lit((1 << (_BITS * (d + 1))) - 1))
+
+    def own(d: int):
+        """Runs whose context has d symbols."""
+        return (F.shiftright("key", _BITS * d) > 0) & (F.shiftright("key", _BITS * (d + 1)) == 0)
+
+    rows = {DEPTH: grams.filter(own(DEPTH)).select("key", "n", "m")}
+    for d in range(DEPTH - 1, -1, -1):
+        shorter = rows[d + 1].select(cut(d).alias("key"), "n", F.lit(0).cast("long").alias("m"))
+        both = shorter.unionByName(grams.filter(own(d)).select("key", "n", "m"))
+        rows[d] = materialize(both.groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    total = rows[0].agg(F.sum("n")).first()[0] or 0
+    level = rows[0].withColumn("p", (F.col("n") + PULL / 256) / (total + PULL))
+    levels = [level]
+    for d in range(1, DEPTH + 1):
+        prior = level.select(F.col("key").alias("_shorter"), F.col("p").alias("prior"))
+        met = rows[d].withColumn("_shorter", cut(d - 1)).join(prior, "_shorter")
+        after = Window.partitionBy(F.shiftright("key", _BITS))
+        total, n = F.sum("n").over(after), F.col("n")
+        gain = F.sum(F.when(n > 0, n * F.log(n / F.col("prior"))).otherwise(0.0)).over(after)
+        met = met.withColumns({"_total": total, "_gain": gain})
+        kept = (F.col("_total") > 0) & (F.col("_gain") - F.col("_total") * F.log("_total") >= GAIN)
+        smooth = (n + PULL * F.col("prior")) / (F.col("_total") + PULL)
+        level = materialize(met.select("key", "n", "m", F.when(kept, smooth).otherwise(F.col("prior")).alias("p")))
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).filter("m > 0").select("key", "m", F.log10("p").alias("log"))
 
 
 def _contexts(grams: DataFrame) -> pd.DataFrame:
-    """`(d, context, symbol, n)` of the candidate contexts of all lengths."""
-    everything = grams.agg(F.sum("n")).first()[0] or 0
+    """`(d, context, symbol, n)` of the contexts of all lengths."""
     lengths = F.explode(F.array(*[F.struct(
         F.lit(d).alias("d"), F.shiftright("key", _BITS).bitwiseAND(F.lit((1 << (_BITS * d)) - 1)).alias("context")) for d in range(DEPTH + 1)]))
     rows = grams.select("n", F.col("key").bitwiseAND(F.lit(_LOW)).alias("symbol"), lengths.alias("c")).select("n", "symbol", "c.*")
@@ -122,13 +168,15 @@ def _contexts(grams: DataFrame) -> pd.DataFrame:
     for d in range(DEPTH + 1):  # a context has all its symbols
         full = F.lit(True) if d == 0 else F.shiftright("context", _BITS * (d - 1)) > 0
         whole = whole | ((F.col("d") == d) & full)
-    rows = rows.filter(whole).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("d", "context"))
-    return rows.withColumn("total", total).filter(F.col("total") >= SHARE * everything).drop("total").toArrow().to_pandas()
+    return rows.filter(whole).groupBy("d", "context", "symbol").agg(F.sum("n").alias("n")).toArrow().to_pandas()
 
 
 class SuffixTree:
-    """States, their transitions and log10 probabilities; column 0 of the tables stands for bytes never seen."""
+    """The tree of a small corpus as an automaton, whose state is always the longest suffix in the tree.
+
+    States, their transitions and log10 probabilities; column 0 of the tables stands for bytes never seen. It has to fit
+    one process, so texts are scored by `_probabilities`; the tests hold that against it.
+    """
 
     def __init__(self, rows: pd.DataFrame):
         seen = np.unique(rows["symbol"].to_numpy(dtype=np.int64))
@@ -182,82 +230,98 @@ class SuffixTree:
         if self.column[_END + 1]:
             self.next[:, self.column[_END + 1]] = self.start
 
-    def score(self, symbols: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream, walked in stretches that first reread `DEPTH` symbols."""
-        n, width = len(symbols), self.next.shape[1]
-        lanes = -(-n // STRETCH)
-        columns = np.zeros(DEPTH + lanes * STRETCH, dtype=np.int64)
-        columns[DEPTH:DEPTH + n] = self.column[symbols.astype(np.int64) + 1]
-        lane = np.lib.stride_tricks.sliding_window_view(columns, DEPTH + STRETCH)[::STRETCH].T.copy()
-        logs, following = self.logs.ravel(), self.next.ravel()
-        state, out = np.zeros(lanes, dtype=np.int64), np.empty((STRETCH, lanes))
-        for t in range(DEPTH + STRETCH):
-            if t == DEPTH:
-                state[0] = self.start
-            at = state * width + lane[t]
-            if t >= DEPTH:
-                out[t - DEPTH] = logs[at]
-            state = following[at].astype(np.int64)
-        return np.add.reduceat(out.T.ravel()[:n], limits[:-1])
-
 
 def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns `keep`, then `(n_tokens, n_known, train_tokens, base_score, score)` of every row of `docs`."""
-    counted = _gather(training.select(F.col(text_column).cast("string")))
-    tree = SuffixTree(_contexts(counted.filter("kind = 0")))
-    vocabulary = counted.filter("kind = 1").select(F.col("key").alias("word"), "n")
+    text = F.col(text_column).cast("string").alias("text")
+    counted = _gather(training.select(text, F.lit(True).alias("learnt")).unionByName(docs.select(text, F.lit(False).alias("learnt"))))
+    return _scored(docs, counted, text_column, keep)
+
+
+def _told(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values; there is one of each at least."""
+    found = rows.select("key", value).toArrow()
+    keys, values = (found.column(i).to_numpy() for i in range(2))
+    order = np.argsort(keys)
+    return (keys[order], values[order].astype(float)) if len(keys) else (np.full(1, -1), np.zeros(1))
+
+
+def _found(keys: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are told, and the values of these; other keys have 0."""
+    asked, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(told[0], asked), len(told[0]) - 1)
+    hit = told[0][at] == asked
+    return hit[back], np.where(hit, told[1][at], 0.0)[back]
+
+
+def _sums(values: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[limits])
+
+
+def _left(keys: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    size = np.concatenate([np.zeros(1, np.int64), *sizes])
+    flat = np.concatenate([np.zeros(0, np.int64), *keys])
+    return pa.LargeListArray.from_arrays(pa.array(np.cumsum(size)), pa.array(flat)).cast(pa.list_(pa.int64()))
+
+
+def _scored(docs: DataFrame, counted: DataFrame, text_column: str, keep: tuple[str, ...]) -> DataFrame:
+    vocabulary = counted.filter("kind = 1").select("key", "n", F.log10(F.col("n") + 1.0).alias("log"))
     sums = vocabulary.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
     ends = counted.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
     total, distinct = (sums["tokens"] or 0) + ends, sums["words"] + int(ends > 0)
-    told = vocabulary.filter(F.col("n") >= WORD_SHARE * (sums["tokens"] or 0)).toArrow().to_pandas().sort_values("word")
-    told_words, told_n = told["word"].to_numpy(dtype=np.int64), told["n"].to_numpy(dtype=np.int64)
+    grams = materialize(_probabilities(counted.filter("kind = 0")))
+    least = WORD_SHARE * (sums["tokens"] or 0), GRAM_SHARE * (grams.agg(F.sum("m")).first()[0] or 0)
+    told_words, told_grams = _told(vocabulary.filter(F.col("n") >= least[0]), "log"), _told(grams.filter(F.col("m") >= least[1]), "log")
     width = len(keep)
 
     def measure(batches):
         task, row = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            tokens, known, logs, scores, rare = [], [], [], [], []
+            tokens, known, logs, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+            words, word_sizes, rare, sizes = [], [], [], []
             for block in blocks(batch.column(width)):
-                count = np.diff(block.first)
-                words, back = np.unique(block.hashes.view(np.int64), return_inverse=True)
-                at = np.minimum(np.searchsorted(told_words, words), max(0, len(told_words) - 1))
-                common = told_words[at] == words if len(told_words) else np.zeros(len(words), bool)
-                n = np.where(common, told_n[at], 0) if len(told_words) else np.zeros(len(words), np.int64)
-                sums_ = np.concatenate([[0.0], np.cumsum(np.log10(n + 1.0)[back])])
-                hits = np.concatenate([[0], np.cumsum(common[back])])
-                tokens.append(count + 1)
-                known.append(hits[block.first[1:]] - hits[block.first[:-1]] + int(ends > 0))
-                logs.append(sums_[block.first[1:]] - sums_[block.first[:-1]] + np.log10(ends + 1.0))
-                scores.append(tree.score(*stream(block)))
-                left = ~common[back]
-                cuts = np.concatenate([[0], np.cumsum(left)])[block.first]
-                hashes = block.hashes.view(np.int64)[left]
-                rare += [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            sizes = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
-            flat = np.concatenate(rare) if rare else np.zeros(0, np.int64)
-            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
+                hashes = block.hashes.view(np.int64)
+                told, values = _found(hashes, told_words)
+                tokens.append(np.diff(block.first) + 1)
+                known.append(_sums(told, block.first) + int(ends > 0))
+                logs.append(_sums(values, block.first) + np.log10(ends + 1.0))
+                words.append(hashes[~told])
+                word_sizes.append(_sums(~told, block.first))
+                symbols, limits = stream(block)
+                keys = runs(symbols)
+                told, values = _found(keys, told_grams)
+                scores.append(_sums(values, limits))
+                rare.append(keys[~told])
+                sizes.append(_sums(~told, limits))
+            join = lambda parts, kind: pa.array(np.concatenate(parts), kind)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width], pa.array(np.arange(row, row + batch.num_rows) + task, pa.int64()), join(tokens, pa.int64()),
-                 join(known, pa.int64()), join(logs, pa.float64()), join(scores, pa.float64()),
-                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int64()))],
-                names=[*keep, "_row", "n_tokens", "_known", "_logs", "score", "_rare"])
+                 join(known, pa.int64()), join(logs, pa.float64()), join(scores, pa.float64()), _left(words, word_sizes), _left(rare, sizes)],
+                names=[*keep, "_row", "n_tokens", "_known", "_logs", "_score", "_words", "_grams"])
             row += batch.num_rows
 
     given = docs.select(*keep, F.col(text_column).cast("string"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:width]]
-    schema = ", ".join([*fields, "_row long, n_tokens long, _known long, _logs double, score double, _rare array<long>"])
+    schema = ", ".join([*fields, "_row long, n_tokens long, _known long, _logs double, _score double, _words array<long>, _grams array<long>"])
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
         rows = materialize(given.mapInArrow(measure, schema))
-    asked = rows.select("_row", F.explode("_rare").alias("word"))
-    more = asked.join(vocabulary, "word").groupBy("_row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
+    asked = rows.select("_row", F.lit(1).alias("kind"), F.explode("_words").alias("key")).unionByName(
+        rows.select("_row", F.lit(0).alias("kind"), F.explode("_grams").alias("key")))
+    table = vocabulary.filter(F.col("n") < least[0]).select(F.lit(1).alias("kind"), "key", "log").unionByName(
+        grams.filter(F.col("m") < least[1]).select(F.lit(0).alias("kind"), "key", "log"))
+    word = F.col("kind") == 1
+    more = asked.join(table, ["kind", "key"]).groupBy("_row").agg(
+        F.count_if(word).alias("more"), F.sum(F.when(word, F.col("log")).otherwise(0.0)).alias("logs"),
+        F.sum(F.when(word, F.lit(0.0)).otherwise(F.col("log"))).alias("scores"))
     base = F.col("_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return rows.drop("_rare").join(more, "_row", "left").select(
+    return rows.drop("_words", "_grams").join(more, "_row", "left").select(
         *keep, "n_tokens", (F.col("_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score")
+        base.alias("base_score"), (F.col("_score") + F.coalesce("scores", F.lit(0.0))).alias("score"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """`(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`; the held-out fold is not learnt from."""
     held = fold("doc_id", 7) == 2
     rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return score_texts(rows, docs.filter(~held), keep=("doc_id", "held_out"))
+    counted = _gather(rows.select(F.col("text").cast("string"), (~F.col("held_out")).alias("learnt")))
+    return _scored(rows, counted, "text", ("doc_id", "held_out"))

@@ -291,6 +291,17 @@ def test_tree_is_a_distribution_and_walks_like_a_search(spark):
         assert r["score"] == pytest.approx(plain(asked[r["doc_id"]]), rel=1e-6)
 
 
+def test_contexts_of_a_small_share_count(spark, monkeypatch):
+    """Contexts seen three times in 430,000 symbols tell what follows, whichever runs all tasks are told."""
+    texts = ["ab " * 60] * 2000 + ["xq zv"] * 3 + [prose(40, s) for s in range(300)]
+    training, asked = documents(spark, texts), documents(spark, ["xq zv", prose(60, 5), "ab ab", "xq ÿ\u0001", None])
+    found = []
+    for share in (1e-2, 1e-9):
+        monkeypatch.setattr(suffixtree, "GRAM_SHARE", share)
+        found.append([r["score"] for r in suffixtree.score_texts(asked, training, keep=("doc_id",)).orderBy("doc_id").collect()])
+    assert found[0] == pytest.approx(found[1]) and found[0][0] > -8
+
+
 def test_scores_without_training_text(spark):
     rows = suffixtree.score_texts(documents(spark, ["ab", None]), documents(spark, []), keep=("doc_id",)).orderBy("doc_id").collect()
     assert rows[0]["score"] == pytest.approx(-3 * math.log10(256)) and rows[1]["score"] == pytest.approx(-math.log10(256))
