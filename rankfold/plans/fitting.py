@@ -1,7 +1,7 @@
 """Classifiers, importances and explanations on the feature frame.
 
-Grids are smaller than the defaults so that the whole catalogue runs in one sitting;
-every query still reads all resolved orders.
+Every model is searched over its whole grid, once per session and table, and used with the parameters that won;
+every query reads all resolved orders.
 """
 
 from __future__ import annotations
@@ -25,11 +25,8 @@ from rankfold.plans.splitting import SPLIT_SQL
 from rankfold.plans.storage import _place
 from rankfold.session import materialize
 
-SMALL = dict(reg_params=[1e-5, 1e-4], depths=[3, 5], forest_trees=[10], boost_rounds=[5], boost_depths=[3], max_iter=20)
-
-
 def specs():
-    return L.model_specs(**SMALL)
+    return L.model_specs()
 
 
 _PREPARED: dict[tuple[str, str], tuple] = {}
@@ -50,15 +47,28 @@ def _prepare(spark, sf):
     return materialize(train), materialize(test), fitted, kept, frame, split
 
 
-def _first_params(spec: L.Spec) -> dict:
-    return {p.name: v for p, v in spec.grid[0].items()}
+_SEARCHED: dict[tuple[str, str, str], tuple] = {}
+
+
+def searched(spark, sf, key: str):
+    """Specification and fitted search of a model; the specification is the one whose grid was searched."""
+    place = (spark.sparkContext.applicationId, sf, key)
+    if place not in _SEARCHED:
+        spec = specs()[key]
+        _SEARCHED[place] = spec, L.cross_validate(spec, prepared(spark, sf)[0])
+    return _SEARCHED[place]
+
+
+def chosen(spark, sf, key: str) -> tuple[L.Spec, dict]:
+    spec, fitted = searched(spark, sf, key)
+    return spec, L.best_params(spec, fitted)
 
 
 def _scores(key: str):
     def run(spark, sf) -> DataFrame:
-        train, test, *_ = prepared(spark, sf)
-        spec = specs()[key]
-        return L.score(L.refit(spec, _first_params(spec), train), test, spec.score_column)
+        _, test, *_ = prepared(spark, sf)
+        spec, fitted = searched(spark, sf, key)
+        return L.score(fitted.bestModel, test, spec.score_column)
 
     return run
 
@@ -131,42 +141,44 @@ def nb_class_moments(spark, sf):
 
 @query("cv_grid_table")
 def cv_grid_table(spark, sf):
-    train, *_ = prepared(spark, sf)
-    spec = specs()["DT"]
-    return L.cv_table(spark, "DT", spec, L.cross_validate(spec, train))
+    return reduce(DataFrame.unionByName, [L.cv_table(spark, key, *searched(spark, sf, key)) for key in L.MODEL_KEYS])
 
 
 @query("oof_scores")
 def oof_scores(spark, sf):
     train, *_ = prepared(spark, sf)
-    spec = specs()["LR"]
-    return L.oof_scores(L.with_params(spec.estimator, _first_params(spec)), train, spec.score_column)
+    parts = []
+    for key in L.MODEL_KEYS:
+        spec, params = chosen(spark, sf, key)
+        parts.append(L.oof_scores(L.with_params(spec.estimator, params), train, spec.score_column).withColumn("model", F.lit(key)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("oof_threshold")
 def oof_threshold(spark, sf):
     train, *_ = prepared(spark, sf)
     parts = []
-    for key in ("LR", "SVM"):
-        spec = specs()[key]
-        found = L.oof_threshold(L.with_params(spec.estimator, _first_params(spec)), train, spec.score_column)
+    for key in L.MODEL_KEYS:
+        spec, params = chosen(spark, sf, key)
+        found = L.oof_threshold(L.with_params(spec.estimator, params), train, spec.score_column)
         parts.append(found.withColumn("model", F.lit(key)))
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("model_record")
 def model_record(spark, sf):
-    """Full run of one model: search, test scores, threshold, record; the second call resumes."""
+    """Full run of every model: search, test scores, threshold, record; the second call resumes."""
     train, test, *_ = prepared(spark, sf)
     out = _place(spark, "models")
-    L.run_model("LR", specs()["LR"], train, test, out)
-    return L.run_model("LR", specs()["LR"], train, test, out)
+    for key, spec in specs().items():
+        L.run_model(key, spec, train, test, out)
+    return reduce(DataFrame.unionByName, [L.run_model(key, spec, train, test, out) for key, spec in specs().items()])
 
 
 @query("scaling_leak_check")
 def scaling_leak_check(spark, sf):
     train, *_ = prepared(spark, sf)
-    return L.scaling_leak(train, reg_params=[1e-5], max_iter=20)
+    return L.scaling_leak(train)
 
 
 _LATER = "(is_test AND issue_year = 1999 AND term_months = 36)"
@@ -187,20 +199,19 @@ def temporal_validation_nb(spark, sf):
 @query("temporal_validation")
 def temporal_validation(spark, sf):
     *_, frame, split = prepared(spark, sf)
-    return L.temporal_validation(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, frame, split, "issue_year", 1998, F.col("term_months") == 36)
+    return L.temporal_validation(*chosen(spark, sf, "RF"), frame, split, "issue_year", 1998, F.col("term_months") == 36)
 
 
 @query("impurity_importance")
 def impurity_importance(spark, sf):
     train, *_ = prepared(spark, sf)
-    return L.impurity_importance(L.refit(specs()["RF"], {"numTrees": 10, "maxDepth": 5}, train), train)
+    return L.impurity_importance(searched(spark, sf, "RF")[1].bestModel, train)
 
 
 def scoring_pipeline(spark, sf, key: str = "GB"):
     """Preprocessing and model as one transformer of model-input rows, with train and test rows."""
-    train, _, fitted, kept, frame, split = prepared(spark, sf)
-    spec = specs()[key]
-    model = L.refit(spec, _first_params(spec), train)
+    _, _, fitted, kept, frame, split = prepared(spark, sf)
+    model = searched(spark, sf, key)[1].bestModel
     rows = materialize(X.model_input(frame.join(split.select("id", "split"), "id"), kept, S.NUMERIC, S.CATEGORICAL))
     pipeline = PipelineModel(stages=[fitted, model])
     return pipeline, rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
@@ -216,7 +227,7 @@ def permutation_importance(spark, sf):
 def local_surrogate(spark, sf):
     """The two test rows that two models both get most wrong."""
     pipeline, train, test = scoring_pipeline(spark, sf)
-    other = L.refit(specs()["DT"], {"maxDepth": 3}, pipeline.stages[0].transform(train))
+    other = searched(spark, sf, "DT")[1].bestModel
     first = L.score(pipeline, test, "probability")
     second = L.score(PipelineModel(stages=[pipeline.stages[0], other]), test, "probability")
     both = materialize(first.select("id", "y", F.col("score").alias("p1")).join(second.select("id", F.col("score").alias("p2")), "id"))
@@ -248,9 +259,9 @@ def six_model_comparison(spark, sf):
     """Test metrics of all six models at the default and at the out-of-fold F1 threshold."""
     train, test, *_ = prepared(spark, sf)
     parts, points = [], []
-    for key, spec in specs().items():
-        params = _first_params(spec)
-        parts.append(L.score(L.refit(spec, params, train), test, spec.score_column).withColumn("model", F.lit(key)))
+    for key in L.MODEL_KEYS:
+        spec, params = chosen(spark, sf, key)
+        parts.append(L.score(searched(spark, sf, key)[1].bestModel, test, spec.score_column).withColumn("model", F.lit(key)))
         points.append((key, "default", spec.default_threshold))
         points.append((key, "oof_f1", L.oof_threshold(L.with_params(spec.estimator, params), train, spec.score_column).first()["threshold"]))
     scores = materialize(reduce(lambda a, b: a.unionByName(b), parts))

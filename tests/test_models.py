@@ -89,3 +89,18 @@ def test_perturbation_keeps_the_instance_and_the_level_shares(spark, data):
     share = df.filter("kind = 'p'").count() / df.count()
     assert (rows["kind"] == "p").mean() == pytest.approx(share, abs=0.03)
     assert rows["x1"].median() == pytest.approx(df.approxQuantile("x1", [0.5], 0.0)[0], abs=0.1)
+
+
+def test_queries_search_whole_grids_and_use_the_best(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from rankfold.plans import fitting
+
+    monkeypatch.setattr(fitting, "_SEARCHED", {})
+    monkeypatch.setattr(fitting, "prepared", lambda *_: (None, None))
+    monkeypatch.setattr(fitting.L, "cross_validate", lambda spec, train: SimpleNamespace(avgMetrics=list(range(len(spec.grid)))))
+    found = {key: fitting.chosen(spark, "sf", key) for key in fitting.L.MODEL_KEYS}
+    assert [len(spec.grid) for spec, _ in found.values()] == [3, 3, 9, 4, 3, 1]
+    assert [params for _, params in found.values()] == [
+        {"regParam": 1e-4}, {"maxDepth": 15}, {"numTrees": 100, "maxDepth": 15}, {"maxIter": 100, "maxDepth": 5}, {"regParam": 1e-4}, {}]
+    assert {spec.estimator.getMaxIter() for key, (spec, _) in found.items() if key in ("LR", "SVM")} == {100}
