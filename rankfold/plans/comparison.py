@@ -204,12 +204,14 @@ def test_set_identity(spark, sf):
     return C.score_join_check(scores.select("id", "y"), other)
 
 
-REPLICATES = 200
+REPLICATES, INTERVAL_REPLICATES = 2000, 200
+#: Holm's adjustment is for the pairs of a family: those with the first model, and those among the others.
+FAMILIES = {pair: "A" if MODELS[0] in pair else "B" for pair in PAIRS}
 
 
 @query("bootstrap_delta")
 def bootstrap_delta(spark, sf):
-    return B.paired_bootstrap(wide(spark, sf), [("m1", "m2")], {m: THRESHOLDS[m] for m in ("m1", "m2")}, REPLICATES)
+    return B.paired_bootstrap(wide(spark, sf), PAIRS, THRESHOLDS, REPLICATES)
 
 
 OBSERVED_SQL = f"""{LONG_SQL}, {curve_sql('long', 'model')},
@@ -230,13 +232,11 @@ def bootstrap_observed(spark, sf):
 
 @query("bootstrap_auc_ci")
 def bootstrap_auc_ci(spark, sf):
-    return B.bootstrap_auc_interval(wide(spark, sf), ["m1"], REPLICATES)
+    return B.bootstrap_auc_interval(wide(spark, sf), MODELS, INTERVAL_REPLICATES)
 
 
 @query("three_test_table")
 def three_test_table(spark, sf):
-    scores = wide(spark, sf).select("id", "y", "m1", "m2", "m3")
-    thresholds = {m: THRESHOLDS[m] for m in ("m1", "m2", "m3")}
-    pairs = [("m1", "m2"), ("m1", "m3")]
-    return B.three_test_table(C.delong_family(scores, list(thresholds), pairs), C.mcnemar(scores, pairs, thresholds),
-                              B.paired_bootstrap(scores, pairs, thresholds, 100))
+    scores = wide(spark, sf)
+    return B.three_test_table(C.delong_family(scores, MODELS, PAIRS, FAMILIES), C.mcnemar(scores, PAIRS, THRESHOLDS),
+                              B.paired_bootstrap(scores, PAIRS, THRESHOLDS, REPLICATES))

@@ -90,3 +90,19 @@ def test_paired_summary(scores):
     row = rows["roc_auc"]
     assert row["observed"] == pytest.approx(observed, abs=1e-12)
     assert row["lo"] < observed < row["hi"] and row["excludes_zero"] and row["p_value"] == pytest.approx(1 / 61)
+
+
+def test_queries_bootstrap_all_pairs_and_scores_in_full(monkeypatch):
+    from rankfold.plans import comparison as P
+
+    asked = []
+    monkeypatch.setattr(P, "wide", lambda spark, sf: None)
+    monkeypatch.setattr(P.C, "delong_family", lambda wide, models, pairs, family: asked.append(family))
+    monkeypatch.setattr(P.C, "mcnemar", lambda wide, pairs, thresholds: asked.append(pairs))
+    monkeypatch.setattr(P.B, "paired_bootstrap", lambda wide, pairs, thresholds, replicates: asked.append((pairs, replicates)))
+    monkeypatch.setattr(P.B, "bootstrap_auc_interval", lambda wide, models, replicates: asked.append((models, replicates)))
+    monkeypatch.setattr(P.B, "three_test_table", lambda *tables: None)
+    P.bootstrap_delta(None, ""), P.bootstrap_auc_ci(None, ""), P.three_test_table(None, "")
+    every = (P.PAIRS, 2000)
+    assert len(P.PAIRS) == 6 and asked[0] == every and asked[1] == (P.MODELS, 200) and every in asked[2:] and P.PAIRS in asked[2:]
+    assert [set(f.values()) for f in asked if isinstance(f, dict)] == [{"A", "B"}]
