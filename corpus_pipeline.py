@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had lines to compare and keeps nothing goes."""
-    cut = lines.dedup_lines(docs)
+    cut = lines.dedup_lines(docs, short_copies=True)
     count = F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.filter(~((F.col("_removed") > 0) & (F.col("text") == ""))).withColumn("n_chars", count).select(*docs.columns)
 

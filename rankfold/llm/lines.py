@@ -216,12 +216,16 @@ def near_links(lines: DataFrame, threshold: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_column: str = "doc_id",
-                text_column: str = "text") -> DataFrame:
-    """All columns of `docs` with the text cut, and `_lines`, `_removed`."""
+                text_column: str = "text", short_copies: bool = False) -> DataFrame:
+    """All columns of `docs` with the text cut, and `_lines`, `_removed`.
+
+    With `short_copies`, exact copies of lines shorter than `min_chars` go too, save blank ones.
+    """
+    least = 1 if short_copies else min_chars
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    lines = line_table(narrow, min_chars)
+    lines = line_table(narrow, least)
     firsts = materialize(lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first")))
-    links = near_links(lines, threshold)
+    links = near_links(lines.filter(F.length("line") >= min_chars), threshold)
     for c in "ab":
         links = links.join(firsts.select(F.col("h").alias(c), F.col("h2").alias(f"{c}2"), F.col("first").alias(f"first_{c}")), [c, f"{c}2"])
     later = F.col("first_a") > F.col("first_b")
@@ -232,7 +236,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     text = F.col(text_column)
     joined = docs.join(kept, (docs[id_column] == F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left")
     parts = F.split(text, "\n")
-    stays = F.filter(parts, lambda x, i: (F.length(_trimmed(x)) < min_chars) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
+    stays = F.filter(parts, lambda x, i: (F.length(_trimmed(x)) < least) | F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i))
     active = F.col(id_column).isNotNull() & text.isNotNull()
     result = joined.withColumns({"_lines": F.when(text.isNotNull(), F.size(parts)).otherwise(0), "_stays": stays})
     body = F.when(F.exists("_stays", lambda x: _trimmed(x) != ""), F.array_join("_stays", "\n")).when(

@@ -62,6 +62,13 @@ def test_stages_do_what_their_operators_say(spark, corpus):
             assert set(got) <= set(left) and max(got.values()) <= 2
 
 
+def test_short_lines_stay_once(spark):
+    texts = ["Menu\n" + prose(9, 1), prose(9, 2) + "\n\n Menu\t\nMenus", "\n", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    got = [r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()]
+    assert got == [texts[0], prose(9, 2) + "\n\nMenus", "\n", None]
+
+
 def test_run_equals_its_stages_and_reruns_agree(spark, corpus):
     folder, *_ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
