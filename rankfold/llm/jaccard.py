@@ -337,11 +337,11 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = K) -> DataFrame:
-    """The rows of each component's smallest id, with all their columns; repeated rows of an id stay once."""
+    """The rows of each component's smallest id, with all their columns; rows that repeat an id and its text stay once."""
     ids = materialize(components(docs, id_column, text_column, k).withColumn("first", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("component_id"))))
     repeated = ids.filter("doc_id is not null and first > 1").limit(1).count()
     leaders = ids.filter("doc_id = component_id and first = 1").select(F.col("doc_id").alias("_leader"))
     kept = _of(docs.sparkSession, docs.withColumnRenamed(id_column, "doc_id"), leaders, "_leader").drop("_leader")
-    kept = kept.dropDuplicates(["doc_id"]) if repeated else kept
+    kept = kept.dropDuplicates(["doc_id", text_column]) if repeated else kept
     return kept.withColumnRenamed("doc_id", id_column).unionByName(docs.filter(F.col(id_column).isNull()))

@@ -407,3 +407,9 @@ def test_components_equal_all_pairs(spark, monkeypatch):
 
 def test_components_of_an_empty_table(spark):
     assert jaccard.components(documents(spark, [])).count() == 0 and jaccard.keep_one(documents(spark, [])).count() == 0
+
+
+def test_different_texts_of_a_leading_id_stay(spark):
+    texts = [prose(20, 1), prose(20, 2), prose(20, 1), prose(20, 3)]
+    got = jaccard.keep_one(documents(spark, texts, ids=[1, 1, 1, 4])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted({(1, texts[0]), (1, texts[1]), (4, texts[3])})
