@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankfold.llm import ann, chat, decontaminate, jaccard, lines, mixing, quality, secrets, suffixtree, warc
+from rankfold.llm import alignment, ann, chat, decontaminate, jaccard, language, lines, mixing, quality, secrets, suffixtree, turns, warc
 from rankfold.llm.common import table
 
 
@@ -49,6 +49,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 REGISTRY = {f.__name__: f for f in (op1_secret_scan, op2_nearest_neighbours, op3_line_dedup, op4_source_mix, op5_preference_format,
-                                    op6_quality_classifier, op7_suffix_tree_scores, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join)}
-SQL = {"op3_line_dedup": lines.SQL, "op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL}
+                                    op6_quality_classifier, op7_suffix_tree_scores, op8_benchmark_leaks, op9_revisit_resolution, op10_jaccard_join,
+                                    op11_token_alignment, op12_language_id, op13_conversation_repair)}
+SQL = {"op3_line_dedup": lines.SQL, "op4_source_mix": mixing.SQL, "op5_preference_format": chat.SQL, "op9_revisit_resolution": warc.SQL,
+       "op13_conversation_repair": turns.SQL}
