@@ -4,6 +4,9 @@ A text goes through a byte-level BPE (A, with a space put before it) and a sente
 itself). Either side's cumulative token ends go into a dictionary from end to index; the ends that both dictionaries hold,
 in order, slice both id lists into groups. Within a group every A token is linked with every B token.
 
+Neither side joins a word's last character with a space behind it, so a text is cut there, and a stretch that a task has met before
+is not encoded and aligned again.
+
 Links of the whole corpus are counted by document. A text then asks how often its pairs are linked elsewhere: pairs that
 many documents hold are told to all tasks (at most `TOLD`, whatever the size of the corpus), the others meet their counts by
 a join. No pair is left out. A text's pairs are stored once, as arrays of distinct pairs and how often each occurs in it.
@@ -19,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from itertools import accumulate, count
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,13 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that all tasks are told at most; decides how a count is fetched, never its value.
 TOLD = 500_000
-#: Texts encoded at a time, so that the encoders' own objects stay small.
-ENCODE_BYTES = 1 << 18
-#: Groups of more links than this are counted by distinct ids.
+#: Characters encoded at a time, so that the encoders' own objects stay small, and characters of texts put together at a time.
+ENCODE_CHARS, SLICE_CHARS = 1 << 16, 1 << 20
+#: Units a task remembers, twice, and the length from which one is forgotten at once.
+MEMORY, LONG_UNIT = 100_000, 256
+_UNIT = re.compile(r"(?<=[\w.,;:!?])(?= )")
+_CLOSED = re.compile(r".*[\w.,;:!?]", re.S).fullmatch
+#: A group of more links than this is counted by distinct ids.
 GROUP_LINKS = 1 << 16
 
 ALIGNED = "n_a int, n_b int, n_groups int, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
@@ -64,6 +73,12 @@ class Encoders:
         ids = range(self._b.vocab_size())
         pieces = self._b.id_to_piece(list(ids))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
+        # The first side never joins a character with a space behind it; the second doesn't if no piece holds such a place.
+        self._local = not any(re.search("[^▁]▁", p) for p in pieces)
+
+    def units(self, text: str) -> list[str]:
+        """A space and the text, cut before spaces that follow a word or its punctuation: each stretch has the tokens it has in the whole."""
+        return _UNIT.split(" " + text) if self._local else [" " + text]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of either side for each text; both empty where they don't spell it."""
@@ -71,7 +86,7 @@ class Encoders:
         second = self._b.encode(texts, num_threads=1)
         for text, a, b in zip(texts, first, second):
             raw, a = b" " + text.encode(), a.ids
-            same = text and b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
             yield (a, b) if same else ([], [])
 
 
@@ -82,22 +97,22 @@ def read_encoders(folder: str = TOKENIZERS) -> tuple[str, bytes]:
     return text, (Path(folder) / PIECE_MODEL).read_bytes()
 
 
-def group_cuts(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
-    """Index in either list after which each group ends."""
+def group_cuts(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Byte offset at which each group ends, and the index in either list after which it does."""
     at_a = dict(zip(accumulate(map(size_a.__getitem__, a)), count(1)))
     at_b = dict(zip(accumulate(map(size_b.__getitem__, b)), count(1)))
     shared = sorted(at_a.keys() & at_b.keys())
-    return [at_a[e] for e in shared], [at_b[e] for e in shared]
+    return shared, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared))
 
 
-def render_groups(a: list[int], b: list[int], cuts: tuple[list[int], list[int]], names: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3` of the groups."""
+def render_groups(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int], names: list[str]) -> list[str]:
+    """`a1,a2|b1` of each group."""
     left, right = [names[i] for i in a], [names[i] for i in b]
     parts, i, j = [], 0, 0
-    for p, q in zip(*cuts):
+    for p, q in zip(cut_a, cut_b):
         parts.append(f"{left[i] if p == i + 1 else ','.join(left[i:p])}|{right[j] if q == j + 1 else ','.join(right[j:q])}")
         i, j = p, q
-    return ";".join(parts)
+    return parts
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +144,127 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndar
     return pair, np.bincount(back, weights=np.concatenate(times), minlength=len(pair)).astype(np.int64)
 
 
-def _slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """The texts in order, some `ENCODE_BYTES` characters at a time."""
+class Unit(NamedTuple):
+    """Alignment of a stretch of text that both sides encode on its own: counts, groups (None: not spelled), packed links."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str | None
+    links: bytes
+
+
+class Aligner:
+    """Aligns texts unit by unit. Units are remembered in two generations of `MEMORY`, so often met ones stay."""
+
+    def __init__(self, encoders: Encoders):
+        self.encoders = encoders
+        self.young: dict[str, Unit] = {}
+        self.old: dict[str, Unit] = {}
+        self.large: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.size_a, self.size_b = [len(x) for x in encoders.bytes_a], [len(x) for x in encoders.bytes_b]
+        self.names = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
+
+    def _links(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Packed links in order and how many come before each group; None if a group has very many."""
+        ends_a, ends_b = np.array(cut_a, dtype=np.int64), np.array(cut_b, dtype=np.int64)
+        n_a, n_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        size = n_a * n_b
+        if len(size) and size.max() > GROUP_LINKS:
+            return None
+        group = np.repeat(np.arange(len(size)), size)
+        inside = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        wide = n_b[group]
+        left = np.array(a, dtype=np.int64)[(ends_a - n_a)[group] + inside // wide]
+        return left << 32 | np.array(b, dtype=np.int64)[(ends_b - n_b)[group] + inside % wide], np.concatenate([[0], np.cumsum(size)])
+
+    def _together(self, units: list[str]) -> bool:
+        """Learns units that may follow one another, as one text; False if they aren't spelled or have a very large group."""
+        (a, b), = self.encoders.encode(["".join(units)[1:]])
+        shared, cut_a, cut_b = group_cuts(a, b, self.size_a, self.size_b)
+        found = self._links(a, b, cut_a, cut_b) if a else None
+        if found is None:
+            return False
+        ends = np.cumsum([len(u.encode()) for u in units])
+        last = np.searchsorted(np.array(shared), ends) + 1
+        if last[-1] > len(shared) or (np.array(shared)[last - 1] != ends).any():
+            return False
+        packed, before = found[0].tobytes(), (8 * found[1]).tolist()
+        parts = render_groups(a, b, cut_a, cut_b, self.names)
+        g = i = j = 0
+        for unit, h in zip(units, last.tolist()):
+            self.young[unit] = Unit(cut_a[h - 1] - i, cut_b[h - 1] - j, h - g, ";".join(parts[g:h]), packed[before[g]:before[h]])
+            g, i, j = h, cut_a[h - 1], cut_b[h - 1]
+        return True
+
+    def _alone(self, unit: str) -> None:
+        (a, b), = self.encoders.encode([unit[1:]])
+        _, cut_a, cut_b = group_cuts(a, b, self.size_a, self.size_b)
+        found = self._links(a, b, cut_a, cut_b)
+        if found is None:
+            self.large[unit] = linked_pairs(*(np.array(x, dtype=np.int64) for x in (a, b, cut_a, cut_b)))
+        groups = ";".join(render_groups(a, b, cut_a, cut_b, self.names)) if a else None
+        self.young[unit] = Unit(len(a), len(b), len(cut_a), groups, b"" if found is None else found[0].tobytes())
+
+    def learn(self, units: list[str]) -> None:
+        """Encodes units that aren't known; those that end a word go together."""
+        part, held = [], 0
+        for unit in units:
+            if not _CLOSED(unit):
+                self._alone(unit)
+                continue
+            part.append(unit)
+            held += len(unit)
+            if held >= ENCODE_CHARS:
+                self._learn_part(part)
+                part, held = [], 0
+        if part:
+            self._learn_part(part)
+
+    def _learn_part(self, units: list[str]) -> None:
+        if not self._together(units):
+            for unit in units:
+                self._alone(unit)
+
+    def align(self, texts: list[str | None]) -> list[tuple]:
+        """`(n_a, n_b, n_groups, n_links, groups, pairs, times)` of each text."""
+        split = [self.encoders.units(text) if text else [] for text in texts]
+        asked = set().union(*split)
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        fresh = []
+        for unit in asked:
+            if unit not in self.young:
+                if unit in self.old:
+                    self.young[unit] = self.old[unit]
+                else:
+                    fresh.append(unit)
+        self.learn(fresh)
+        out, none = [], np.zeros(0, np.int64)
+        for units in split:
+            n_a, n_b, n_groups, groups, links = zip(*map(self.young.__getitem__, units)) if units else ((), (), (), (None,), ())
+            if None in groups:
+                out.append((0, 0, 0, 0, "", none, none))
+                continue
+            pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
+            more = [self.large[u] for u in units if u in self.large] if self.large else []
+            if more:
+                pairs, back = np.unique(np.concatenate([pairs, *(p for p, _ in more)]), return_inverse=True)
+                times = np.bincount(back, weights=np.concatenate([times, *(t for _, t in more)])).astype(np.int64)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), ";".join(groups), pairs, times))
+        for unit in [u for u in asked if len(u) > LONG_UNIT]:  # rare and large
+            del self.young[unit]
+            self.large.pop(unit, None)
+        return out
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, some `SLICE_CHARS` characters at a time."""
     out, held = [], 0
     for text in texts:
-        out.append(text or "")
-        held += len(out[-1])
-        if held >= ENCODE_BYTES:
+        out.append(text)
+        held += len(text or "")
+        if held >= SLICE_CHARS:
             yield out
             out, held = [], 0
     if out:
@@ -149,33 +278,27 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     models = read_encoders(folder)
     kind = docs.schema[id_column].dataType.simpleString()
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches):
-        encoders = Encoders(*models)
-        size_a, size_b = [len(x) for x in encoders.bytes_a], [len(x) for x in encoders.bytes_b]
-        names = [str(i) for i in range(max(len(size_a), len(size_b)))]
+        aligner = Aligner(Encoders(*models))
         for batch in batches:
             rows, drawn, pairs, times = [], [], [], []
             for texts in _slices(batch.column(1).to_pylist()):
-                for a, b in encoders.encode(texts):
-                    cuts = group_cuts(a, b, size_a, size_b)
-                    text = render_groups(a, b, cuts, names)
-                    x, y = np.array(cuts[0], dtype=np.int64), np.array(cuts[1], dtype=np.int64)
-                    pair, of = linked_pairs(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), x, y)
-                    rows.append((len(a), len(b), len(x), int(of.sum()), hashlib.sha256(text.encode()).hexdigest() if a else ""))
+                for n_a, n_b, n_groups, n_links, text, pair, of in aligner.align(texts):
+                    rows.append((n_a, n_b, n_groups, n_links, hashlib.sha256(text.encode()).hexdigest() if n_a else ""))
                     drawn.append(text if groups else None)
                     pairs.append(pair)
                     times.append(of)
             limits = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             pair, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, times))
             lists = [pa.ListArray.from_arrays(limits, pa.array(x.astype(np.int32))) for x in (pair >> 32, pair & 0xFFFFFFFF, of)]
-            plain = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()))] if rows else [
-                pa.nulls(0, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())]
-            names_out = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"]
+            plain = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)] if rows else [pa.nulls(0, t) for t in types]
+            names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"]
             columns = [batch.column(0), *plain, *lists]
             if groups:
-                columns, names_out = [*columns, pa.array(drawn, pa.string())], [*names_out, "groups"]
-            yield pa.RecordBatch.from_arrays(columns, names=names_out)
+                columns, names = [*columns, pa.array(drawn, pa.string())], [*names, "groups"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col(id_column), F.col(text_column).cast("string"))
     out = texts.mapInArrow(run, f"id {kind}, {ALIGNED}" + (", groups string" if groups else ""))

@@ -36,8 +36,17 @@ PART, WHOLE = 3, 4
 HASHES = 4
 #: So many of the most frequent shingles are told to all tasks. They order the prefixes and decide no result.
 FREQUENT_MOST = 1_000_000
-BROADCAST_ROWS = 2_000_000
+#: Ids are broadcast up to so many bytes as plain columns.
+BROADCAST_BYTES = 1 << 24
 LIST_BLOCK = 256
+#: An index list that may be longer is cut to parts of about this length, and each pair of parts is a task of its own.
+LIST_PART = 20_000
+#: A minimum that more than this share of the sets have is met by a broadcast of its first set; there are at most 1 / share of them.
+HOT_SHARE = 0.001
+#: Rows of shingles, index entries or pairs that a task holds before it passes them on.
+HELD_ROWS = 1 << 18
+#: Texts a task gets at a time.
+TEXT_ROWS = 500
 
 _SIGNATURE = "part int, doc_id long, n long, fp1 long, fp2 long, " + ", ".join(f"m{i} long" for i in range(HASHES))
 
@@ -55,36 +64,45 @@ def _signed(x) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Part 0: size, fingerprints and minima of every row. Part 1: `(shingle, texts)` of those frequent in a batch.
+    """Part 0: size, fingerprints and minima of every row. Part 1: `(shingle, texts)` of those frequent among texts read together.
 
-    Counting within batches and adding up misses only shingles that are rare in every batch.
+    Counting within some two million shingles at a time and adding up misses only those that are rare everywhere.
     """
 
+    def packed(ids: list, rows: list, held: list) -> pa.RecordBatch:
+        many, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+        often = count >= 4
+        values = np.array(rows, dtype=np.uint64).reshape(-1, 3 + HASHES).view(np.int64)
+        extra, zeros = int(often.sum()), np.zeros(int(often.sum()), dtype=np.int64)
+        columns = [pa.array(np.repeat([0, 1], [len(rows), extra]).astype(np.int32)), pa.array([*ids, *[None] * extra], pa.int64()),
+                   pa.array(np.concatenate([values[:, 0], count[often]])), pa.array(np.concatenate([values[:, 1], _signed(many[often])]))]
+        columns += [pa.array(np.concatenate([values[:, c], zeros])) for c in range(2, 3 + HASHES)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIGNATURE.split(", ")])
+
     def sign(batches):
+        ids, rows, held, size = [], [], [], 0
         for batch in batches:
-            ids, rows, held = batch.column(0), [], []
-            for _, s in _sets(batch.column(1), k):
+            for i, (_, s) in zip(batch.column(0).to_pylist(), _sets(batch.column(1), k)):
+                ids.append(i)
                 if len(s):
                     minima = [mix(s ^ np.uint64(0x51ED270B * (i + 1))).min() for i in range(HASHES)]
                     rows.append((len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(7))), *minima))
                     held.append(s)
+                    size += len(s)
                 else:
                     rows.append((0,) * (3 + HASHES))
-            many, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = count >= 4
-            values = np.array(rows, dtype=np.uint64).reshape(-1, 3 + HASHES).view(np.int64)
-            extra, zeros = int(often.sum()), np.zeros(int(often.sum()), dtype=np.int64)
-            columns = [pa.array(np.repeat([0, 1], [len(rows), extra]).astype(np.int32)), pa.concat_arrays([ids, pa.nulls(extra, pa.int64())]),
-                       pa.array(np.concatenate([values[:, 0], count[often]])), pa.array(np.concatenate([values[:, 1], _signed(many[often])]))]
-            columns += [pa.array(np.concatenate([values[:, c], zeros])) for c in range(2, 3 + HASHES)]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIGNATURE.split(", ")])
+                if size >= 8 * HELD_ROWS or len(rows) >= HELD_ROWS:
+                    yield packed(ids, rows, held)
+                    ids, rows, held, size = [], [], [], 0
+        yield packed(ids, rows, held)
 
-    return materialize(docs.mapInArrow(sign, _SIGNATURE))
+    with rows_per_batch(docs.sparkSession, TEXT_ROWS):
+        return materialize(docs.mapInArrow(sign, _SIGNATURE))
 
 
 def _of(spark: SparkSession, docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Texts of the given ids. Up to BROADCAST_ROWS narrow id rows are broadcast; more are joined by a shuffle."""
-    few = ids.count() <= BROADCAST_ROWS
+    """Texts of the given ids. Up to BROADCAST_BYTES of narrow id rows are broadcast; more are joined by a shuffle."""
+    few = ids.count() * 8 * len(ids.columns) <= BROADCAST_BYTES
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids[key])
 
 
@@ -118,14 +136,18 @@ def _trees(nodes: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFr
     Only meetings of like size that agree in two minima are compared; the index finds what this leaves out.
     """
     minima = [f"m{i}" for i in range(HASHES)]
-    meetings = None
+    hot_size, meetings = nodes.count() * HOT_SHARE, None
     for m in minima:
-        first = nodes.groupBy(m).agg(F.min(F.struct("rep", "n", *minima)).alias("f"), F.max("rep").alias("last")).filter("last > f.rep")
+        first = nodes.groupBy(m).agg(F.min(F.struct("rep", "n", *minima)).alias("f"), F.max("rep").alias("last"), F.count("*").alias("sets"))
+        first = materialize(first.filter("last > f.rep").withColumnRenamed(m, "_m"))
         agree = sum((F.col(x) == F.col(f"f.{x}")).cast("int") for x in minima)
-        like = (WHOLE * F.least("n", "f.n") >= PART * F.greatest("n", "f.n")) & (agree >= 2)
-        met = nodes.join(first.withColumnRenamed(m, "_m"), F.col(m) == F.col("_m")).filter((F.col("f.rep") < F.col("rep")) & like).select(
-            F.col("f.rep").alias("a"), F.col("rep").alias("b"))
-        meetings = met if meetings is None else meetings.union(met)
+        like = (WHOLE * F.least("n", "f.n") >= PART * F.greatest("n", "f.n")) & (agree >= 2) & (F.col("f.rep") < F.col("rep"))
+        # A minimum of very many sets: they stay where they are. At most 1 / HOT_SHARE rows are broadcast.
+        hot, same = F.broadcast(first.filter(F.col("sets") > hot_size)), F.col(m) == F.col("_m")
+        others = nodes.join(hot.select("_m"), same, "left_anti").join(first.filter(F.col("sets") <= hot_size), same)
+        for met in (nodes.join(hot, same), others):
+            met = met.filter(like).select(F.col("f.rep").alias("a"), F.col("rep").alias("b"))
+            meetings = met if meetings is None else meetings.union(met)
     links = materialize(_linked(overlaps(docs, materialize(meetings.distinct()), k)))
     best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"), (-F.col("a")).alias("low")))
     parents = links.groupBy(F.col("b").alias("rep")).agg(best.alias("p")).select("rep", (-F.col("p.low")).alias("root"))
@@ -155,14 +177,23 @@ def prefix_length(n):
 def _shingle_counts(docs: DataFrame, ids: DataFrame, key: str, k: int) -> DataFrame:
     """`(shingle, texts)` of the shingles that several of the texts have."""
 
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        shingle, texts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(_signed(shingle)), pa.array(texts)], names=["shingle", "texts"])
+
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            held = [s for _, s in _sets(batch.column(0), k)]
-            shingle, texts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(shingle)), pa.array(texts)], names=["shingle", "texts"])
+            for _, s in _sets(batch.column(0), k):
+                held.append(s)
+                size += len(s)
+                if size >= 8 * HELD_ROWS:
+                    yield packed(held)
+                    held, size = [], 0
+        yield packed(held)
 
     rows = _of(docs.sparkSession, docs, ids, key).select("text").mapInArrow(count, "shingle long, texts long")
-    return rows.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter("texts > 1")
+    return rows.groupBy("shingle").agg(F.sum("texts").alias("texts")).filter("texts > 1").orderBy(F.desc("texts"), "shingle").limit(FREQUENT_MOST)
 
 
 def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, grouped: bool = False) -> DataFrame:
@@ -172,72 +203,98 @@ def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, gro
     `counts(shingle, texts)`, those without a count first.
     """
     spark = docs.sparkSession
-    counts = counts.orderBy(F.desc("texts"), "shingle").limit(FREQUENT_MOST).toArrow().to_pandas()
+    with rows_per_batch(spark, TEXT_ROWS):
+        counts = counts.orderBy(F.desc("texts"), "shingle").limit(FREQUENT_MOST).toArrow().to_pandas()
     known = counts["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(known)
     known, times = known[order], counts["texts"].to_numpy(dtype=np.int64)[order]
 
+    def entries(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts) if parts else np.zeros((0, 7), np.int64)
+        # One entry per shingle and tree: sizes from least to most, and the most that can follow.
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        start = np.flatnonzero(np.r_[len(rows) > 0, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)][:len(rows)])
+        least, most, rest = (f.reduceat(rows[:, c], start) if len(start) else np.zeros(0, np.int64)
+                             for f, c in ((np.minimum, 2), (np.maximum, 2), (np.maximum, 3)))
+        token, root, alone, kind, parts_of = (rows[start, c] for c in (0, 1, 4, 5, 6))
+        # Of a list in p parts an entry goes to each pair of parts that its own is one of.
+        copy = np.repeat(np.arange(len(start)), parts_of)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
+        mine = (mix(root.view(np.uint64)) % np.maximum(parts_of, 1).view(np.uint64)).view(np.int64)[copy]
+        half = np.where(mine == other, -1, (mine > other).astype(np.int64))
+        part = np.minimum(mine, other) * parts_of[copy] + np.maximum(mine, other)
+        small = lambda x: pa.array(x.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(token[copy]), small(part), pa.array(root[copy]), small(least[copy]), small(most[copy]), small(rest[copy]),
+                                           pa.array(alone[copy] > 0), pa.array(kind[copy]), small(half)],
+                                          names=["token", "part", "root", "least", "most", "rest", "alone", "kind", "half"])
+
     def emit(batches):
+        parts, size = [], 0
         for batch in batches:
             roots, alone, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
-            parts = []
             for row, s in _sets(batch.column(1), k):
                 n = len(s)
-                if n:
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        s = s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")]
-                    p = prefix_length(n)
-                    parts.append(np.column_stack([_signed(s[:p]), np.full(p, roots[row]), np.full(p, n), n - np.arange(p), np.full(p, alone[row]), np.full(p, kind[row])]))
-            rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
-            # One entry per shingle and tree: sizes from least to most, and the most that can follow.
-            order = np.lexsort((rows[:, 1], rows[:, 0]))
-            rows = rows[order]
-            start = np.flatnonzero(np.r_[len(rows) > 0, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)][:len(rows)])
-            least, most, rest = (f.reduceat(rows[:, c], start) if len(start) else np.zeros(0, np.int64)
-                                 for f, c in ((np.minimum, 2), (np.maximum, 2), (np.maximum, 3)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[start, 0]), pa.array(rows[start, 1]), pa.array(least.astype(np.int32)),
-                                              pa.array(most.astype(np.int32)), pa.array(rest.astype(np.int32)), pa.array(rows[start, 4] > 0), pa.array(rows[start, 5])],
-                                             names=["token", "root", "least", "most", "rest", "alone", "kind"])
+                if not n:
+                    continue
+                seen = np.zeros(n, dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    seen = np.where(known[at] == s, times[at], 0)
+                    order = np.argsort(seen, kind="stable")
+                    s, seen = s[order], seen[order]
+                p = prefix_length(n)
+                parts.append(np.column_stack([_signed(s[:p]), np.full(p, roots[row]), np.full(p, n), n - np.arange(p), np.full(p, alone[row]),
+                                              np.full(p, kind[row]), 1 + seen[:p] // LIST_PART]))
+                size += p
+                if size >= HELD_ROWS:
+                    yield entries(parts)
+                    parts, size = [], 0
+        yield entries(parts)
 
     texts = _of(spark, docs, tree.select("rep", "root", "alone", "kind"), "rep").select("root", "text", "alone", "kind")
-    index = texts.mapInArrow(emit, "token long, root long, least int, most int, rest int, alone boolean, kind long")
-    lists = index.repartition(F.col("token")).sortWithinPartitions("token", "least")
+    index = texts.mapInArrow(emit, "token long, part int, root long, least int, most int, rest int, alone boolean, kind long, half int")
+    lists = index.repartition("token", "part").sortWithinPartitions("token", "part", "least")
     met = lists.mapInArrow(partial(_join_lists, grouped=grouped), "a long, b long, sizes int, rest int")
     # Of two sets, not trees, all common shingles up to the last met are counted: at most `rest` more can follow.
     found = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.max("sizes").alias("sizes"))
-    return materialize(found.filter("sizes = 0 or 7 * (shared + rest - 1) >= 3 * sizes").select("a", "b"))
+    with rows_per_batch(spark, 4 * TEXT_ROWS):
+        return materialize(found.filter("sizes = 0 or 7 * (shared + rest - 1) >= 3 * sizes").select("a", "b"))
 
 
 def _join_lists(batches, grouped: bool):
-    """Root pairs of each index list; a list may run over several batches."""
-    held = np.zeros((0, 7), dtype=np.int64)
+    """Root pairs of each index list, or part of one; a list may run over several batches."""
+    held, last = [], None
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        rows = np.concatenate([held, rows])
         if not len(rows):
             continue
-        whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last list may go on
-        held = rows[whole:]
+        ends = (rows[-1, 0], rows[-1, 1])
+        if last == ends:  # the last list goes on
+            held.append(rows)
+            continue
+        rows = np.concatenate([*held, rows])
+        whole = int(np.flatnonzero((rows[:, 0] != ends[0]) | (rows[:, 1] != ends[1]))[-1]) + 1 if (rows[0, 0], rows[0, 1]) != ends else 0
         yield from _pairs(rows[:whole], grouped)
-    yield from _pairs(held, grouped)
+        held, last = [rows[whole:]], ends
+    if held:
+        yield from _pairs(np.concatenate(held), grouped)
 
 
 def _pairs(rows: np.ndarray, grouped: bool):
-    start = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else np.zeros(0, int)
+    start = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(rows)])
-    found = []
+    found = _Pairs()
     for length in np.unique(size[(size > 1) & (size <= LIST_BLOCK)]):  # short lists of one length together
         at = start[size == length][:, None] + np.arange(length)
         i, j = np.triu_indices(length, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, HELD_ROWS // len(i))
         for part in range(0, len(at), step):
             x = at[part:part + step]
-            found.append(_fitting(rows, x[:, i].ravel(), x[:, j].ravel(), grouped))
+            yield from found.add(_fitting(rows, x[:, i].ravel(), x[:, j].ravel(), grouped))
     for a, n in zip(start[size > LIST_BLOCK], size[size > LIST_BLOCK]):
         cuts = np.arange(a, a + n, LIST_BLOCK)
-        least, rest = np.minimum.reduceat(rows[:a + n, 2], cuts), np.maximum.reduceat(rows[:a + n, 4], cuts)
-        most = np.maximum.reduceat(rows[:a + n, 3], cuts)
+        least, rest = np.minimum.reduceat(rows[:a + n, 3], cuts), np.maximum.reduceat(rows[:a + n, 5], cuts)
+        most = np.maximum.reduceat(rows[:a + n, 4], cuts)
         for x in range(len(cuts)):
             y = np.arange(x, len(cuts))
             # Blocks are skipped whole by size and by position.
@@ -245,21 +302,36 @@ def _pairs(rows: np.ndarray, grouped: bool):
             for z in y[fits]:
                 i, j = np.meshgrid(np.arange(cuts[x], min(cuts[x] + LIST_BLOCK, a + n)), np.arange(cuts[z], min(cuts[z] + LIST_BLOCK, a + n)))
                 i, j = i.ravel(), j.ravel()
-                found.append(_fitting(rows, i[i < j], j[i < j], grouped))
-            if len(found) > 64:
-                yield _batch(found)
-                found = []
-    if found:
-        yield _batch(found)
+                yield from found.add(_fitting(rows, i[i < j], j[i < j], grouped))
+    yield from found.rest()
+
+
+class _Pairs:
+    """Pairs on their way out, some `HELD_ROWS` at a time."""
+
+    def __init__(self):
+        self.found, self.size = [], 0
+
+    def add(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.found.append(rows)
+        self.size += len(rows)
+        if self.size >= HELD_ROWS or len(self.found) > 4096:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            yield _batch(self.found)
+        self.found, self.size = [], 0
 
 
 def _fitting(rows: np.ndarray, i: np.ndarray, j: np.ndarray, grouped: bool) -> np.ndarray:
+    """Pairs that sizes and positions leave open; columns as in the index, 8 says which part of a cut list an entry is from."""
     a, b = rows[i], rows[j]
-    ok = (a[:, 1] != b[:, 1]) & ((a[:, 6] != b[:, 6]) | (not grouped)) & (7 * np.minimum(a[:, 4], b[:, 4]) >= 3 * (a[:, 2] + b[:, 2])) & (
-        WHOLE * a[:, 3] >= PART * b[:, 2]) & (WHOLE * b[:, 3] >= PART * a[:, 2])
+    ok = (a[:, 2] != b[:, 2]) & ((a[:, 7] != b[:, 7]) | (not grouped)) & (7 * np.minimum(a[:, 5], b[:, 5]) >= 3 * (a[:, 3] + b[:, 3])) & (
+        WHOLE * a[:, 4] >= PART * b[:, 3]) & (WHOLE * b[:, 4] >= PART * a[:, 3]) & ((a[:, 8] < 0) | (a[:, 8] != b[:, 8]))
     a, b = a[ok], b[ok]
-    sizes = np.where((a[:, 5] > 0) & (b[:, 5] > 0), a[:, 2] + b[:, 2], 0)
-    return np.column_stack([np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1]), sizes, np.minimum(a[:, 4], b[:, 4])])
+    sizes = np.where((a[:, 6] > 0) & (b[:, 6] > 0), a[:, 3] + b[:, 3], 0)
+    return np.column_stack([np.minimum(a[:, 2], b[:, 2]), np.maximum(a[:, 2], b[:, 2]), sizes, np.minimum(a[:, 5], b[:, 5])])
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -343,5 +415,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     repeated = ids.filter("doc_id is not null and first > 1").limit(1).count()
     leaders = ids.filter("doc_id = component_id and first = 1").select(F.col("doc_id").alias("_leader"))
     kept = _of(docs.sparkSession, docs.withColumnRenamed(id_column, "doc_id"), leaders, "_leader").drop("_leader")
-    kept = kept.dropDuplicates(["doc_id", text_column]) if repeated else kept
+    if repeated:  # of rows that agree in id and text the least in all columns stays
+        whole = F.struct(*[c for c in kept.columns])
+        kept = kept.groupBy("doc_id", text_column).agg(F.min(whole).alias("_row")).select("_row.*")
     return kept.withColumnRenamed("doc_id", id_column).unionByName(docs.filter(F.col(id_column).isNull()))
