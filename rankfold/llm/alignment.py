@@ -4,9 +4,6 @@ A text goes through a byte-level BPE (A, with a space put before it) and a sente
 itself). Either side's cumulative token ends go into a dictionary from end to index; the ends that both dictionaries hold,
 in order, slice both id lists into groups. Within a group every A token is linked with every B token.
 
-Neither side joins a word's last character with a space behind it, so a text is cut there, and a stretch that a task has met before
-is not encoded and aligned again.
-
 Links of the whole corpus are counted by document. A text then asks how often its pairs are linked elsewhere: pairs that
 many documents hold are told to all tasks (at most `TOLD`, whatever the size of the corpus), the others meet their counts by
 a join. No pair is left out. A text's pairs are stored once, as arrays of distinct pairs and how often each occurs in it.
@@ -22,11 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterator
-from itertools import accumulate, count
+from functools import lru_cache
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +32,9 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs that all tasks are told at most; decides how a count is fetched, never its value.
 TOLD = 500_000
-#: Characters encoded at a time, so that the encoders' own objects stay small, and characters of texts put together at a time.
-ENCODE_CHARS, SLICE_CHARS = 1 << 16, 1 << 20
-#: Units a task remembers, twice, and the length from which one is forgotten at once.
-MEMORY, LONG_UNIT = 100_000, 256
-_UNIT = re.compile(r"(?<=[\w.,;:!?])(?= )")
-_CLOSED = re.compile(r".*[\w.,;:!?]", re.S).fullmatch
+#: Fixed value: how byte-level BPE of this kind cuts a text before merging; and the end of the Latin blocks.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN_END = "\u0250"
 #: A group of more links than this is counted by distinct ids.
 GROUP_LINKS = 1 << 16
 
@@ -57,11 +48,27 @@ def byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
+def merge_ranks(model: dict, letters: dict[str, int]) -> dict[bytes, int] | None:
+    """Bytes of each entry of a byte-level BPE to its id, if ids rise with the order of the merges, so that they serve as ranks; else None."""
+    vocabulary = model["vocab"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    order = [vocabulary.get(x, -1) for x in made]
+    singles = {c: vocabulary.get(c) for c in letters}
+    if None in singles.values() or order != sorted(set(order)) or len(order) + 256 != len({*made, *letters}):
+        return None
+    return {bytes(letters[c] for c in x): vocabulary[x] for x in (*letters, *made)}
+
+
 class Encoders:
-    """Both tokenizers and the bytes of each of their tokens; made from file contents, so tasks need no files."""
+    """Both tokenizers and the bytes of each of their tokens; made from file contents, so tasks need no files.
+
+    The first model's merges are also run as ranks, several times as fast, on texts of Latin script; letters there are the same to every
+    library, which newer scripts need not be.
+    """
 
     def __init__(self, byte_model: str, piece_model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._a = Tokenizer.from_str(byte_model)
@@ -69,25 +76,31 @@ class Encoders:
         letters = byte_alphabet()
         spelled = {i: entry for entry, i in self._a.get_vocab(with_added_tokens=False).items()}
         self.bytes_a = [bytes(letters[c] for c in spelled.get(i, "")) for i in range(self._a.get_vocab_size())]
+        described = json.loads(byte_model)
+        steps = described.get("pre_tokenizer") or {}
+        plain = steps.get("type") == "ByteLevel" and steps.get("use_regex", True) and not steps.get("add_prefix_space") and not described.get("normalizer")
+        ranks = merge_ranks(described["model"], letters) if plain else None
+        self._fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self._b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         ids = range(self._b.vocab_size())
         pieces = self._b.id_to_piece(list(ids))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, pieces)]
-        # The first side never joins a character with a space behind it; the second doesn't if no piece holds such a place.
-        self._local = not any(re.search("[^▁]▁", p) for p in pieces)
 
-    def units(self, text: str) -> list[str]:
-        """A space and the text, cut before spaces that follow a word or its punctuation: each stretch has the tokens it has in the whole."""
-        return _UNIT.split(" " + text) if self._local else [" " + text]
+    def first(self, text: str) -> np.ndarray:
+        """Ids of a space and the text, none if they don't spell it. Ranks always do: all bytes are among them."""
+        if self._fast is not None and (text.isascii() or max(text) < LATIN_END):
+            return self._fast.encode_to_numpy(" " + text).astype(np.int64)
+        ids = self._a.encode(" " + text, add_special_tokens=False).ids
+        return np.array(ids if b"".join(map(self.bytes_a.__getitem__, ids)) == b" " + text.encode() else [], dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of either side for each text; both empty where they don't spell it."""
-        first = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        second = self._b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, first, second):
-            raw, a = b" " + text.encode(), a.ids
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            yield (a, b) if same else ([], [])
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of either side; both empty where they don't spell the text."""
+        none = np.zeros(0, np.int64)
+        if not text:
+            return none, none
+        a, b = self.first(text), self._b.encode(text)
+        same = len(a) and b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode()
+        return (a, np.array(b, dtype=np.int64)) if same else (none, none)
 
 
 def read_encoders(folder: str = TOKENIZERS) -> tuple[str, bytes]:
@@ -97,22 +110,30 @@ def read_encoders(folder: str = TOKENIZERS) -> tuple[str, bytes]:
     return text, (Path(folder) / PIECE_MODEL).read_bytes()
 
 
-def group_cuts(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """Byte offset at which each group ends, and the index in either list after which it does."""
-    at_a = dict(zip(accumulate(map(size_a.__getitem__, a)), count(1)))
-    at_b = dict(zip(accumulate(map(size_b.__getitem__, b)), count(1)))
-    shared = sorted(at_a.keys() & at_b.keys())
-    return shared, list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared))
+def group_cuts(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index in either list after which each group ends."""
+    at_a, at_b = (dict(zip(np.cumsum(size[ids]).tolist(), range(1, len(ids) + 1))) for ids, size in ((a, size_a), (b, size_b)))
+    shared = list(filter(at_b.__contains__, at_a))  # the common keys; ends rise, so they are in order
+    return tuple(np.fromiter(map(at.__getitem__, shared), dtype=np.int64, count=len(shared)) for at in (at_a, at_b))
 
 
-def render_groups(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int], names: list[str]) -> list[str]:
-    """`a1,a2|b1` of each group."""
-    left, right = [names[i] for i in a], [names[i] for i in b]
-    parts, i, j = [], 0, 0
-    for p, q in zip(cut_a, cut_b):
-        parts.append(f"{left[i] if p == i + 1 else ','.join(left[i:p])}|{right[j] if q == j + 1 else ','.join(right[j:q])}")
-        i, j = p, q
-    return parts
+class GroupNames:
+    """Writes groups as `a1,a2|b1;a3|b2,b3`."""
+
+    def __init__(self, vocabulary_a: int, vocabulary_b: int):
+        self.a = [np.array([f"{i}{mark}" for i in range(vocabulary_a)], dtype=object) for mark in ",|"]
+        self.b = [np.array([f"{i}{mark}" for i in range(vocabulary_b)], dtype=object) for mark in ",;"]
+
+    def render(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        """Each token with the mark behind it, put in place by the tokens of either side that stand before it."""
+        out = np.empty(len(a) + len(b), dtype=object)
+        sizes_a, sizes_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        place_a = np.arange(len(a)) + np.repeat(cut_b - sizes_b, sizes_a)
+        place_b = np.arange(len(b)) + np.repeat(cut_a, sizes_b)
+        for ids, place, cuts, (inner, last) in ((a, place_a, cut_a, self.a), (b, place_b, cut_b, self.b)):
+            out[place] = inner[ids]
+            out[place[cuts - 1]] = last[ids[cuts - 1]]
+        return "".join(out.tolist())[:-1]
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,89 +165,28 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndar
     return pair, np.bincount(back, weights=np.concatenate(times), minlength=len(pair)).astype(np.int64)
 
 
-class Unit(NamedTuple):
-    """Alignment of a stretch of text that both sides encode on its own: counts, groups (None: not spelled), packed links."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str | None
-    links: bytes
-
-
 class Aligner:
-    """Aligns texts unit by unit. Units are remembered in two generations of `MEMORY`, so often met ones stay."""
+    """Both encoders, and what is looked up for their tokens."""
 
     def __init__(self, encoders: Encoders):
         self.encoders = encoders
-        self.young: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
-        self.large: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.size_a, self.size_b = [len(x) for x in encoders.bytes_a], [len(x) for x in encoders.bytes_b]
-        self.names = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
-
-    def _links(self, a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Packed links in order and how many come before each group; None if a group has very many."""
-        ends_a, ends_b = np.array(cut_a, dtype=np.int64), np.array(cut_b, dtype=np.int64)
-        n_a, n_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-        size = n_a * n_b
-        if len(size) and size.max() > GROUP_LINKS:
-            return None
-        group = np.repeat(np.arange(len(size)), size)
-        inside = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
-        wide = n_b[group]
-        left = np.array(a, dtype=np.int64)[(ends_a - n_a)[group] + inside // wide]
-        return left << 32 | np.array(b, dtype=np.int64)[(ends_b - n_b)[group] + inside % wide], np.concatenate([[0], np.cumsum(size)])
-
-    def _together(self, units: list[str]) -> bool:
-        """Learns units that may follow one another, as one text; False if they aren't spelled or have a very large group."""
-        (a, b), = self.encoders.encode(["".join(units)[1:]])
-        shared, cut_a, cut_b = group_cuts(a, b, self.size_a, self.size_b)
-        found = self._links(a, b, cut_a, cut_b) if a else None
-        if found is None:
-            return False
-        ends = np.cumsum([len(u.encode()) for u in units])
-        last = np.searchsorted(np.array(shared), ends) + 1
-        if last[-1] > len(shared) or (np.array(shared)[last - 1] != ends).any():
-            return False
-        packed, before = found[0].tobytes(), (8 * found[1]).tolist()
-        parts = render_groups(a, b, cut_a, cut_b, self.names)
-        g = i = j = 0
-        for unit, h in zip(units, last.tolist()):
-            self.young[unit] = Unit(cut_a[h - 1] - i, cut_b[h - 1] - j, h - g, ";".join(parts[g:h]), packed[before[g]:before[h]])
-            g, i, j = h, cut_a[h - 1], cut_b[h - 1]
-        return True
-
-    def _alone(self, unit: str) -> None:
-        (a, b), = self.encoders.encode([unit[1:]])
-        _, cut_a, cut_b = group_cuts(a, b, self.size_a, self.size_b)
-        found = self._links(a, b, cut_a, cut_b)
-        if found is None:
-            self.large[unit] = linked_pairs(*(np.array(x, dtype=np.int64) for x in (a, b, cut_a, cut_b)))
-        groups = ";".join(render_groups(a, b, cut_a, cut_b, self.names)) if a else None
-        self.young[unit] = Unit(len(a), len(b), len(cut_a), groups, b"" if found is None else found[0].tobytes())
-
-    def learn(self, units: list[str]) -> None:
-        """Encodes units that aren't known; those that end a word go together."""
-        part, held = [], 0
-        for unit in units:
-            if not _CLOSED(unit):
-                self._alone(unit)
-                continue
-            part.append(unit)
-            held += len(unit)
-            if held >= ENCODE_CHARS:
-                self._learn_part(part)
-                part, held = [], 0
-        if part:
-            self._learn_part(part)
-
-    def _learn_part(self, units: list[str]) -> None:
-        if not self._together(units):
-            for unit in units:
-                self._alone(unit)
-
-    def align(self, texts: list[str | None]) -> list[tuple]:
+        self.sizes = [np.array([len(x) for x in spelled], dtype=np.int64) for spelled in (encoders.bytes_a, encoders.bytes_b)]
+        self.names = GroupNames(*map(len, self.sizes))
+
+    def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        """`(n_a, n_b, n_groups, groups, pairs, times)`."""
+        a, b = self.encoders.encode(text or "")
+        cuts = group_cuts(a, b, *self.sizes)
+        return len(a), len(b), len(cuts[0]), self.names.render(a, b, *cuts), *linked_pairs(a, b, *cuts)
+
+
+@lru_cache(maxsize=1)
+def _aligner(byte_model: str, piece_model: bytes) -> Aligner:
+    """One for all tasks of a worker process."""
+    return Aligner(Encoders(byte_model, piece_model))
+
+
+def align(self, texts: list[str | None]) -> list[tuple]:
         """`(n_a, n_b, n_groups, n_links, groups, pairs, times)` of each text."""
         split = [self.encoders.units(text) if text else [] for text in texts]
         asked = set().union(*split)
@@ -258,6 +218,12 @@ class Aligner:
         return out
 
 
+@lru_cache(maxsize=1)
+def _aligner(byte_model: str, piece_model: bytes) -> Aligner:
+    """One for all tasks of a worker process."""
+    return Aligner(Encoders(byte_model, piece_model))
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
     """The texts in order, some `SLICE_CHARS` characters at a time."""
     out, held = [], 0
@@ -281,15 +247,15 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches):
-        aligner = Aligner(Encoders(*models))
+        aligner = _aligner(*models)
         for batch in batches:
             rows, drawn, pairs, times = [], [], [], []
-            for texts in _slices(batch.column(1).to_pylist()):
-                for n_a, n_b, n_groups, n_links, text, pair, of in aligner.align(texts):
-                    rows.append((n_a, n_b, n_groups, n_links, hashlib.sha256(text.encode()).hexdigest() if n_a else ""))
-                    drawn.append(text if groups else None)
-                    pairs.append(pair)
-                    times.append(of)
+            for text in batch.column(1):
+                n_a, n_b, n_groups, text, pair, of = aligner.align(text.as_py())
+                rows.append((n_a, n_b, n_groups, int(of.sum()), hashlib.sha256(text.encode()).hexdigest() if n_a else ""))
+                drawn.append(text if groups else None)
+                pairs.append(pair)
+                times.append(of)
             limits = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             pair, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, times))
             lists = [pa.ListArray.from_arrays(limits, pa.array(x.astype(np.int32))) for x in (pair >> 32, pair & 0xFFFFFFFF, of)]
