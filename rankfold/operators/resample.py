@@ -1,7 +1,8 @@
 """Bootstrap of ranking metrics, exact and spread over the cluster.
 
 A replicate draws N rows with replacement. Drawing B x N rows and shuffling them is the
-naive form; here a replicate is a weight per row instead:
+naive form; a replicate is a weight per row instead. By default the weights are those of `counterboot`, which nothing
+has to shuffle. `weights="multinomial"` keeps the total of every replicate at N:
 
 1. rows lie in hash buckets; for each replicate a multinomial draw says how many of its N
    draws each bucket gets (buckets x replicates numbers), and inside a bucket those draws
@@ -22,7 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rankfold.functions.scalars import ratio, ratio_or_zero
+from rankfold.operators.counterboot import counter_replicates
 from rankfold.operators.metrics import ranking_metrics, threshold_metrics
+from rankfold.session import materialize
 
 MAX_BUCKETS = 65_536
 MAX_RANGES = 16_384
@@ -57,7 +60,7 @@ def _bucket_draws(spark, sizes: list[int], replicates: range, seed: int) -> Data
     return reps.mapInPandas(draw, "_bucket int, rep int, k long")
 
 
-def _weighted_scores(rows: DataFrame, draws: DataFrame, models: list[str], seed: int, poisson: bool) -> DataFrame:
+def _weighted_scores(rows: DataFrame, draws: DataFrame, models: list[str], seed: int) -> DataFrame:
     """`(model, score, pos, neg)` with one int32 weight per replicate packed in pos and neg."""
 
     def one_bucket(key: tuple, mine: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
@@ -70,7 +73,7 @@ def _weighted_scores(rows: DataFrame, draws: DataFrame, models: list[str], seed:
         weights = np.empty((n, len(drawn)), dtype=np.int32)
         for j, (rep, k) in enumerate(zip(drawn["rep"], drawn["k"])):
             rng = np.random.default_rng([seed, int(rep), int(key[0]), 1])
-            weights[:, j] = rng.poisson(1.0, n) if poisson else np.bincount(rng.integers(0, n, k), minlength=n)
+            weights[:, j] = np.bincount(rng.integers(0, n, k), minlength=n)
         positive = mine["y"].to_numpy()[:, None] == 1
         pos, neg = np.where(positive, weights, 0), np.where(positive, 0, weights)
         out = []
@@ -105,12 +108,14 @@ def _range_column(rows: DataFrame, models: list[str], ranges: int):
 
 
 def replicate_metrics(wide: DataFrame, thresholds: dict[str, float], replicates: int, seed: int = 42,
-                      id_column: str = "id", weights: str = "multinomial", bucket_rows: int = 20_000,
+                      id_column: str = "id", weights: str = "counter", bucket_rows: int = 20_000,
                       batch: int = 200) -> DataFrame:
     """`(rep, model, roc_auc, average_precision, f1)`, equal row weights for all models of a replicate.
 
-    `weights="poisson"` draws independent Poisson(1) weights instead of a fixed total of N.
+    `weights="counter"` draws Poisson(1) weights by (seed, replicate, id); "multinomial" draws a fixed total of N.
     """
+    if weights == "counter":
+        return counter_replicates(wide, thresholds, replicates, seed, id_column)
     models = list(thresholds)
     spark = wide.sparkSession
     n = wide.count()
@@ -126,7 +131,7 @@ def replicate_metrics(wide: DataFrame, thresholds: dict[str, float], replicates:
     for start in range(0, replicates, batch):
         reps = range(start, min(start + batch, replicates))
         draws = _bucket_draws(spark, sizes, reps, seed)
-        scored = _weighted_scores(rows, draws, models, seed, weights == "poisson").withColumn("_range", in_range)
+        scored = _weighted_scores(rows, draws, models, seed).withColumn("_range", in_range)
         parts.append(_batch_metrics(scored, thresholds, reps))
     out = parts[0]
     for part in parts[1:]:
@@ -184,10 +189,11 @@ def paired_bootstrap(wide: DataFrame, pairs: list[tuple[str, str]], thresholds:
     """Differences of AUC, average precision and F1 of model pairs on the same resampled rows.
 
     One row per (pair, metric): observed difference, replicate mean, percentile interval and
-    p = min(1, 2 min(P(d <= 0), P(d >= 0)) + 1 / (replicates + 1)).
+    p = min(1, 2 min(P(d <= 0), P(d >= 0)) + 1 / (replicates + 1)). Differences are rounded to 12 digits, so
+    equal metrics differ by nothing.
     """
     models = list(thresholds)
-    table = replicate_metrics(wide, thresholds, replicates, seed, **kw)
+    table = materialize(replicate_metrics(wide, thresholds, replicates, seed, **kw))
     per_rep = table.groupBy("rep").pivot("model", models).agg(*[F.first(m).alias(m) for m in METRICS])
 
     def cell(model: str, metric: str):
@@ -195,7 +201,7 @@ def paired_bootstrap(wide: DataFrame, pairs: list[tuple[str, str]], thresholds:
 
     deltas = per_rep.select("rep", F.inline(F.array(*[
         F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.lit(m).alias("metric"),
-                 (cell(a, m) - cell(b, m)).alias("d")) for a, b in pairs for m in METRICS])))
+                 F.round(cell(a, m) - cell(b, m), 12).alias("d")) for a, b in pairs for m in METRICS])))
     share = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
     # One row per replicate and pair: a count fixed by the call.
     summary = deltas.filter(F.col("d").isNotNull()).groupBy("model_a", "model_b", "metric").agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankfold.functions.scalars import neg_log10_p, p_label
 from rankfold.operators import compare as C
 from rankfold.operators import resample as B
+from rankfold.operators.counterboot import replicates_sql
 from rankfold.operators.split import hash_sample
 from rankfold.plans.catalog import (LONG_SQL, MODELS, THRESHOLDS, WIDE_SQL, curve_sql, normal_tail_sql, query, r, rounded, table, wide)
 
@@ -209,11 +210,6 @@ REPLICATES, INTERVAL_REPLICATES = 2000, 200
 FAMILIES = {pair: "A" if MODELS[0] in pair else "B" for pair in PAIRS}
 
 
-@query("bootstrap_delta")
-def bootstrap_delta(spark, sf):
-    return B.paired_bootstrap(wide(spark, sf), PAIRS, THRESHOLDS, REPLICATES)
-
-
 OBSERVED_SQL = f"""{LONG_SQL}, {curve_sql('long', 'model')},
 ranks AS (SELECT model, sum(pos * (neg_below + neg / 2)) / (max(pos_total) * max(neg_total)) AS roc_auc,
   sum(pos / pos_total * (pos_total - pos_below) / (pos_total - pos_below + neg_total - neg_below)) AS average_precision FROM curve GROUP BY model),
@@ -230,13 +226,63 @@ def bootstrap_observed(spark, sf):
     return rounded(out, ["observed"])
 
 
-@query("bootstrap_auc_ci")
-def bootstrap_auc_ci(spark, sf):
-    return B.bootstrap_auc_interval(wide(spark, sf), MODELS, INTERVAL_REPLICATES)
+def replicate_sql(replicates: int, thresholds: dict) -> str:
+    return f"{WIDE_SQL}, {replicates_sql(thresholds, replicates)}"
+
 
+SUMMARY_SQL = f"""deltas AS (
+  SELECT model_a, model_b, metric, round(CASE metric {' '.join(f"WHEN '{m}' THEN a.{m} - b.{m}" for m in B.METRICS)} END, 12) AS d
+  FROM pairs JOIN reps a ON a.model = model_a JOIN reps b ON b.model = model_b AND b.rep = a.rep, (VALUES {', '.join(f"('{m}')" for m in B.METRICS)}) v(metric)),
+spread AS (
+  SELECT model_a, model_b, metric, avg(d) AS mean, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi,
+    least(1, 2 * least(avg(CAST(d <= 0 AS INTEGER)), avg(CAST(d >= 0 AS INTEGER))) + 1 / ({REPLICATES} + 1)::DOUBLE) AS p_value
+  FROM deltas GROUP BY model_a, model_b, metric)"""
+#: Observed metrics without the tables that the replicates already bring.
+_METRICS_SQL = OBSERVED_SQL.removeprefix(WIDE_SQL)
+BOOTSTRAP_SQL = f"{replicate_sql(REPLICATES, THRESHOLDS)}{_METRICS_SQL}, {pairs_values(PAIRS)}, {SUMMARY_SQL}"
 
-@query("three_test_table")
+
+@query("bootstrap_delta", f"""WITH {BOOTSTRAP_SQL}
+SELECT model_a, model_b, metric, round(mean, 9) AS mean, round(lo, 9) AS lo, round(hi, 9) AS hi, round(p_value, 9) AS p_value,
+  round(CASE metric {' '.join(f"WHEN '{m}' THEN a.{m} - b.{m}" for m in B.METRICS)} END, 9) AS observed, NOT (lo <= 0 AND hi >= 0) AS excludes_zero
+FROM spread JOIN o a ON a.model = model_a JOIN o b ON b.model = model_b""")
+def bootstrap_delta(spark, sf):
+    return rounded(B.paired_bootstrap(wide(spark, sf), PAIRS, THRESHOLDS, REPLICATES), ["mean", "lo", "hi", "p_value", "observed"])
+
+
+@query("bootstrap_auc_ci", f"""WITH {replicate_sql(INTERVAL_REPLICATES, {m: 0.5 for m in MODELS})}
+SELECT model, round(quantile_cont(roc_auc, 0.025), 9) AS lo, round(quantile_cont(roc_auc, 0.975), 9) AS hi, count(*) AS replicates FROM reps GROUP BY model""")
+def bootstrap_auc_ci(spark, sf):
+    return rounded(B.bootstrap_auc_interval(wide(spark, sf), MODELS, INTERVAL_REPLICATES), ["lo", "hi"])
+
+
+_FIVE = ["p_delong", "p_mcnemar", *[f"{m}_p_value" for m in B.METRICS]]
+_FAMILY_VALUES = ", ".join(f"('{a}', '{b}', '{f}')" for (a, b), f in FAMILIES.items())
+
+
+def three_sql() -> str:
+    """DeLong, McNemar and bootstrap of all pairs in one row each, p values adjusted by Holm within the family."""
+    delong = delong_sql(PAIRS)[len(LONG_SQL):]
+    delong = delong[delong.index("comp AS ("):].replace(f"{pairs_values(PAIRS)},", "")
+    metrics = ", ".join(f"max({c}) FILTER (metric = '{m}') AS {m}_{c}" for m in B.METRICS for c in ("mean", "lo", "hi", "p_value"))
+    ranks = ", ".join(f"row_number() OVER (PARTITION BY family ORDER BY {p}) AS rk_{p}" for p in _FIVE)
+    holm = ", ".join(f"least(1, max((size - rk_{p} + 1) * {p}) OVER (PARTITION BY family ORDER BY rk_{p})) AS {p}_holm" for p in _FIVE)
+    label = ", ".join(f"printf('%+.4f [%+.4f, %+.4f]', {m}_mean, {m}_lo, {m}_hi) AS {m}_interval" for m in B.METRICS)
+    flags = ", ".join(f"NOT ({m}_lo <= 0 AND {m}_hi >= 0) AS {m}_sig, round({m}_p_value_holm, 7) AS {m}_p_value_holm" for m in B.METRICS)
+    return f"""WITH {BOOTSTRAP_SQL}, {delong}, {MCNEMAR_SQL},
+boot AS (SELECT model_a, model_b, {metrics} FROM spread GROUP BY model_a, model_b),
+tests AS (SELECT f.*, d.delta, mx.b, mx.c, {normal_tail_sql('d.z')} AS p_delong, {normal_tail_sql('sqrt(mx.chi2)')} AS p_mcnemar, boot.* EXCLUDE (model_a, model_b)
+  FROM (VALUES {_FAMILY_VALUES}) f(model_a, model_b, family) JOIN d USING (model_a, model_b) JOIN mx USING (model_a, model_b) JOIN boot USING (model_a, model_b)),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY family) AS size, {ranks} FROM tests),
+adjusted AS (SELECT *, {holm} FROM ranked)
+SELECT family, model_a, model_b, round(delta, 9) AS delta, round(p_delong_holm, 7) AS p_delong_holm, p_delong_holm < 0.05 AS delong_sig,
+  b || ' / ' || c AS b_c, round(p_mcnemar_holm, 7) AS p_mcnemar_holm, p_mcnemar_holm < 0.05 AS mcnemar_sig, {label}, {flags}, abs(delta) >= 0.005 AS relevant
+FROM adjusted"""
+
+
+@query("three_test_table", three_sql())
 def three_test_table(spark, sf):
     scores = wide(spark, sf)
-    return B.three_test_table(C.delong_family(scores, MODELS, PAIRS, FAMILIES), C.mcnemar(scores, PAIRS, THRESHOLDS),
-                              B.paired_bootstrap(scores, PAIRS, THRESHOLDS, REPLICATES))
+    out = B.three_test_table(C.delong_family(scores, MODELS, PAIRS, FAMILIES), C.mcnemar(scores, PAIRS, THRESHOLDS),
+                             B.paired_bootstrap(scores, PAIRS, THRESHOLDS, REPLICATES))
+    return rounded(rounded(out, ["delta"]), ["p_delong_holm", "p_mcnemar_holm", *[f"{m}_p_value_holm" for m in B.METRICS]], 7)

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from rankfold.operators import resample as B
+from rankfold.operators.counterboot import counter_replicates, draw_weights, weight_limits
 from rankfold.operators.metrics import auc
 
 
@@ -56,7 +57,7 @@ def test_every_replicate_draws_n_rows(spark):
     assert (draws[draws["_bucket"] == 1]["k"] == 0).all()
 
 
-@pytest.mark.parametrize("weights", ["multinomial", "poisson"])
+@pytest.mark.parametrize("weights", ["multinomial", "counter"])
 def test_bootstrap_spread_matches_plain_resampling(scores, weights):
     df, frame = scores
     table = B.replicate_metrics(df, {"a": 0.5, "b": 0.0}, 120, bucket_rows=400, batch=50, weights=weights).toPandas()
@@ -92,17 +93,35 @@ def test_paired_summary(scores):
     assert row["lo"] < observed < row["hi"] and row["excludes_zero"] and row["p_value"] == pytest.approx(1 / 61)
 
 
-def test_queries_bootstrap_all_pairs_and_scores_in_full(monkeypatch):
+@pytest.mark.parametrize("part_rows", [70, 10**6])
+def test_counter_replicates_equal_weighted_metrics(scores, part_rows):
+    """A third of all rows share a score of `a`, which fills whole parts."""
+    df, frame = scores
+    cut = {"a": 0.45, "b": 0.2, "c": 0.5}
+    got = {(r["rep"], r["model"]): r for r in counter_replicates(df, cut, 21, seed=7, part_rows=part_rows).collect()}
+    assert len(got) == 63
+    weights = draw_weights([i.encode() for i in frame["id"]], range(21), 7)
+    y = frame["y"].to_numpy()
+    for rep in (0, 7, 8, 20):
+        w = weights[:, rep]
+        for m in cut:
+            s, row = frame[m].to_numpy(), got[rep, m]
+            assert row["roc_auc"] == pytest.approx(weighted_auc(y, s, w), abs=1e-12)
+            assert row["average_precision"] == pytest.approx(weighted_ap(y, s, w), abs=1e-12)
+            flagged = s >= cut[m]
+            assert row["f1"] == pytest.approx(2 * w[flagged & (y == 1)].sum() / (w[flagged].sum() + w[y == 1].sum()), abs=1e-12)
+
+
+def test_counter_weights_follow_the_poisson_law():
+    ids = [str(i).encode() for i in range(4000)]
+    whole = draw_weights(ids, range(0, 40), 3)
+    assert (draw_weights(ids[:50], range(13, 21), 3) == whole[:50, 13:21]).all()
+    assert whole.mean() == pytest.approx(1, abs=0.01) and whole.var() == pytest.approx(1, abs=0.02)
+    assert np.corrcoef(whole[:, :8].T)[np.triu_indices(8, 1)].max() < 0.08
+    assert weight_limits()[:3] == [24109, 48219, 60273]
+
+
+def test_bootstrap_covers_all_pairs_in_full():
     from rankfold.plans import comparison as P
 
-    asked = []
-    monkeypatch.setattr(P, "wide", lambda spark, sf: None)
-    monkeypatch.setattr(P.C, "delong_family", lambda wide, models, pairs, family: asked.append(family))
-    monkeypatch.setattr(P.C, "mcnemar", lambda wide, pairs, thresholds: asked.append(pairs))
-    monkeypatch.setattr(P.B, "paired_bootstrap", lambda wide, pairs, thresholds, replicates: asked.append((pairs, replicates)))
-    monkeypatch.setattr(P.B, "bootstrap_auc_interval", lambda wide, models, replicates: asked.append((models, replicates)))
-    monkeypatch.setattr(P.B, "three_test_table", lambda *tables: None)
-    P.bootstrap_delta(None, ""), P.bootstrap_auc_ci(None, ""), P.three_test_table(None, "")
-    every = (P.PAIRS, 2000)
-    assert len(P.PAIRS) == 6 and asked[0] == every and asked[1] == (P.MODELS, 200) and every in asked[2:] and P.PAIRS in asked[2:]
-    assert [set(f.values()) for f in asked if isinstance(f, dict)] == [{"A", "B"}]
+    assert (len(P.PAIRS), P.REPLICATES, P.INTERVAL_REPLICATES, set(P.FAMILIES.values())) == (6, 2000, 200, {"A", "B"})
