@@ -10,8 +10,8 @@ from rankfold.functions.scalars import ratio
 from rankfold.functions.tails import chi2_p, normal_p, t_p
 from rankfold.functions.text import number, year_month
 from rankfold.operators.metrics import score_distribution
-from rankfold.operators.ordering import (PLAIN_LIMIT, Distribution, count_distinct_pairs, distribution, lookup,
-                                         with_group_columns)
+from rankfold.operators.ordering import (PLAIN_LIMIT, RANGE_ROWS, Distribution, count_distinct_pairs, distribution, lookup,
+                                         running_sums, with_group_columns)
 
 
 def crosstab(df: DataFrame, a: str, b: str, levels: list, normalize: bool = False) -> DataFrame:
@@ -172,25 +172,15 @@ def redundancy(model: DataFrame, extra: DataFrame, pairs: list[tuple[str, str]],
     return joined.agg(rows.alias("_rows")).select(F.inline("_rows"))
 
 
-def ordinal_code(df: DataFrame, column: str, name: str) -> DataFrame:
+def ordinal_code(df: DataFrame, column: str, name: str, plain_limit: int = PLAIN_LIMIT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Position of each level in sorted order from 0; a null level gets -1.
 
-    Levels are ordered, not rows. Many levels are cut into ranges at a few sampled levels,
-    and levels that hold many rows are broadcast back to them.
+    Levels are ordered, not rows, by as many ranges as they need; levels that hold many rows are
+    broadcast back to them.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_level")).agg(F.count("*").alias("n"))
     distinct = count_distinct_pairs(df, [column])
-    if distinct <= PLAIN_LIMIT:
-        coded = counts.withColumn(name, F.row_number().over(W.orderBy("_level")) - 1)
-    else:
-        sample = counts.select("_level").orderBy(F.xxhash64("_level")).limit(min(1023, distinct // 100_000)).collect()
-        cuts = F.array(*[F.lit(v) for v in sorted(r[0] for r in sample)])
-        placed = counts.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col("_level"))))
-        before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-        starts = placed.groupBy("_range").agg(F.count("*").alias("_m")).select(
-            "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-        coded = placed.withColumn("_in", F.row_number().over(W.partitionBy("_range").orderBy("_level"))).join(
-            starts, "_range").withColumn(name, F.col("_start") + F.col("_in") - 1)
+    coded = running_sums(counts.withColumn("_one", F.lit(1)), [], "_level", ["_one"], distinct, plain_limit, range_rows).withColumn(name, F.col("_one_below"))
     total = df.agg(F.count("*").alias("n")).scalar()
     table = coded.select("_level", F.col(name).cast("long").alias(name), "n").withColumn("n_total", total)
     found = Distribution(table, (), "", ("n",), distinct)

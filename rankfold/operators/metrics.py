@@ -222,7 +222,7 @@ def score_dispersion(scores: DataFrame, by: list[str], score: str = "score", tol
     """Spread of each score column; `degenerate` marks an almost constant score."""
     return scores.groupBy(*by).agg(
         F.stddev_pop(score).alias("sd"), F.min(score).alias("min"), F.max(score).alias("max"),
-        F.approx_count_distinct(score).alias("approx_distinct"),
+        F.count_distinct(score).alias("n_distinct"),
     ).withColumn("degenerate", F.col("sd") < tolerance)
 
 

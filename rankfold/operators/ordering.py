@@ -6,13 +6,12 @@ task, so the work is done in these steps:
 
 1. rows collapse to one row per (group, value) with partial aggregation, which removes
    ties before anything is shuffled - a value held by a third of all rows becomes one row;
-2. when many distinct values remain, they are cut into ranges at sampled quantiles and
-   each (group, range) is summed in its own task;
-3. the range totals - groups x ranges rows - are summed in order and joined back on
-   (group, range), which is the partitioning the rows already have.
+2. when many distinct values remain, Spark deals them into ranges of about `RANGE_ROWS`, as many as
+   the values need; the numbered ranges are stored, and each (group, range) is summed in its own task;
+3. the range totals are summed in order - by the same steps, if there are too many of them for
+   one task - and joined back on (group, range).
 
-The range of a value depends only on the value and on constants in the plan, so tasks
-can be rerun at any time. The quantiles decide balance only, never results.
+The stored range numbers don't move when tasks are rerun. Ranges decide balance only, never results.
 """
 
 from __future__ import annotations
@@ -20,15 +19,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rankfold.operators.selection import MOST, select_quantiles
+from rankfold.session import materialize
+
 #: Distinct values up to which one window task per group is used.
 PLAIN_LIMIT = 500_000
 #: Distinct values aimed at for one range of a larger table.
 RANGE_ROWS = 250_000
-#: Ranges at most; also bounds the number of constants in the plan.
-MAX_RANGES = 4096
 #: Rows of a value table that may be broadcast to the row side of a lookup.
 BROADCAST_ROWS = 200_000
 
@@ -71,13 +70,18 @@ def distribution(
         *[F.sum(c).alias(name) for name, c in sums.items()]
     )
     names = list(sums)
-    if distinct <= plain_limit:
-        table = _plain(counts, keys, value, names)
-    else:
-        table = _ranged(source, counts, keys, value, names, -(-distinct // range_rows))
+    table = running_sums(counts, keys, value, names, distinct, plain_limit, range_rows)
     return Distribution(table, tuple(keys), value, tuple(names), distinct)
 
 
+def running_sums(table: DataFrame, keys: list[str], value: str, names: list[str], rows: int, plain_limit: int = PLAIN_LIMIT,
+                 range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`<name>_below` and `<name>_total` of each group for a table of about `rows` distinct (keys, value), of any type that sorts."""
+    if rows <= max(plain_limit, 2):  # two ranges are no fewer than two rows
+        return _plain(table, keys, value, names)
+    return _ranged(table, keys, value, names, -(-rows // range_rows), plain_limit, range_rows)
+
+
 def _plain(counts: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
     whole = W.partitionBy(*keys)
     below = whole.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
@@ -88,32 +92,18 @@ def _plain(counts: DataFrame, keys: list[str], value: str, names: list[str]) ->
     )
 
 
-def _ranged(source: DataFrame, counts: DataFrame, keys: list[str], value: str, names: list[str],
-            ranges: int) -> DataFrame:
-    ranges = max(2, min(ranges, MAX_RANGES))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(
-        source.select(F.col(value).cast("double").alias(value)).approxQuantile(value, probabilities, 0.25 / ranges)
-    ))
-    # The nearest double never falls as the value grows, so it may choose the range.
-    bucketizer = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_near", outputCol="_range",
-                            handleInvalid="keep")
-    placed = bucketizer.transform(counts.withColumn("_near", F.col(value).cast("double"))).drop("_near").withColumn(
-        "_range", F.col("_range").cast("int"))
-
-    within = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+def _ranged(table: DataFrame, keys: list[str], value: str, names: list[str], ranges: int, plain_limit: int, range_rows: int) -> DataFrame:
+    at = f"_range_of_{value}"
+    placed = table.repartitionByRange(max(2, ranges), *[F.col(k) for k in keys], F.col(value))
+    placed = materialize(placed.withColumn(at, F.spark_partition_id()))
+    within = W.partitionBy(*keys, at).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     rows = placed.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"_in_{n}") for n in names])
-
-    group = W.partitionBy(*keys)
-    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*keys, "_range").agg(*[F.sum(n).alias(f"_r_{n}") for n in names])
-        .select(*keys, "_range",
-                *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in names],
-                *[F.sum(f"_r_{n}").over(group).alias(f"{n}_total") for n in names])
-    )
-    return join_on_keys(rows, offsets, [*keys, "_range"]).select(
-        *keys, value, *names,
+    # A group's ranges are again rows in order; only very many of them are cut to ranges themselves.
+    totals = placed.groupBy(*keys, at).agg(*[F.sum(n).alias(n) for n in names])
+    offsets = running_sums(totals, keys, at, names, max(2, ranges), plain_limit, range_rows)
+    offsets = offsets.select(*keys, at, *[F.col(f"{n}_below").alias(f"_off_{n}") for n in names], *[f"{n}_total" for n in names])
+    return join_on_keys(rows, offsets, [*keys, at]).select(
+        *keys, value, *[c for c in table.columns if c not in (*keys, value)],
         *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(f"{n}_below") for n in names],
         *[f"{n}_total" for n in names],
     )
@@ -141,8 +131,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: l
                     found: Distribution | None = None) -> DataFrame:
     """Linear-interpolation quantiles, one row per (keys, probability) as `(keys, prob, quantile)`.
 
-    `found` may be a distribution of the same rows with a count named `n`.
+    `found` may be a distribution of the same rows with a count named `n`. Without one a few quantiles are selected
+    from brackets; `distribution` answers where many are asked for.
     """
+    if found is None and len(probabilities) <= MOST:
+        selected = select_quantiles(df, keys, value, probabilities)
+        if selected is not None:
+            return selected
     if found is None:
         found = distribution(df, keys, value, {"n": F.lit(1)})
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
@@ -195,6 +190,19 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def midranks_of(df: DataFrame, id_column: str, columns: list[str], keep: tuple[str, ...] = (), suffix: str = "_rank", percent: str = "_pct") -> DataFrame:
+    """`(id, *keep, <column>, <column><suffix>, <column><percent>)` of several score columns at once; ids are unique.
+
+    The columns are one long table with one distribution and one lookup, put side by side again by id, so
+    neither scans nor shuffles grow with their number. A null score has null ranks.
+    """
+    long = df.select(id_column, *keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([id_column, *keep], columns, "_column", "_score")
+    ranked = midranks(long, ["_column"], "_score", "_rank", "_pct")
+    side = ranked.groupBy(id_column, *keep).pivot("_column", columns).agg(F.first("_score").alias("v"), F.first("_rank").alias("r"), F.first("_pct").alias("p"))
+    return side.select(id_column, *keep, *[x for c in columns for x in (
+        F.col(f"{c}_v").alias(c), F.col(f"{c}_r").alias(f"{c}{suffix}"), F.col(f"{c}_p").alias(f"{c}{percent}"))])
+
+
 def midranks(df: DataFrame, keys: list[str], value: str, name: str = "midrank",
              percent: str | None = None) -> DataFrame:
     """Average rank of ties within each group; `percent` adds midrank / n."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import metrics as M
 from rankfold.operators import report as R
-from rankfold.operators.ordering import midranks
+from rankfold.operators.ordering import midranks, midranks_of
 from rankfold.plans.catalog import (AP_SQL, AUC_SQL, LONG_SQL, MODELS, THRESHOLDS, VARIANTS_SQL, WIDE_SQL, curve_sql, long,
                                     number_sql, query, r, rounded, variants, wide)
 
@@ -211,16 +211,15 @@ UNION ALL
 SELECT * FROM (SELECT 'FP' AS kind, id, p1, p2, round(pct, 9) AS pct FROM joined WHERE y = 0 AND p1 >= 0.5 AND p2 >= 0.45 ORDER BY joined.pct DESC, id LIMIT 1)""")
 def joint_percentile_topk(spark, sf):
     scores = wide(spark, sf)
-    first = midranks(scores.select("id", "y", F.col("m1").alias("p1")), [], "p1", percent="pct1").drop("midrank")
-    second = midranks(scores.select("id", F.col("m2").alias("p2")), [], "p2", percent="pct2").drop("midrank")
-    joined = first.join(second, "id").withColumn("pct", F.col("pct1") + F.col("pct2"))
+    ranked = midranks_of(scores.select("id", "y", F.col("m1").alias("p1"), F.col("m2").alias("p2")), "id", ["p1", "p2"], ("y",))
+    joined = ranked.withColumn("pct", F.col("p1_pct") + F.col("p2_pct"))
     return rounded(R.joint_extremes(joined, "p1", "p2", THRESHOLDS["m1"], THRESHOLDS["m2"]), ["pct"]).select("kind", "id", "p1", "p2", "pct")
 
 
-@query("score_dispersion", f"""WITH {LONG_SQL} SELECT model, round(stddev_pop(score), 9) AS sd, min(score) AS min, max(score) AS max,
+@query("score_dispersion", f"""WITH {LONG_SQL} SELECT model, round(stddev_pop(score), 9) AS sd, min(score) AS min, max(score) AS max, count(DISTINCT score) AS n_distinct,
   stddev_pop(score) < 1e-9 AS degenerate FROM long GROUP BY model""")
 def score_dispersion(spark, sf):
-    return rounded(M.score_dispersion(long(spark, sf), ["model"]), ["sd"]).drop("approx_distinct")
+    return rounded(M.score_dispersion(long(spark, sf), ["model"]), ["sd"])
 
 
 @query("overfit_gap", f"""WITH {VARIANTS_SQL}, {curve_sql('variants', 'engine, model')},
