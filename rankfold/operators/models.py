@@ -11,13 +11,14 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from rankfold.operators.features import prepare
 from rankfold.operators.metrics import auc, first_best, multi_threshold_counts, with_search_f1
 from rankfold.operators.ordering import exact_quantiles
+from rankfold.operators.search import ModelStore, Search, fold_search
 from rankfold.session import materialize
 from rankfold.sources.files import resume_record
 
@@ -84,33 +85,31 @@ def evaluator(score_column: str, label: str = "default", metric: str = "areaUnde
     return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score_column, metricName=metric)
 
 
-def cross_validate(spec: Spec, train: DataFrame, folds: int = 3, label: str = "default", parallelism: int = 1,
-                   seed: int = 42):
-    """Grid search over the stored folds, best parameters refitted on all training rows."""
-    search = CrossValidator(estimator=spec.estimator, estimatorParamMaps=spec.grid, evaluator=evaluator(spec.score_column, label),
-                            numFolds=folds, foldCol="fold", seed=seed, parallelism=parallelism)
-    return search.fit(train)
+def cross_validate(spec: Spec, train: DataFrame, folds: int = 3, label: str = "default", store: ModelStore | None = None,
+                   rows: str | None = None, parallelism: int | None = None) -> Search:
+    """Grid search over the stored folds, best parameters refitted on all training rows; read from `store` where it is finished."""
+    judge = evaluator(spec.score_column, label)
+    if store is None:
+        return fold_search(spec, train, judge, folds, parallelism=parallelism)
+    return store.search(spec, train, judge, folds, rows, parallelism)
 
 
-def grid_rows(spec: Spec, fitted) -> list[dict]:
-    return [{"params": {p.name: float(v) for p, v in grid.items()}, "mean_auc": float(mean), "sd_auc": float(sd)}
-            for grid, mean, sd in zip(spec.grid, fitted.avgMetrics, fitted.stdMetrics)]
+def grid_rows(spec: Spec, found: Search) -> list[dict]:
+    return [{"params": {p.name: float(v) for p, v in grid.items()}, "mean_auc": mean, "sd_auc": sd}
+            for grid, mean, sd in zip(spec.grid, found.means, found.deviations)]
 
 
 GRID_SCHEMA = "model string, params map<string,double>, mean_auc double, sd_auc double, best boolean"
 
 
-def cv_table(spark, model: str, spec: Spec, fitted) -> DataFrame:
+def cv_table(spark, model: str, spec: Spec, found: Search) -> DataFrame:
     """Parameters with mean and deviation of the fold AUCs; a grid is a handful of rows."""
-    rows = grid_rows(spec, fitted)
-    best = max(range(len(rows)), key=lambda i: rows[i]["mean_auc"])
-    return spark.createDataFrame([(model, r["params"], r["mean_auc"], r["sd_auc"], i == best) for i, r in enumerate(rows)],
+    return spark.createDataFrame([(model, r["params"], r["mean_auc"], r["sd_auc"], i == found.best) for i, r in enumerate(grid_rows(spec, found))],
                                  GRID_SCHEMA)
 
 
-def best_params(spec: Spec, fitted) -> dict:
-    best = max(range(len(spec.grid)), key=lambda i: fitted.avgMetrics[i])
-    return {p.name: v for p, v in spec.grid[best].items()}
+def best_params(spec: Spec, found: Search) -> dict:
+    return {p.name: v for p, v in spec.grid[found.best].items()}
 
 
 def with_params(estimator: Estimator, params: dict) -> Estimator:
@@ -126,24 +125,19 @@ def refit(spec: Spec, params: dict, train: DataFrame) -> Model:
     return with_params(spec.estimator, params).fit(train)
 
 
-def oof_scores(estimator: Estimator, train: DataFrame, score_column: str, folds: int = 3, label: str = "default") -> DataFrame:
+def oof_scores(models: list[Model], train: DataFrame, score_column: str, label: str = "default") -> DataFrame:
     """Every training row scored by the model that did not see its fold: `(id, y, fold, score)`."""
-    parts = []
-    for k in range(folds):
-        model = estimator.fit(train.filter(F.col("fold") != k))
-        parts.append(score(model, train.filter(F.col("fold") == k), score_column, label, keep=["fold"]))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    parts = [score(model, train.filter(F.col("fold") == k), score_column, label, keep=["fold"]) for k, model in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def oof_threshold(estimator: Estimator, train: DataFrame, score_column: str, folds: int = 3, label: str = "default",
-                  points: int = 99) -> DataFrame:
-    """`(threshold, f1)` that maximises F1 over out-of-fold scores.
+def oof_threshold(scores: DataFrame, score_column: str, points: int = 99) -> DataFrame:
+    """`(threshold, f1)` that maximises F1 over stored out-of-fold scores `(y, fold, score)`.
 
     Probabilities use an even grid rounded to 4 digits; margins use quantiles of fold 0.
     """
     from rankfold.operators.metrics import evenly_spaced
 
-    scores = materialize(oof_scores(estimator, train, score_column, folds, label))
     steps = evenly_spaced(0.02, 0.98, points)
     if score_column == "probability":
         grid = [round(s, 4) for s in steps]
@@ -164,7 +158,7 @@ RECORD = T.StructType([
 
 
 def run_model(key: str, spec: Spec, train: DataFrame, test: DataFrame, out: str, label: str = "default", folds: int = 3,
-              parallelism: int = 1, tasks: int | None = None) -> DataFrame:
+              store: ModelStore | None = None, rows: str | None = None, tasks: int | None = None) -> DataFrame:
     """Search, test scores, threshold and record of one model under the folder `out`.
 
     Writes `cv_<key>`, `scores_test_<key>` and `record_<key>`; a finished record is read
@@ -176,15 +170,14 @@ def run_model(key: str, spec: Spec, train: DataFrame, test: DataFrame, out: str,
         from rankfold.operators.metrics import ranking_metrics
         from rankfold.sources.files import write_parquet, write_record
 
-        fitted = cross_validate(spec, train, folds, label, parallelism)
-        write_record(cv_table(spark, key, spec, fitted), f"{out}/cv_{key}")
+        found = cross_validate(spec, train, folds, label, store, rows)
+        write_record(cv_table(spark, key, spec, found), f"{out}/cv_{key}")
         path = f"{out}/scores_test_{key}"
-        write_parquet(score(fitted.bestModel, test, spec.score_column, label, tasks=tasks), path)
+        write_parquet(score(found.model, test, spec.score_column, label, tasks=tasks), path)
         ranks = ranking_metrics(spark.read.parquet(path), []).first()
-        params = best_params(spec, fitted)
-        cut = oof_threshold(with_params(spec.estimator, params), train, spec.score_column, folds, label).first()
-        top = max(grid_rows(spec, fitted), key=lambda r: r["mean_auc"])
-        record = (key, spec.score_column, {k: float(v) for k, v in params.items()}, top["mean_auc"], top["sd_auc"],
+        params = best_params(spec, found)
+        cut = oof_threshold(materialize(oof_scores(found.fold_models, train, spec.score_column, label)), spec.score_column).first()
+        record = (key, spec.score_column, {k: float(v) for k, v in params.items()}, found.means[found.best], found.deviations[found.best],
                   ranks["roc_auc"], ranks["average_precision"], spec.default_threshold, cut["threshold"], cut["f1"])
         return spark.createDataFrame([record], RECORD)
 
@@ -200,11 +193,9 @@ def scaling_leak(train: DataFrame, label: str = "default", folds: int = 3, reg_p
     rows = []
     for name, estimator, param in (("all_train", outside, outside.regParam),
                                    ("inside_fold", Pipeline(stages=[scaler, lr]), lr.regParam)):
-        grid = ParamGridBuilder().addGrid(param, reg_params).build()
-        fitted = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator("probability", label),
-                                numFolds=folds, foldCol="fold").fit(train)
-        best = max(range(len(grid)), key=lambda i: fitted.avgMetrics[i])
-        rows.append((name, float(fitted.avgMetrics[best]), float(grid[best][param])))
+        spec = Spec(estimator, ParamGridBuilder().addGrid(param, reg_params).build(), "probability")
+        found = fold_search(spec, train, evaluator("probability", label), folds, refit=False)
+        rows.append((name, found.means[found.best], float(spec.grid[found.best][param])))
     return spark.createDataFrame(rows, "scaler string, auc_cv double, reg_param double")
 
 
@@ -229,10 +220,10 @@ def temporal_validation(spec: Spec, params: dict, features: DataFrame, split: Da
 
 
 def impurity_importance(model: Model, features: DataFrame) -> DataFrame:
-    """Impurity importance by feature name; names come from the vector's own metadata."""
+    """`(index, feature, importance)`: impurity importance by feature name; names come from the vector's own metadata."""
     attributes = features.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attributes.values() for a in group}
     values = model.featureImportances.toArray()
-    rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(values)]
-    return features.sparkSession.createDataFrame(rows, "feature string, importance double")
+    rows = [(i, names.get(i, f"f{i}"), float(v)) for i, v in enumerate(values)]
+    return features.sparkSession.createDataFrame(rows, "index int, feature string, importance double")
 

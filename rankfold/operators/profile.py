@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankfold.functions.scalars import log1p_nonnegative, ratio
 from rankfold.functions.tails import chi2_p
 from rankfold.operators.association import chi2_from_counts, long_numeric
 from rankfold.operators.ordering import exact_quantiles, with_group_columns
+from rankfold.sources.files import write_record
 
 
 def frequency_table(df: DataFrame, columns: list[str], rare_below: float = 1.0) -> DataFrame:
@@ -227,8 +228,44 @@ def footer_rows(df: DataFrame, id_column: str, status: str) -> DataFrame:
     return df.filter(F.col(id_column).try_cast("long").isNull() | F.col(status).isNull())
 
 
-def mean_parity(df: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean of each column against stored means `(variable, stored_mean)`, as relative difference."""
-    means = long_numeric(df, columns).groupBy("variable").agg(F.avg("value").alias("mean"))
-    return means.join(stored, "variable").withColumn(
-        "relative_diff", F.abs(F.col("mean") - F.col("stored_mean")) / F.greatest(F.abs("stored_mean"), F.lit(1e-12)))
+MOMENTS = "variable string, n long, nulls long, mean double, square double, least double, most double"
+
+
+def column_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`(variable, n, nulls, mean, square, least, most)` of numeric columns; `square` is the sum of squared deviations. One wide aggregation."""
+    rows = F.array(*[F.struct(
+        F.lit(c).alias("variable"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(F.col(c).cast("double")).alias("mean"),
+        (F.var_pop(F.col(c).cast("double")) * F.count(c)).alias("square"), F.min(F.col(c).cast("double")).alias("least"),
+        F.max(F.col(c).cast("double")).alias("most")) for c in columns])
+    return df.agg(rows.alias("_rows")).select(F.inline("_rows"))
+
+
+def keep_moments(df: DataFrame, columns: list[str], folder: str, part: str) -> None:
+    """Writes the moments of one loaded part beside the data; a part that is loaded again replaces its own."""
+    write_record(column_moments(df, columns), f"{folder}/part={part}")
+
+
+def kept_moments(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments of all parts together; deviations of parts are brought to the common mean."""
+    parts = spark.read.schema(MOMENTS).json(f"{folder}/part=*").filter("n > 0 or nulls > 0")
+    total = parts.groupBy("variable").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.try_divide(F.sum(F.col("mean") * F.col("n")), F.sum("n")).alias("mean"),
+        F.sum("square").alias("_within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_raw"), F.min("least").alias("least"), F.max("most").alias("most"))
+    between = F.col("_raw") - F.col("n") * F.col("mean") * F.col("mean")
+    return total.select("variable", "n", "nulls", "mean", (F.col("_within") + F.greatest(between, F.lit(0.0))).alias("square"), "least", "most")
+
+
+def moment_parity(df: DataFrame, kept: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Columns as they are now against the moments kept with the data: `(variable, mean, relative_diff, sd_diff, within)`.
+
+    `within`: counts and nulls agree, and mean and deviation differ by no more than the tolerance, relative to the kept ones.
+    """
+    now = column_moments(df, columns)
+    old = kept.select("variable", *[F.col(c).alias(f"_{c}") for c in ("n", "nulls", "mean", "square")])
+    sd = lambda square, n: F.sqrt(F.try_divide(F.col(square), F.col(n)))
+    apart = lambda a, b: F.abs(a - b) / F.greatest(F.abs(b), F.lit(1e-12))
+    joined = now.join(old, "variable").withColumns({
+        "relative_diff": apart(F.col("mean"), F.col("_mean")), "sd_diff": apart(sd("square", "n"), sd("_square", "_n"))})
+    same = (F.col("n") == F.col("_n")) & (F.col("nulls") == F.col("_nulls"))
+    within = F.coalesce(same & (F.col("relative_diff") <= tolerance) & (F.col("sd_diff") <= tolerance), F.lit(False))
+    return joined.select("variable", "mean", "relative_diff", "sd_diff", within.alias("within"))

@@ -11,7 +11,7 @@ from rankfold.functions import text
 from rankfold.operators import association as A
 from rankfold.plans.catalog import (AUC_SQL, BASE_SQL, WIDE_SQL, base, chi2_tail_sql, curve_sql, normal_tail_sql, query, r, rounded, table,
                                     wide)
-from rankfold.plans.features import FEATURES_SQL, RAW_SQL, YEAR_MONTH_SQL, features, raw_text, stored_features
+from rankfold.plans.features import FEATURES_SQL, RAW_SQL, features, raw_text, stored_features
 
 LEVELS_SQL = BASE_SQL + """,
 levels AS (SELECT id, y, CAST(period AS VARCHAR) AS period, priority, segment, n_name AS nation FROM base JOIN nation ON nationkey = n_nationkey)"""
@@ -136,19 +136,47 @@ def redundancy_check(spark, sf):
 
 
 AUDIT = ["loan_amnt", "annual_inc", "dti", "installment", "delinq_2yrs"]
+#: What becomes known after the loan was made, as expressions of the raw row that Spark and SQL read alike; dates lag the issue month.
+_BAD = "loan_status = 'Charged Off'"
+_AMOUNT, _PART = "CAST(loan_amnt AS DOUBLE)", "CAST(installment AS DOUBLE)"
+LATER = {
+    "out_prncp": f"{_AMOUNT} * (k % 5)", "out_prncp_inv": f"{_AMOUNT} * (k % 7)",
+    "total_pymnt": f"CASE WHEN {_BAD} THEN {_AMOUNT} / 4 ELSE {_AMOUNT} END", "total_pymnt_inv": f"CASE WHEN {_BAD} THEN {_AMOUNT} / 4 ELSE {_AMOUNT} END - k % 100",
+    "total_rec_prncp": f"CASE WHEN {_BAD} THEN {_AMOUNT} / 8 ELSE {_AMOUNT} / 2 END", "total_rec_int": f"{_PART} / 16",
+    "total_rec_late_fee": f"CASE WHEN {_BAD} AND k % 3 = 0 THEN 15 ELSE 0 END", "recoveries": f"CASE WHEN {_BAD} THEN {_AMOUNT} / 16 ELSE 0 END",
+    "collection_recovery_fee": f"CASE WHEN {_BAD} THEN {_PART} * (k % 2) ELSE 0 END", "last_pymnt_amnt": f"CASE WHEN k % 13 = 0 THEN NULL ELSE {_PART} END",
+    "last_fico_range_high": "CAST(fico_range_high AS DOUBLE) * 10", "last_fico_range_low": "CAST(fico_range_high AS DOUBLE) * 10 - k % 4",
+    "last_pymnt_d": f"CASE WHEN {_BAD} THEN 6 ELSE 30 END", "next_pymnt_d": "CASE WHEN k % 3 = 0 THEN NULL ELSE 1 END", "last_credit_pull_d": "k % 40",
+}
+_DATES = [c for c in S.POST_ORIGINATION if c.endswith("_d")]
+
+
+def later_rows(spark, sf):
+    """Resolved raw rows, all text, with the columns that became known later."""
+    raw = raw_text(spark, sf).filter(F.col("loan_status").isin(S.RESOLVED)).withColumn("k", F.col("id").cast("long"))
+    months = lambda c: F.date_format(F.add_months(F.to_date("issue_d", "MMM-yyyy"), F.expr(LATER[c]).cast("int")), "MMM-yyyy")
+    return raw.withColumns({c: months(c) if c in _DATES else F.expr(LATER[c]).cast("string") for c in S.POST_ORIGINATION})
+
+
+def _later_sql(column: str) -> str:
+    if column not in _DATES:
+        return f"CAST({LATER[column]} AS DOUBLE)"
+    month = f"(strptime(issue_d, '%b-%Y') + to_months(CAST({LATER[column]} AS INTEGER)))"
+    return f"(year({month}) + (month({month}) - 1) / CAST(12 AS DOUBLE))"
+
+
 AUDIT_SQL = "audit AS (" + " UNION ALL ".join(
     [f"SELECT '{c}' AS variable, \"default\" AS y, coalesce({c}, -1) AS value FROM features" for c in AUDIT]
-    + [f"SELECT 'last_pymnt_d', CAST(loan_status = 'Charged Off' AS INTEGER), coalesce({YEAR_MONTH_SQL.format(c='earliest_cr_line')}, -1) "
-       "FROM raw WHERE loan_status <> 'Current'"]) + ")"
+    + [f"SELECT '{c}', CAST({_BAD} AS INTEGER), coalesce({_later_sql(c)}, -1) FROM raw WHERE loan_status <> 'Current'" for c in S.POST_ORIGINATION]) + ")"
 
 
 @query("leakage_audit", f"""WITH {FEATURES_SQL}, {AUDIT_SQL}, {curve_sql('audit', 'variable', 'value')},
 a AS (SELECT variable, {AUC_SQL} AS a FROM curve GROUP BY variable)
 SELECT variable, round(greatest(a, 1 - a), 9) AS auc FROM a""")
 def leakage_audit(spark, sf):
-    raw = raw_text(spark, sf).filter(F.col("loan_status").isin(S.RESOLVED)).withColumn("last_pymnt_d", F.col("earliest_cr_line"))
-    rows = raw.withColumn("default", (F.col("loan_status") == S.POSITIVE).cast("int"))
-    return rounded(A.leakage_audit(rows, [*AUDIT, "last_pymnt_d"], "default"), ["auc"])
+    """Five columns known when the loan was made beside all fifteen that came later, three of them dates."""
+    rows = later_rows(spark, sf).withColumn("default", (F.col("loan_status") == S.POSITIVE).cast("int"))
+    return rounded(A.leakage_audit(rows, [*AUDIT, *S.POST_ORIGINATION], "default"), ["auc"])
 
 
 @query("mann_whitney_scores", f"""WITH {WIDE_SQL}, long AS (SELECT 'm1' AS variable, y, m1 AS score FROM wide UNION ALL SELECT 'm2', y, m2 FROM wide),

@@ -12,7 +12,7 @@ from rankfold.operators import profile as P
 from rankfold.operators.split import make_split
 from rankfold.plans.catalog import BASE_SQL, WIDE_SQL, base, query, r, rounded, table, wide
 from rankfold.plans.splitting import SPLIT_SQL
-from rankfold.session import materialize
+from rankfold.session import materialize, scratch_path
 
 
 def raw_text(spark, sf) -> DataFrame:
@@ -252,16 +252,34 @@ def range_filters(spark, sf):
 PARITY = ["loan_amnt", "annual_inc", "open_acc", "term_months"]
 
 
-@query("feature_parity", f"WITH {FEATURES_SQL} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS variable, round(avg({c}), 4) AS mean, CAST(0 AS DOUBLE) AS relative_diff FROM features" for c in PARITY))
+#: How the second state of the table differs from the one whose moments were kept: a shift, a scale, a gap and nothing.
+CHANGES = {"loan_amnt": "loan_amnt + 100", "annual_inc": "annual_inc * 2", "open_acc": "CASE WHEN issue_year = 1995 THEN NULL ELSE open_acc END",
+           "term_months": "term_months"}
+PARITY_SQL = ", ".join(
+    f"{state} AS (SELECT issue_year, {', '.join(f'{(CHANGES[c] if changed else c)} AS {c}' for c in PARITY)} FROM features)"
+    for state, changed in (("as_kept", False), ("changed", True)))
+
+
+def _parity_row(state: str, c: str) -> str:
+    return f"""SELECT '{state}' AS state, '{c}' AS variable, round(avg(s.{c}), 4) AS mean, round(abs(avg(s.{c}) - any_value(k.m)) / greatest(abs(any_value(k.m)), 1e-12), 6) AS relative_diff,
+  round(abs(stddev_pop(s.{c}) - any_value(k.sd)) / greatest(any_value(k.sd), 1e-12), 6) AS sd_diff,
+  count(s.{c}) = any_value(k.n) AND abs(avg(s.{c}) - any_value(k.m)) <= 1e-6 * abs(any_value(k.m)) AND abs(stddev_pop(s.{c}) - any_value(k.sd)) <= 1e-6 * any_value(k.sd) AS within
+FROM {state} s, (SELECT avg({c}) AS m, stddev_pop({c}) AS sd, count({c}) AS n FROM features) k"""
+
+
+@query("feature_parity", f"WITH {FEATURES_SQL}, {PARITY_SQL} " + " UNION ALL ".join(_parity_row(state, c) for state in ("as_kept", "changed") for c in PARITY))
 def feature_parity(spark, sf):
-    """Means against those of the untouched source columns."""
-    rows = features(spark, sf)
-    source = raw_text(spark, sf).filter(F.col("loan_status").isin(S.RESOLVED)).agg(
-        *[F.avg(text.first_integer(c) if c == "term_months" else text.number(c)).alias(c)
-          for c in PARITY if c != "term_months"], F.avg(text.first_integer("term")).alias("term_months"))
-    stored = source.unpivot([], PARITY, "variable", "stored_mean")
-    return P.mean_parity(rows, stored, PARITY).select("variable", r("mean", 4).alias("mean"), r("relative_diff", 6).alias("relative_diff"))
+    """The feature table and a changed one against moments that were kept when the raw rows were loaded, in two loads."""
+    rows = stored_features(spark, sf)
+    loaded = raw_text(spark, sf).filter(F.col("loan_status").isin(S.RESOLVED)).select(
+        text.text_year("issue_d").alias("issue_year"), *[(text.first_integer("term") if c == "term_months" else text.number(c)).alias(c) for c in PARITY])
+    folder = scratch_path(spark, "moments")
+    for part, years in (("early", F.col("issue_year") < 1995), ("late", F.col("issue_year") >= 1995)):
+        P.keep_moments(loaded.filter(years), PARITY, folder, part)
+    kept = materialize(P.kept_moments(spark, folder))
+    states = {"as_kept": rows, "changed": rows.select("issue_year", *[F.expr(CHANGES[c]).alias(c) for c in PARITY])}
+    out = [P.moment_parity(df, kept, PARITY).withColumn("state", F.lit(state)) for state, df in states.items()]
+    return rounded(rounded(out[0].unionByName(out[1]), ["mean"], 4), ["relative_diff", "sd_diff"], 6)
 
 
 @query("union_rows", f"WITH {WIDE_SQL} SELECT id, m1 AS score FROM wide WHERE y = 1 UNION ALL SELECT id, m2 FROM wide WHERE y = 0")

@@ -32,19 +32,3 @@ def text_schema(columns: list[str]) -> T.StructType:
     """Schema of a raw text table: every column a nullable string."""
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
-
-MODEL_FRAME = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("default", T.IntegerType()),
-     T.StructField("issue_year", T.IntegerType())]
-    + [T.StructField(c, T.DoubleType()) for c in NUMERIC]
-    + [T.StructField(c, T.StringType()) for c in CATEGORICAL]
-)
-PARTITION_TABLE = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("split", T.StringType()),
-    T.StructField("fold", T.LongType()), T.StructField("is_test", T.BooleanType()),
-    T.StructField("rank", T.LongType()),
-])
-SCORE_TABLE = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("y", T.IntegerType()),
-    T.StructField("model", T.StringType()), T.StructField("score", T.DoubleType()),
-])

@@ -7,8 +7,6 @@ from rankfold.plans import REGISTRY, SQL
 
 SF = DATA / "sf0.001"
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables")
-SLOW = {"surrogate_global", "surrogate_stability", "local_surrogate", "six_model_comparison", "permutation_importance", "model_record",
-        "scaling_leak_check"}
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +19,6 @@ def test_query_equals_its_sql(spark, duck, name):
     assert compare(spark, duck, REGISTRY[name], SQL[name], str(SF)) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert REGISTRY[name](spark, str(SF)).count() > 0

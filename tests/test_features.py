@@ -140,3 +140,23 @@ def test_a_record_without_its_end_marker_is_not_finished(spark, tmp_path):
     assert files.read_record(spark, path, "model string, value double").count() == 1
     (tmp_path / "record" / "_SUCCESS").unlink()
     assert files.read_record(spark, path, "model string, value double") is None
+
+
+def test_kept_moments_merge_and_notice_changes(spark, tmp_path):
+    from rankfold.operators import profile as P
+
+    rows = [(float(i % 17), None if i % 5 == 0 else float(i * i), 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c int").cache()
+    for name, part in (("first", df.filter("a < 6")), ("second", df.filter("a >= 6")), ("none", df.limit(0))):
+        P.keep_moments(part, ["a", "b", "c"], str(tmp_path), name)
+    P.keep_moments(df.filter("a < 6"), ["a", "b", "c"], str(tmp_path), "first")  # loaded again
+    kept = P.kept_moments(spark, str(tmp_path)).cache()
+    whole = {r["variable"]: r for r in P.column_moments(df, ["a", "b", "c"]).collect()}
+    for r in kept.collect():
+        want = whole[r["variable"]]
+        assert (r["n"], r["nulls"], r["least"], r["most"]) == (want["n"], want["nulls"], want["least"], want["most"])
+        assert (r["mean"], r["square"]) == (pytest.approx(want["mean"]), pytest.approx(want["square"], rel=1e-9, abs=1e-6))
+    within = lambda d: {r["variable"]: r["within"] for r in P.moment_parity(d, kept, ["a", "b", "c"]).collect()}
+    assert within(df) == {"a": True, "b": True, "c": True}
+    changed = df.withColumns({"a": F.col("a") * 1.001, "b": F.coalesce("b", F.lit(0.0))})
+    assert within(changed) == {"a": False, "b": False, "c": True}

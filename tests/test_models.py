@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import explain as E
 from rankfold.operators import models as L
+from rankfold.operators import restate as T
 from rankfold.operators import features as X
 from rankfold.operators.split import make_split
 
@@ -30,15 +31,75 @@ def test_six_specifications(spark):
     assert specs["SVM"].default_threshold == 0.0 and specs["LR"].default_threshold == 0.5
 
 
-def test_out_of_fold_scores_cover_training_rows_once(data):
+def by_refit(estimator, train, score_column):
+    """Out-of-fold scores with a model fitted anew for each fold."""
+    out = {}
+    for k in range(3):
+        model = estimator.fit(train.filter(F.col("fold") != k))
+        out |= {r["id"]: r["score"] for r in L.score(model, train.filter(F.col("fold") == k), score_column).collect()}
+    return out
+
+
+@pytest.mark.parametrize("key, grid", [("LR", {"reg_params": [1e-1, 1e-4]}), ("SVM", {"reg_params": [1e-4]}), ("DT", {"depths": [2, 4]})])
+def test_out_of_fold_scores_are_those_of_a_refit(data, key, grid):
+    _, train, _, _ = data
+    spec = L.model_specs(max_iter=10, **grid)[key]
+    found = L.cross_validate(spec, train)
+    scores = L.oof_scores(found.fold_models, train, spec.score_column)
+    rows = {r["id"]: r["score"] for r in scores.collect()}
+    want = by_refit(L.with_params(spec.estimator, L.best_params(spec, found)), train, spec.score_column)
+    assert len(rows) == scores.count() == train.count() and rows.keys() == want.keys()
+    assert [rows[i] for i in rows] == pytest.approx([want[i] for i in rows], abs=1e-9)
+    row = L.oof_threshold(scores, spec.score_column).first()
+    assert row["f1"] > 0.6 and (key == "SVM" or 0.02 <= row["threshold"] <= 0.98)
+
+
+def test_search_equals_spark_cross_validation(data):
+    from pyspark.ml.tuning import CrossValidator
+
+    _, train, _, _ = data
+    spec = L.model_specs(max_iter=10, reg_params=[1.0, 1e-1, 1e-4])["LR"]
+    found = L.cross_validate(spec, train, parallelism=3)
+    theirs = CrossValidator(estimator=spec.estimator, estimatorParamMaps=spec.grid, evaluator=L.evaluator(spec.score_column), numFolds=3,
+                            foldCol="fold").fit(train)
+    assert found.means == pytest.approx(theirs.avgMetrics, abs=1e-9) and found.deviations == pytest.approx(theirs.stdMetrics, abs=1e-9)
+    assert found.best == int(np.argmax(theirs.avgMetrics)) and len(found.fold_models) == 3
+    assert list(found.model.coefficients) == pytest.approx(list(theirs.bestModel.coefficients), abs=1e-9)
+
+
+class Unfit:
+    """Stands where an estimator must not be asked to fit."""
+
+    def __getattr__(self, name):
+        raise AssertionError("a finished search was fitted again")
+
+
+def test_second_session_reads_the_store(spark, data, tmp_path, monkeypatch):
+    from rankfold.operators import search
+
+    _, train, _, _ = data
+    spec = L.model_specs(depths=[2, 3])["DT"]
+    store = search.ModelStore(spark, str(tmp_path))
+    first = L.cross_validate(spec, train, store=store)
+    monkeypatch.setattr(search, "fold_search", lambda *_, **__: Unfit().fit())
+    again = L.cross_validate(spec, train.repartition(3), store=search.ModelStore(spark.newSession(), str(tmp_path)))
+    assert (again.means, again.best) == (first.means, first.best) and len(again.fold_models) == 3
+    held = [{r["id"]: r["score"] for r in L.oof_scores(f.fold_models, train, spec.score_column).collect()} for f in (first, again)]
+    assert held[0] == held[1]
+    for changed, other in ((train.withColumn("default", 1 - F.col("default")), spec), (train.filter("fold < 2"), spec), (train, L.model_specs(depths=[2, 5])["DT"])):
+        with pytest.raises(AssertionError, match="fitted again"):
+            L.cross_validate(other, changed, store=store)
+
+
+def test_unfinished_searches_are_not_read(spark, data, tmp_path):
+    from rankfold.operators import search
+
     _, train, _, _ = data
-    spec = L.model_specs(max_iter=10)["LR"]
-    scores = L.oof_scores(spec.estimator, train, spec.score_column)
-    assert scores.count() == train.count() == scores.select("id").distinct().count()
-    row = L.oof_threshold(spec.estimator, train, spec.score_column).first()
-    assert 0.02 <= row["threshold"] <= 0.98 and row["f1"] > 0.6
-    margin = L.model_specs(max_iter=10)["SVM"]
-    assert L.oof_threshold(margin.estimator, train, margin.score_column).first()["f1"] > 0.6
+    spec = L.model_specs(depths=[2])["DT"]
+    store = search.ModelStore(spark, str(tmp_path))
+    place = store.place(search.rows_fingerprint(train), search.described(spec.estimator, spec.grid), "areaUnderROC", "3")
+    (tmp_path / place.split("/")[-1] / "record").mkdir(parents=True)
+    assert L.cross_validate(spec, train, store=store).model.getMaxDepth() == 2
 
 
 def test_search_record_and_resume(data, tmp_path):
@@ -91,16 +152,44 @@ def test_perturbation_keeps_the_instance_and_the_level_shares(spark, data):
     assert rows["x1"].median() == pytest.approx(df.approxQuantile("x1", [0.5], 0.0)[0], abs=0.1)
 
 
-def test_queries_search_whole_grids_and_use_the_best(spark, monkeypatch):
-    from types import SimpleNamespace
-
+def test_queries_search_whole_grids():
     from rankfold.plans import fitting
 
-    monkeypatch.setattr(fitting, "_SEARCHED", {})
-    monkeypatch.setattr(fitting, "prepared", lambda *_: (None, None))
-    monkeypatch.setattr(fitting.L, "cross_validate", lambda spec, train: SimpleNamespace(avgMetrics=list(range(len(spec.grid)))))
-    found = {key: fitting.chosen(spark, "sf", key) for key in fitting.L.MODEL_KEYS}
-    assert [len(spec.grid) for spec, _ in found.values()] == [3, 3, 9, 4, 3, 1]
-    assert [params for _, params in found.values()] == [
-        {"regParam": 1e-4}, {"maxDepth": 15}, {"numTrees": 100, "maxDepth": 15}, {"maxIter": 100, "maxDepth": 5}, {"regParam": 1e-4}, {}]
-    assert {spec.estimator.getMaxIter() for key, (spec, _) in found.items() if key in ("LR", "SVM")} == {100}
+    grids = {key: spec.grid for key, spec in fitting.specs().items()}
+    assert [len(g) for g in grids.values()] == [3, 3, 9, 4, 3, 1]
+    assert {spec.estimator.getMaxIter() for key, spec in fitting.specs().items() if key in ("LR", "SVM")} == {100}
+    assert {p.name: v for p, v in grids["RF"][-1].items()} == {"numTrees": 100, "maxDepth": 15}
+
+
+@pytest.mark.parametrize("key, params", [("DT", {"maxDepth": 4}), ("RF", {"numTrees": 7, "maxDepth": 5}), ("GB", {"maxIter": 6, "maxDepth": 3})])
+def test_stored_nodes_restate_tree_scores(spark, data, tmp_path, key, params, monkeypatch):
+    monkeypatch.setattr(T, "LEVEL_NODES", 2)  # deeper levels are joined without a broadcast
+    _, train, test, _ = data
+    spec = L.model_specs()[key]
+    model = L.refit(spec, params, train)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    nodes = T.node_table(spark, str(tmp_path / "model"))
+    want = {r["id"]: r["score"] for r in L.score(model, test, spec.score_column).collect()}
+    got = {r["id"]: r["score"] for r in T.tree_scores(test, nodes, key == "GB").collect()}
+    assert got.keys() == want.keys() and [got[i] for i in got] == pytest.approx([want[i] for i in got], abs=1e-12)
+    if key == "DT":
+        for r in T.leaf_counts(train, nodes).collect():
+            assert [r["negatives"], r["positives"]] == r["stored"]
+    if key != "GB":
+        importance = {r["feature"]: r["importance"] for r in T.gain_importance(nodes).collect()}
+        assert [importance.get(i, 0.0) for i in range(len(model.featureImportances))] == pytest.approx(list(model.featureImportances.toArray()), abs=1e-12)
+
+
+def test_certificates_tell_the_optimum_from_other_points(data):
+    _, train, test, _ = data
+    lr = L.refit(L.model_specs()["LR"], {"regParam": 1e-2}, train)
+    svm = L.refit(L.model_specs()["SVM"], {"regParam": 1e-2}, train)
+    assert T.logistic_certificate(lr, train) < 1e-4 and T.hinge_certificate(svm, train) < 1e-3
+    early = L.model_specs(max_iter=1)
+    assert T.logistic_certificate(L.refit(early["LR"], {"regParam": 1e-2}, train), train) > 1e-2
+    assert T.hinge_certificate(L.refit(early["SVM"], {"regParam": 1e-2}, train), train, step=0.05) > 1e-3
+    for model, column in ((lr, "probability"), (svm, "rawPrediction")):
+        m = T.margin(model)
+        stated = test.select("id", (m if model is svm else 1 / (1 + F.exp(-m))).alias("again"))
+        both = L.score(model, test, column).join(stated, "id")
+        assert both.filter("abs(score - again) > 1e-9").count() == 0
