@@ -19,10 +19,18 @@ def test_entry_points_without_text_operators(tmp_path):
     assert out.stdout.split()[1] == "False"
 
 
+def test_entry_points_without_a_library_of_the_text_operators():
+    code = ("import sys; sys.modules['zstandard'] = None\n"
+            "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), any(n.startswith('op') for n in q))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split()[1] == "False"
+
+
 def test_entry_points_list_each_text_operator_once():
     if not (ROOT / "rankfold" / "llm").exists():
         pytest.skip("not installed")
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
