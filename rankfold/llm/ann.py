@@ -1,16 +1,20 @@
 """Approximate nearest neighbours: one vantage-point tree per shard, searched with relaxed triangle pruning.
 
-Rows are dealt to shards by a hash of their id, queries to blocks likewise; every (shard, block) cell holds a bounded
-number of rows, builds the shard's tree and answers the block's queries, so no task holds more than one shard and one
-block. Cells give the best k of each query; one window per query joins them.
+Rows are dealt to the nearest of at most `POINTS` global vantage points, which are rows drawn by hash of their id; a point's rows make one shard, or
+several, dealt by hash, where there are more than `shard_rows` of them. Each point keeps how near and how far its rows lie. A query first
+learns a bound on its k-th distance from a drawn sample of rows that all tasks are told; then it goes only to shards that the triangle
+inequality leaves open: nothing in a shard can be nearer than the query's distance to the point less the farthest row's, the nearest row's less
+the query's, or half of what the point is farther than the query's own. So rows are shuffled once and a tree is built once, by a task that
+reads its shard's rows and then, batch by batch, the queries that were sent there. One window per query joins the shards' answers.
 
-A subtree on the far side of a vantage point's sphere is skipped if `factor` times the distance to the sphere exceeds the
-query's k-th distance so far. With factor 1 that is the triangle inequality and the search is exact; larger factors skip
-more.
+Inside a tree, a subtree on the far side of a vantage point's sphere is skipped if `factor` times the distance to the sphere exceeds the
+query's k-th distance so far; shards are skipped by the same rule. With factor 1 that is the triangle inequality and the search is
+exact; larger factors skip more.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without id;
 only vectors of one length are compared; copies of a vector are equal neighbours, ordered by id; rows that repeat an id
-and its vector count once; no valid row gives an empty result.
+and its vector count once; of query rows that repeat an id the least vector asks; very long vectors only cost memory in
+proportion; extra columns are ignored; no valid row gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +22,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankfold.llm.common import materialize
+
 FACTOR = 1.2
-SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 128
+SHARD_ROWS, LEAF = 8192, 128
+#: Global vantage points at most, and rows that bound a query's k-th distance; both are told to all tasks.
+POINTS, SAMPLE = 1024, 4096
 
 
 class Tree:
@@ -116,37 +125,139 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+class Points:
+    """Global vantage points and the sample, by vector length. Cell numbers count all points; rows of a length without a point have a cell by length."""
+
+    def __init__(self, sample: list, cells: int):
+        self.ids, self.vectors, self.points, self.first = {}, {}, {}, {}
+        for size in sorted({r["size"] for r in sample}):
+            mine = [r for r in sample if r["size"] == size]
+            self.ids[size] = np.array([r["id"] for r in mine], dtype=np.int64)
+            self.vectors[size] = np.array([r["v"] for r in mine], dtype=float)
+            share = max(1, round(cells * len(mine) / len(sample)))
+            self.points[size] = np.unique(self.vectors[size][:share], axis=0)
+            self.first[size] = sum(len(p) for s, p in self.points.items() if s < size)
+
+    def away(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances to the points of this length, a column each."""
+        points = self.points[vectors.shape[1]]
+        return np.column_stack([_distance(vectors, p) for p in points])
+
+    def limit(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+        """Distance within which at least k rows of the sample lie, the query's own id left out."""
+        size = vectors.shape[1]
+        if len(self.ids[size]) < k:
+            return np.full(len(ids), np.inf)
+        out = np.empty(len(ids))
+        for i in range(len(ids)):
+            d = np.where(self.ids[size] == ids[i], np.inf, _distance(self.vectors[size], vectors[i]))
+            out[i] = np.partition(d, k - 1)[k - 1]
+        return out
+
+
+def _by_size(batch: pa.RecordBatch, column: int):
+    """`(rows, matrix)` of the vectors of each length."""
+    vectors = batch.column(column)
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(size))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, factor: float = FACTOR, id_column: str = "vec_id",
-            vector_column: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            vector_column: str = "embedding", shard_rows: int = SHARD_ROWS, points: int = POINTS, sample: int = SAMPLE) -> DataFrame:
     """`(query_id, rank, vec_id, score)`: up to k nearest rows of every query row, the row with the query's id left out."""
 
     def narrow(df: DataFrame) -> DataFrame:
         vector = F.col(vector_column).cast("array<double>")
         df = df.select(F.col(id_column).cast("long").alias("id"), vector.alias("v"))
-        return df.filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("size", F.size("v"))
-
-    rows, queries = narrow(rows), narrow(queries)
-    shards = max(1, math.ceil(rows.count() / shard_rows))
-    groups = max(1, math.ceil(queries.count() / block_rows))
-    cells = rows.withColumns({"asks": F.lit(False), "shard": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"),
-                              "block": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))}).unionByName(
-        queries.withColumns({"asks": F.lit(True), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
-                             "block": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")}))
-
-    def answer(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values(["id"], kind="stable")
-        vectors, ids, asks = np.stack(cell["v"].to_numpy()), cell["id"].to_numpy(), cell["asks"].to_numpy()
-        held = np.flatnonzero(~asks)
-        if not len(held) or not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        same = np.zeros(len(held), dtype=bool)
-        same[1:] = (ids[held][1:] == ids[held][:-1]) & (vectors[held][1:] == vectors[held][:-1]).all(axis=1)
-        held = held[~same]
-        query_ids, at = np.unique(ids[asks], return_index=True)
-        best = Tree(vectors[held]).search(ids[held], vectors[asks][at], query_ids, k, factor)
-        q, r = np.nonzero(np.isfinite(best.distance))
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": best.ids[q, r], "score": best.distance[q, r]})
-
-    found = cells.groupBy("size", "shard", "block").applyInPandas(answer, "query_id long, vec_id long, score double")
+        return df.filter(F.col("id").isNotNull() & usable(F.col("v")))
+
+    rows = narrow(rows)
+    queries = narrow(queries).groupBy("id").agg(F.min("v").alias("v"))
+    cells = max(1, min(points, math.ceil(rows.count() / shard_rows)))
+    drawn = rows.select("id", "v", F.size("v").alias("size")).orderBy(F.xxhash64("id"), "id", "v").limit(max(sample, cells)).collect()
+    told = Points(drawn, cells)
+
+    def place(batches):
+        for batch in batches:
+            cell, far = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows)
+            for at, vectors in _by_size(batch, 1):
+                size = vectors.shape[1]
+                if size not in told.points:
+                    cell[at] = -size
+                    continue
+                away = told.away(vectors)
+                best = away.argmin(axis=1)
+                cell[at], far[at] = told.first[size] + best, away[np.arange(len(at)), best]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    placed = materialize(rows.mapInArrow(place, "id long, v array<double>, cell int, far double"))
+    held = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()  # a row per point or length
+    parts = {r["cell"]: math.ceil(r["n"] / shard_rows) for r in held}
+    reach = {r["cell"]: (r["near"], r["far"]) for r in held}
+
+    def send(batches):
+        """Each query to the shards that stay open."""
+        for batch in batches:
+            asked, cell = [], []
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, vectors in _by_size(batch, 1):
+                size = vectors.shape[1]
+                if size not in told.points:
+                    if -size in parts:
+                        asked.append(at)
+                        cell.append(np.full(len(at), -size))
+                    continue
+                away, limit = told.away(vectors), told.limit(ids[at], vectors, k)
+                own = away.min(axis=1)
+                for j in range(away.shape[1]):
+                    number = told.first[size] + j
+                    if number in reach:
+                        near, far = reach[number]
+                        least = np.maximum.reduce([away[:, j] - far, near - away[:, j], (away[:, j] - own) / 2])
+                        open_ = factor * least <= limit + 1e-9 * (1 + away[:, j])
+                        asked.append(at[open_])
+                        cell.append(np.full(int(open_.sum()), number))
+            asked, cell = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (asked, cell))
+            copies = np.array([parts[c] for c in cell.tolist()], dtype=np.int64)
+            which = np.repeat(np.arange(len(asked)), copies)
+            part = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+            at = pa.array(asked[which])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[which].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(which), dtype=bool)),
+                                              batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "part", "asks", "id", "v"])
+
+    many = F.element_at(F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)]), F.col("cell")) if parts else F.lit(1)
+    shards = placed.select("cell", F.pmod(F.xxhash64("id"), many.cast("long")).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v")
+    sent = queries.mapInArrow(send, "cell int, part int, asks boolean, id long, v array<double>")
+    cellwise = shards.unionByName(sent).repartition("cell", "part").sortWithinPartitions("cell", "part", "asks", "id")
+
+    def answer(batches):
+        shard, gathered, tree, ids = None, [], None, None
+        for batch in batches:
+            cell, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            key = np.column_stack([cell, part, asks.astype(np.int64)])
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, int)
+            for a, b in zip(starts, np.r_[starts[1:], len(key)]):
+                if shard != (cell[a], part[a]):
+                    shard, gathered, tree = (cell[a], part[a]), [], None
+                run = batch.slice(a, b - a)
+                numbers = run.column(3).to_numpy(zero_copy_only=False)
+                vectors = run.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), -1)
+                if not asks[a]:
+                    gathered.append((numbers, vectors))
+                    continue
+                if tree is None and gathered:
+                    ids, rows_of = np.concatenate([i for i, _ in gathered]), np.concatenate([v for _, v in gathered])
+                    order = np.lexsort((*rows_of.T[::-1], ids))
+                    ids, rows_of = ids[order], rows_of[order]
+                    new = np.r_[True, (ids[1:] != ids[:-1]) | (rows_of[1:] != rows_of[:-1]).any(axis=1)]
+                    ids, tree, gathered = ids[new], Tree(rows_of[new]), []
+                if tree is not None:
+                    best = tree.search(ids, vectors, numbers, k, factor)
+                    q, r = np.nonzero(np.isfinite(best.distance))
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(best.ids[q, r]), pa.array(best.distance[q, r])], names=["query_id", "vec_id", "score"])
+
+    found = cellwise.mapInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,12 +6,17 @@ weighted vote of the window's shingles. Fingerprints are cut to `radius` + 1 blo
 least one block, so the block indexes give every item within it. Candidates are then compared exactly: the sum of
 minima over the sum of maxima of the shingle weights must reach `threshold`. A shingle weighs less the more items share it.
 
+How many items hold a shingle is counted once over all items, so a similarity doesn't depend on what else is looked for at the same
+time. Only shingles of several items are told with their weights; any other, known or not, weighs as much as one of a single item.
+
 The index of the items is sent to all tasks; larger item tables are split by hash to parts of about `PART_BYTES` of text,
-with one pass over the texts each. Texts are never shuffled, so a passage in a third of them costs no task more than its share.
+with one pass over the texts each, whose result is stored before the next part is read. Texts are never shuffled, so a passage in a third of
+them costs no task more than its share.
 
 Defined cases: null and empty texts, and items without words, match nothing; a text or item of fewer than five words is
 one shingle, so it matches only its like; a text shorter than an item is one window; of equal windows the first counts;
-of rows that repeat an item id the best counts; repeated rows of texts are reported alike.
+of rows that repeat an item id the best counts; repeated rows of texts are reported alike; very long texts are read in whole, window by
+window; extra columns are ignored or carried along; without texts or without items nothing is found.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rankfold.llm.common import materialize
 from rankfold.llm.words import Block, blocks, mix, shingles
 
 K, THRESHOLD, RADIUS, BITS = 5, 0.75, 20, 64
@@ -40,10 +46,25 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return ((np.round(sums, 6) > 0).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+class ShingleWeights:
+    """Weight of a shingle by the number of items that hold it: `1 + ln(items / holders)`, at least one holder."""
+
+    def __init__(self, items: int, shared: np.ndarray, holders: np.ndarray):
+        order = np.argsort(shared)
+        self.shared, self.rare = shared[order], 1 + math.log(max(1, items))
+        self.weight = 1 + np.log(max(1, items) / holders[order])
+
+    def weigh(self, shingle: np.ndarray) -> np.ndarray:
+        if not len(self.shared):
+            return np.full(len(shingle), self.rare)
+        at = np.minimum(np.searchsorted(self.shared, shingle), len(self.shared) - 1)
+        return np.where(self.shared[at] == shingle, self.weight[at], self.rare)
+
+
 class ItemIndex:
     """Shingles, weights and block indexes of the items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], radius: int = RADIUS, k: int = K):
+    def __init__(self, ids: list[int], texts: list[str | None], radius: int = RADIUS, k: int = K, held: ShingleWeights | None = None):
         self.k, self.radius = k, radius
         owned: list[tuple[int, np.ndarray, int]] = []
         for block in blocks(pa.array(texts, pa.string())):
@@ -55,8 +76,7 @@ class ItemIndex:
         self.shingle = [np.unique(s, return_counts=True) for _, s, _ in owned]
         every = np.concatenate([u for u, _ in self.shingle]) if owned else np.zeros(0, np.uint64)
         self.known, shared = np.unique(every, return_counts=True)
-        self.rare = 1 + math.log(max(1, len(owned)))
-        self.weight = 1 + np.log(len(owned) / shared) if owned else np.zeros(0)
+        self.held = held or ShingleWeights(len(owned), self.known[shared > 1], shared[shared > 1])
         self.filter = np.zeros(_FILTER, dtype=bool)
         self.filter[(self.known & np.uint64(_FILTER - 1)).astype(np.int64)] = True
         holder = np.repeat(np.arange(len(owned)), [len(u) for u, _ in self.shingle])
@@ -87,10 +107,7 @@ class ItemIndex:
         return at[same], place[same]
 
     def weigh(self, shingle: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingle), self.rare)
-        at, place = self.find(shingle)
-        out[at] = self.weight[place]
-        return out
+        return self.held.weigh(shingle)
 
     def near(self, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """`(window, item, distance)` of all pairs of one size within the radius, through the block indexes."""
@@ -152,21 +169,41 @@ def scan_block(block: Block, index: ItemIndex, threshold: float):
             yield block.lo + int(row), leaks
 
 
+def shingle_weights(texts: DataFrame, k: int = K) -> ShingleWeights:
+    """Counted over all item texts; of the shingles only those that several items hold come to the driver."""
+
+    def count(batches):
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                shingle, _, limits = shingles(block, k)
+                held = [np.unique(shingle[a:b]) for a, b in zip(limits[:-1], limits[1:]) if b > a]
+                every, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[every.view(np.int64), 0]), pa.array(np.r_[n, len(held)]), pa.array(np.arange(len(n) + 1) == len(n))],
+                                                 names=["shingle", "holders", "items"])
+
+    counted = texts.mapInArrow(count, "shingle long, holders long, items boolean").groupBy("shingle", "items").agg(F.sum("holders").alias("holders"))
+    told = counted.filter("items or holders > 1").toArrow()
+    shingle, holders, items = (told.column(c).to_numpy() for c in ("shingle", "holders", "items"))
+    return ShingleWeights(int(holders[items].sum()), shingle[~items].view(np.uint64), holders[~items])
+
+
 def _indexes(items: DataFrame, item_column: str, text_column: str, radius: int):
+    """`(index, whether it is the last)` of each part."""
     rows = items.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).cast("string").alias("text")).filter(
         F.col("item").isNotNull() & F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     parts = max(1, math.ceil(size / PART_BYTES))
+    weights = shingle_weights(rows.select("text"))
     for part in range(parts):
         held = rows.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        yield ItemIndex([r["item"] for r in held], [r["text"] for r in held], radius)
+        yield ItemIndex([r["item"] for r in held], [r["text"] for r in held], radius, held=weights), part == parts - 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
                item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """`(id, item_id, similarity, first_word, n_words, distance)` of every text and item it holds; clean texts give no row."""
     found = None
-    for index in _indexes(items, item_column, item_text, radius):
+    for index, last in _indexes(items, item_column, item_text, radius):
 
         def scan(batches, index=index):
             for batch in batches:
@@ -181,6 +218,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
         kind = docs.schema[id_column].dataType.simpleString()
         part = docs.select(id_column, F.col(text_column).cast("string")).mapInArrow(
             scan, f"`{id_column}` {kind}, item_id long, similarity double, first_word long, n_words long, distance int")
+        part = part if last and found is None else materialize(part)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -189,7 +227,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_column: str = "text", i
                  threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """The rows whose text holds no item, with all their columns; a filter in place, without a shuffle."""
     at = docs.columns.index(text_column)
-    for index in _indexes(items, item_column, item_text, radius):
+    for index, last in _indexes(items, item_column, item_text, radius):
 
         def keep(batches, index=index):
             for batch in batches:
@@ -200,4 +238,5 @@ def drop_leaking(docs: DataFrame, items: DataFrame, text_column: str = "text", i
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs if last else materialize(docs)
     return docs
