@@ -209,27 +209,8 @@ def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, gro
     order = np.argsort(known)
     known, times = known[order], counts["texts"].to_numpy(dtype=np.int64)[order]
 
-    def entries(parts: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(parts) if parts else np.zeros((0, 7), np.int64)
-        # One entry per shingle and tree: sizes from least to most, and the most that can follow.
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        start = np.flatnonzero(np.r_[len(rows) > 0, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)][:len(rows)])
-        least, most, rest = (f.reduceat(rows[:, c], start) if len(start) else np.zeros(0, np.int64)
-                             for f, c in ((np.minimum, 2), (np.maximum, 2), (np.maximum, 3)))
-        token, root, alone, kind, parts_of = (rows[start, c] for c in (0, 1, 4, 5, 6))
-        # Of a list in p parts an entry goes to each pair of parts that its own is one of.
-        copy = np.repeat(np.arange(len(start)), parts_of)
-        other = np.arange(len(copy)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
-        mine = (mix(root.view(np.uint64)) % np.maximum(parts_of, 1).view(np.uint64)).view(np.int64)[copy]
-        half = np.where(mine == other, -1, (mine > other).astype(np.int64))
-        part = np.minimum(mine, other) * parts_of[copy] + np.maximum(mine, other)
-        small = lambda x: pa.array(x.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(token[copy]), small(part), pa.array(root[copy]), small(least[copy]), small(most[copy]), small(rest[copy]),
-                                           pa.array(alone[copy] > 0), pa.array(kind[copy]), small(half)],
-                                          names=["token", "part", "root", "least", "most", "rest", "alone", "kind", "half"])
-
     def emit(batches):
-        parts, size = [], 0
+        pool = _Entries()
         for batch in batches:
             roots, alone, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3))
             for row, s in _sets(batch.column(1), k):
@@ -243,27 +224,82 @@ def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, gro
                     order = np.argsort(seen, kind="stable")
                     s, seen = s[order], seen[order]
                 p = prefix_length(n)
-                parts.append(np.column_stack([_signed(s[:p]), np.full(p, roots[row]), np.full(p, n), n - np.arange(p), np.full(p, alone[row]),
-                                              np.full(p, kind[row]), 1 + seen[:p] // LIST_PART]))
-                size += p
-                if size >= HELD_ROWS:
-                    yield entries(parts)
-                    parts, size = [], 0
-        yield entries(parts)
+                yield from pool.add(_signed(s[:p]), int(roots[row]), n, bool(alone[row]), int(kind[row]), 1 + seen[:p] // LIST_PART)
+        yield from pool.rest()
 
     texts = _of(spark, docs, tree.select("rep", "root", "alone", "kind"), "rep").select("root", "text", "alone", "kind")
     index = texts.mapInArrow(emit, "token long, part int, root long, least int, most int, rest int, alone boolean, kind long, half int")
     lists = index.repartition("token", "part").sortWithinPartitions("token", "part", "least")
-    met = lists.mapInArrow(partial(_join_lists, grouped=grouped), "a long, b long, sizes int, rest int")
+    met = lists.mapInArrow(partial(_join_lists, grouped=grouped), "a long, b long, sizes int, rest int, shared int")
     # Of two sets, not trees, all common shingles up to the last met are counted: at most `rest` more can follow.
-    found = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("rest").alias("rest"), F.max("sizes").alias("sizes"))
+    found = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.max("sizes").alias("sizes"))
     with rows_per_batch(spark, 4 * TEXT_ROWS):
         return materialize(found.filter("sizes = 0 or 7 * (shared + rest - 1) >= 3 * sizes").select("a", "b"))
 
 
-def _join_lists(batches, grouped: bool):
+class _Entries:
+    """Index entries on their way out: one per shingle and tree among those held, with sizes from least to most and the most that can follow.
+
+    Raw rows are merged `HELD_ROWS` at a time; merged ones are merged again, and leave when more than four times as many are left.
+    """
+
+    def __init__(self):
+        self.raw, self.raw_size, self.pool, self.size = [], 0, [], 0
+
+    def add(self, token: np.ndarray, root: int, n: int, alone: bool, kind: int, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.raw.append((token, root, n, alone, kind, parts))
+        self.raw_size += len(token)
+        if self.raw_size >= HELD_ROWS:
+            self._settle()
+            if self.size >= 4 * HELD_ROWS:
+                self.pool = [self._merged(self.pool)]
+                self.size = len(self.pool[0][0])
+                if self.size >= 3 * HELD_ROWS:
+                    yield from self.rest()
+
+    def _settle(self) -> None:
+        if self.raw:
+            count = [len(r[0]) for r in self.raw]
+            token, parts = (np.concatenate([r[c] for r in self.raw]) for c in (0, 5))
+            root, n, alone, kind = (np.repeat(np.array([r[c] for r in self.raw], dtype=t), count) for c, t in ((1, np.int64), (2, np.int32), (3, bool), (4, np.int64)))
+            rest = n - np.concatenate([np.arange(c, dtype=np.int32) for c in count])
+            self.pool.append(self._merged([(token, root, n, n, rest, alone, kind, parts.astype(np.int32))]))
+            self.size += len(self.pool[-1][0])
+        self.raw, self.raw_size = [], 0
+
+    @staticmethod
+    def _merged(pool: list[tuple]) -> tuple:
+        columns = [np.concatenate(c) for c in zip(*pool)]
+        order = np.lexsort((columns[1], columns[0]))
+        token, root = columns[0][order], columns[1][order]
+        start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])])
+        least, most, rest = (f.reduceat(columns[c][order], start) for f, c in ((np.minimum, 2), (np.maximum, 3), (np.maximum, 4)))
+        return token[start], root[start], least, most, rest, *(columns[c][order][start] for c in (5, 6, 7))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        if not self.pool:
+            return
+        token, root, least, most, rest, alone, kind, parts_of = self._merged(self.pool)
+        self.pool, self.size = [], 0
+        # Of a list in p parts an entry goes to each pair of parts that its own is one of.
+        for a in range(0, len(token), HELD_ROWS):
+            few = slice(a, a + HELD_ROWS)
+            of = parts_of[few].astype(np.int64)
+            copy = np.repeat(np.arange(len(of)), of)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(of) - of, of)
+            mine = (mix(root[few].view(np.uint64)) % of.view(np.uint64)).view(np.int64)[copy]
+            half = np.where(mine == other, -1, (mine > other).astype(np.int64))
+            part = np.minimum(mine, other) * of[copy] + np.maximum(mine, other)
+            small = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[few][copy]), small(part), pa.array(root[few][copy]), *(pa.array(x[few][copy]) for x in (least, most, rest, alone, kind)), small(half)],
+                names=["token", "part", "root", "least", "most", "rest", "alone", "kind", "half"])
+
+
+def _join_lists(batches, grouped: bool) -> Iterator[pa.RecordBatch]:
     """Root pairs of each index list, or part of one; a list may run over several batches."""
-    held, last = [], None
+    held, last, found = [], None, _Pairs()
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         if not len(rows):
@@ -274,16 +310,16 @@ def _join_lists(batches, grouped: bool):
             continue
         rows = np.concatenate([*held, rows])
         whole = int(np.flatnonzero((rows[:, 0] != ends[0]) | (rows[:, 1] != ends[1]))[-1]) + 1 if (rows[0, 0], rows[0, 1]) != ends else 0
-        yield from _pairs(rows[:whole], grouped)
+        yield from _pairs(rows[:whole], grouped, found)
         held, last = [rows[whole:]], ends
     if held:
-        yield from _pairs(np.concatenate(held), grouped)
+        yield from _pairs(np.concatenate(held), grouped, found)
+    yield from found.rest()
 
 
-def _pairs(rows: np.ndarray, grouped: bool):
+def _pairs(rows: np.ndarray, grouped: bool, found: _Pairs) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(rows)])
-    found = _Pairs()
     for length in np.unique(size[(size > 1) & (size <= LIST_BLOCK)]):  # short lists of one length together
         at = start[size == length][:, None] + np.arange(length)
         i, j = np.triu_indices(length, 1)
@@ -303,19 +339,19 @@ def _pairs(rows: np.ndarray, grouped: bool):
                 i, j = np.meshgrid(np.arange(cuts[x], min(cuts[x] + LIST_BLOCK, a + n)), np.arange(cuts[z], min(cuts[z] + LIST_BLOCK, a + n)))
                 i, j = i.ravel(), j.ravel()
                 yield from found.add(_fitting(rows, i[i < j], j[i < j], grouped))
-    yield from found.rest()
 
 
 class _Pairs:
-    """Pairs on their way out, some `HELD_ROWS` at a time."""
+    """Pairs on their way out, four times `HELD_ROWS` at a time, each of these once."""
 
     def __init__(self):
         self.found, self.size = [], 0
 
     def add(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.found.append(rows)
-        self.size += len(rows)
-        if self.size >= HELD_ROWS or len(self.found) > 4096:
+        if len(rows):
+            self.found.append(rows)
+            self.size += len(rows)
+        if self.size >= 4 * HELD_ROWS:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -335,10 +371,14 @@ def _fitting(rows: np.ndarray, i: np.ndarray, j: np.ndarray, grouped: bool) -> n
 
 
 def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    """`(a, b, sizes, rest)` of each meeting in a list; sizes is 0 unless both are single sets."""
+    """`(a, b, sizes, rest, shared)`: pairs that met, and in how many lists; sizes is 0 unless both are single sets."""
     rows = np.concatenate(found)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)),
-                                       pa.array(rows[:, 3].astype(np.int32))], names=["a", "b", "sizes", "rest"])
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    start = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+    sizes, rest = np.maximum.reduceat(rows[:, 2], start), np.minimum.reduceat(rows[:, 3], start)
+    small = lambda x: pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(rows[start, 0]), pa.array(rows[start, 1]), small(sizes), small(rest), small(np.diff(np.r_[start, len(rows)]))],
+                                      names=["a", "b", "sizes", "rest", "shared"])
 
 
 def _tree_links(docs: DataFrame, tree: DataFrame, links: DataFrame, roots: DataFrame, k: int) -> DataFrame:
