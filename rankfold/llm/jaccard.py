@@ -7,7 +7,8 @@ Sets are equal, highly similar, or neither, and the join uses all three relation
   of `HASHES` orders, so a group of n near copies costs n comparisons, not n^2. A verified meeting makes the smaller one the
   parent. Along the tree a set knows how many shingles it gained at most over its root.
 * Between trees an index of prefix shingles (frequent ones last) finds candidates. Its lists hold one entry per tree;
-  they are cut to blocks, and two blocks are skipped whole if their positions and sizes leave too little overlap. The answer of a
+  they are cut to blocks, and two blocks are skipped whole if their positions and sizes leave too little overlap. Counts of shingles in
+  `BOXES` boxes bound the overlap of a pair that is left, so most texts need not travel to be compared. The answer of a
   tree's members is derived from the computed overlap of the roots plus what the members gained; only members that this bound
   leaves open, of trees in different components, meet and are compared.
 
@@ -48,7 +49,10 @@ HELD_ROWS = 1 << 18
 #: Texts a task gets at a time.
 TEXT_ROWS = 500
 
-_SIGNATURE = "part int, doc_id long, n long, fp1 long, fp2 long, " + ", ".join(f"m{i} long" for i in range(HASHES))
+#: Shingles of a set are counted in so many boxes; sums of minima over the boxes bound an overlap from above.
+BOXES = 1024
+
+_SIGNATURE = "part int, doc_id long, n long, fp1 long, fp2 long, " + ", ".join(f"m{i} long" for i in range(HASHES)) + ", boxes binary"
 
 
 def _sets(column: pa.Array, k: int = K) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,13 +67,42 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
+def _boxes(s: np.ndarray) -> bytes:
+    """Shingles in each box, by the top bits of their hashes; 255 stands for that many and more."""
+    return np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=BOXES), 255).astype(np.uint8).tobytes()
+
+
+def _open_pairs(pairs: DataFrame, boxes: DataFrame, best: DataFrame) -> DataFrame:
+    """The pairs `(a, b)` that may hold a link: seven times the bound of the roots' overlap makes up for what the best members of both lack.
+
+    `boxes(id, boxes)` and `best(root, best)`: a thousand bytes a set travel, not texts. Boxes that are full on both sides leave a pair open.
+    """
+    joined = pairs
+    for c in "ab":
+        joined = joined.join(boxes.select(F.col("id").alias(c), F.col("boxes").alias(f"boxes_{c}")), c)
+        joined = joined.join(best.select(F.col("root").alias(c), F.col("best").alias(f"best_{c}")), c)
+
+    def judge(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(n, -1) for c in (2, 3))
+            least = np.minimum(x, y)
+            need = batch.column(4).to_numpy(zero_copy_only=False) + batch.column(5).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
+                pa.array((7 * least.sum(axis=1, dtype=np.int64) + need >= 0) | (least == 255).any(axis=1)))
+
+    narrow = joined.select("a", "b", "boxes_a", "boxes_b", "best_a", "best_b")
+    with rows_per_batch(pairs.sparkSession, 4 * TEXT_ROWS):
+        return materialize(narrow.mapInArrow(judge, "a long, b long")).distinct()
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """Part 0: size, fingerprints and minima of every row. Part 1: `(shingle, texts)` of those frequent among texts read together.
 
     Counting within some two million shingles at a time and adding up misses only those that are rare everywhere.
     """
 
-    def packed(ids: list, rows: list, held: list) -> pa.RecordBatch:
+    def packed(ids: list, rows: list, held: list, boxes: list) -> pa.RecordBatch:
         many, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
         often = count >= 4
         values = np.array(rows, dtype=np.uint64).reshape(-1, 3 + HASHES).view(np.int64)
@@ -77,13 +110,15 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         columns = [pa.array(np.repeat([0, 1], [len(rows), extra]).astype(np.int32)), pa.array([*ids, *[None] * extra], pa.int64()),
                    pa.array(np.concatenate([values[:, 0], count[often]])), pa.array(np.concatenate([values[:, 1], _signed(many[often])]))]
         columns += [pa.array(np.concatenate([values[:, c], zeros])) for c in range(2, 3 + HASHES)]
+        columns.append(pa.array([*boxes, *[None] * extra], pa.binary()))
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIGNATURE.split(", ")])
 
     def sign(batches):
-        ids, rows, held, size = [], [], [], 0
+        ids, rows, held, boxes, size = [], [], [], [], 0
         for batch in batches:
             for i, (_, s) in zip(batch.column(0).to_pylist(), _sets(batch.column(1), k)):
                 ids.append(i)
+                boxes.append(_boxes(s) if len(s) else None)
                 if len(s):
                     minima = [mix(s ^ np.uint64(0x51ED270B * (i + 1))).min() for i in range(HASHES)]
                     rows.append((len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(7))), *minima))
@@ -91,10 +126,10 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     size += len(s)
                 else:
                     rows.append((0,) * (3 + HASHES))
-                if size >= 8 * HELD_ROWS or len(rows) >= HELD_ROWS:
-                    yield packed(ids, rows, held)
-                    ids, rows, held, size = [], [], [], 0
-        yield packed(ids, rows, held)
+                if size >= 8 * HELD_ROWS or len(rows) >= HELD_ROWS // 16:
+                    yield packed(ids, rows, held, boxes)
+                    ids, rows, held, boxes, size = [], [], [], [], 0
+        yield packed(ids, rows, held, boxes)
 
     with rows_per_batch(docs.sparkSession, TEXT_ROWS):
         return materialize(docs.mapInArrow(sign, _SIGNATURE))
@@ -433,7 +468,9 @@ def components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     nodes = materialize(full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(HASHES)]))
     tree, near = _trees(nodes, docs, k)
     sides = tree.select("rep", "root", "alone", F.lit(0).cast("long").alias("kind"))
-    roots = overlaps(docs, _candidates(docs, sides, counts, k), k)
+    slack = tree.groupBy("root").agg(F.max(7 * F.col("gained") - 3 * F.col("n")).alias("best"))
+    boxes = rows.join(tree.select("root").distinct(), F.col("doc_id") == F.col("root"), "left_semi").select(F.col("doc_id").alias("id"), "boxes").filter("boxes is not null")
+    roots = overlaps(docs, _open_pairs(_candidates(docs, sides, counts, k), boxes, slack), k)
     root_of = materialize(tree.groupBy("rep").agg(F.min("root").alias("root")))
     # Rows that repeat an id with another text tie the trees of their sets.
     several = full.groupBy("doc_id").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).filter("lo <> hi").select("doc_id")
