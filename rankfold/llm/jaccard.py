@@ -99,7 +99,7 @@ def _open_pairs(pairs: DataFrame, boxes: DataFrame, best: DataFrame) -> DataFram
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """Part 0: size, fingerprints and minima of every row. Part 1: `(shingle, texts)` of those frequent among texts read together.
 
-    Counting within some two million shingles at a time and adding up misses only those that are rare everywhere.
+    Counting within some million shingles at a time and adding up misses only those that are rare everywhere.
     """
 
     def packed(ids: list, rows: list, held: list, boxes: list) -> pa.RecordBatch:
@@ -126,7 +126,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                     size += len(s)
                 else:
                     rows.append((0,) * (3 + HASHES))
-                if size >= 8 * HELD_ROWS or len(rows) >= HELD_ROWS // 16:
+                if size >= 4 * HELD_ROWS or len(rows) >= HELD_ROWS // 64:
                     yield packed(ids, rows, held, boxes)
                     ids, rows, held, boxes, size = [], [], [], [], 0
         yield packed(ids, rows, held, boxes)
@@ -222,7 +222,7 @@ def _shingle_counts(docs: DataFrame, ids: DataFrame, key: str, k: int) -> DataFr
             for _, s in _sets(batch.column(0), k):
                 held.append(s)
                 size += len(s)
-                if size >= 8 * HELD_ROWS:
+                if size >= 4 * HELD_ROWS:
                     yield packed(held)
                     held, size = [], 0
         yield packed(held)
@@ -275,7 +275,7 @@ def _candidates(docs: DataFrame, tree: DataFrame, counts: DataFrame, k: int, gro
 class _Entries:
     """Index entries on their way out: one per shingle and tree among those held, with sizes from least to most and the most that can follow.
 
-    Raw rows are merged `HELD_ROWS` at a time; merged ones are merged again, and leave when more than four times as many are left.
+    Raw rows are merged `HELD_ROWS` at a time; merged ones are merged again, and leave when there are as many of them.
     """
 
     def __init__(self):
@@ -286,11 +286,8 @@ class _Entries:
         self.raw_size += len(token)
         if self.raw_size >= HELD_ROWS:
             self._settle()
-            if self.size >= 4 * HELD_ROWS:
-                self.pool = [self._merged(self.pool)]
-                self.size = len(self.pool[0][0])
-                if self.size >= 3 * HELD_ROWS:
-                    yield from self.rest()
+            if self.size >= HELD_ROWS:
+                yield from self.rest()
 
     def _settle(self) -> None:
         if self.raw:
@@ -377,7 +374,7 @@ def _pairs(rows: np.ndarray, grouped: bool, found: _Pairs) -> Iterator[pa.Record
 
 
 class _Pairs:
-    """Pairs on their way out, four times `HELD_ROWS` at a time, each of these once."""
+    """Pairs on their way out, twice `HELD_ROWS` at a time, each of these once."""
 
     def __init__(self):
         self.found, self.size = [], 0
@@ -386,7 +383,7 @@ class _Pairs:
         if len(rows):
             self.found.append(rows)
             self.size += len(rows)
-        if self.size >= 4 * HELD_ROWS:
+        if self.size >= 2 * HELD_ROWS:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
