@@ -125,3 +125,36 @@ def test_bootstrap_covers_all_pairs_in_full():
     from rankfold.plans import comparison as P
 
     assert (len(P.PAIRS), P.REPLICATES, P.INTERVAL_REPLICATES, set(P.FAMILIES.values())) == (6, 2000, 200, {"A", "B"})
+
+
+def test_digests_worked_out_together_are_md5():
+    """Ids of all lengths, also those that fill an md5 block or go beyond it, and blocks of one to three digits."""
+    from hashlib import md5
+
+    ids = [b"", b"7", "é".encode(), *[b"x" * n for n in (46, 47, 48, 49, 50, 55, 56, 64, 130)]]
+    limits = weight_limits()
+    got = draw_weights(ids, range(60, 820), 42)
+    for row, i in zip(got, ids):
+        for rep in (60, 79, 80, 500, 799, 800, 819):
+            digest = md5(f"42:{rep // 8}:".encode() + i).digest()
+            number = int.from_bytes(digest[2 * (rep % 8):2 * (rep % 8) + 2], "big")
+            assert row[rep - 60] == sum(number >= limit for limit in limits)
+
+
+def test_few_scores_are_drawn_once_and_give_the_same_replicates(spark, scores, monkeypatch):
+    """Models of few scores are summed by score, others by order; nulls of a score, a label or an id take no part."""
+    from rankfold.operators import counterboot
+    from pyspark.sql import functions as F
+
+    df, _ = scores
+    df = df.withColumn("a", F.expr("CASE WHEN id LIKE '%7' THEN NULL ELSE a END")).withColumn("y", F.expr("CASE WHEN id = 'r3' THEN NULL ELSE y END"))
+    cut = {"a": 0.45, "b": 0.2, "c": 0.5}
+    assert set(counterboot._few_scores(df, list(cut), 500)) == {"a", "c"}
+    monkeypatch.setattr(counterboot, "TASK_ROWS", 700)
+    monkeypatch.setattr(counterboot, "CHUNK_ROWS", 300)
+    monkeypatch.setattr(counterboot, "FULL_ROWS", 500)
+    key = lambda r: (r["rep"], r["model"])
+    summed, ordered = (sorted(counter_replicates(df, cut, 21, seed=7, max_cells=most).collect(), key=key) for most in (500, 0))
+    assert [key(r) for r in summed] == [key(r) for r in ordered] and len(summed) == 63
+    for m in ("roc_auc", "average_precision", "f1"):
+        assert [r[m] for r in summed] == pytest.approx([r[m] for r in ordered], abs=1e-12)
