@@ -193,3 +193,70 @@ def test_certificates_tell_the_optimum_from_other_points(data):
         stated = test.select("id", (m if model is svm else 1 / (1 + F.exp(-m))).alias("again"))
         both = L.score(model, test, column).join(stated, "id")
         assert both.filter("abs(score - again) > 1e-9").count() == 0
+
+
+def _vectors(spark, n=600):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rows = spark.range(n).select(F.col("id").cast("string").alias("id"), (F.col("id") * 7919 % 1000 / 1000).alias("a"), (F.col("id") * 104729 % 997 / 997).alias("b"))
+    x = array_to_vector(F.array("a", "b", F.col("a") * F.col("b")))
+    return rows.select("id", ((F.col("a") + F.col("b") * F.col("b")) > 0.9).cast("int").alias("default"), (F.col("id") % 3).cast("int").alias("fold"),
+                       x.alias("features"), x.alias("features_sc")).coalesce(2).cache()
+
+
+def test_fewer_rounds_are_the_beginning_of_more(spark, monkeypatch):
+    """Grid points that differ in rounds only share a fit a fold; their figures are those of fits of their own."""
+    from pyspark.ml.classification import GBTClassifier
+    from rankfold.operators import models, search
+
+    train = _vectors(spark)
+    spec = models.model_specs(boost_rounds=[3, 6], boost_depths=[2, 3])["GB"]
+    assert sorted(map(sorted, search.families(spec.estimator, spec.grid).values())) == [[0, 2], [1, 3]]
+    fits, fit = [], GBTClassifier._fit_java
+    monkeypatch.setattr(GBTClassifier, "_fit_java", lambda self, rows: fits.append(self.getMaxIter()) or fit(self, rows))
+    judge = models.evaluator("probability")
+    found = search.fold_search(spec, train, judge)
+    assert sorted(fits)[:-1] == [6] * 6 or sorted(fits)[1:] == [6] * 6  # and the refit of the best point
+    for g, point in enumerate(spec.grid):
+        own = [spec.estimator.copy(point).fit(train.filter(f"fold <> {k}")) for k in range(3)]
+        assert found.means[g] == pytest.approx(sum(judge.evaluate(m.transform(train.filter(f"fold = {k}"))) for k, m in enumerate(own)) / 3, abs=1e-12)
+    long = spec.estimator.copy({spec.estimator.maxIter: 6}).fit(train)
+    short = spec.estimator.copy({spec.estimator.maxIter: 3})
+    cut, again = search.first_rounds(long, short), short.fit(train)
+    assert (cut.getNumTrees, cut.treeWeights) == (again.getNumTrees, again.treeWeights) and cut.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
+    assert models.score(cut, train, "probability").exceptAll(models.score(again, train, "probability")).isEmpty()
+
+
+def test_forests_keep_node_ids_and_stay_as_they_were(spark):
+    from rankfold.operators import models
+
+    estimator = models.model_specs()["RF"].estimator
+    assert estimator.getCacheNodeIds()
+    deep = {estimator.maxDepth: 6, estimator.numTrees: 5}
+    train = _vectors(spark)
+    kept, plain = (estimator.copy({**deep, estimator.cacheNodeIds: c}).fit(train) for c in (True, False))
+    assert kept.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
+
+
+def test_a_search_holds_only_what_its_fits_read(spark):
+    from pyspark import StorageLevel
+    from rankfold.operators import models, search
+
+    train, specs = _vectors(spark), models.model_specs()
+    assert search.columns_read(specs["NB"].estimator, train, "fold") == ["default", "fold", "features"]
+    assert search.columns_read(specs["SVM"].estimator, train, "fold") == ["default", "fold", "features_sc"]
+    assert search._level(specs["LR"].estimator) == StorageLevel.MEMORY_ONLY
+
+
+def test_a_session_prepares_its_rows_once(spark, monkeypatch):
+    """The scaled vector follows from the stored one; a second query of the session reads no fingerprint again."""
+    from rankfold.plans import fitting
+
+    sf = "/root/testdata/sf0.001"
+    train, test, fitted, *_, rows = fitting.prepared(spark, sf)
+    assert train.columns[-2:] == ["features", "features_sc"] == test.columns[-2:]
+    stored = spark.read.parquet(fitting.ModelStore(spark).place("prepared", rows, ",".join(fitting.S.FEATURES)) + "/train")
+    assert "features_sc" not in stored.columns
+    monkeypatch.setattr(fitting, "rows_fingerprint", lambda df: 1 / 0)
+    assert fitting.prepared(spark, sf)[0] is train
