@@ -205,7 +205,7 @@ def _vectors(spark, n=600):
                        x.alias("features"), x.alias("features_sc")).coalesce(2).cache()
 
 
-def test_fewer_rounds_are_the_beginning_of_more(spark, monkeypatch):
+def test_fewer_rounds_are_the_beginning_of_more(spark, monkeypatch, tmp_path):
     """Grid points that differ in rounds only share a fit a fold; their figures are those of fits of their own."""
     from pyspark.ml.classification import GBTClassifier
     from rankfold.operators import models, search
@@ -225,7 +225,11 @@ def test_fewer_rounds_are_the_beginning_of_more(spark, monkeypatch):
     short = spec.estimator.copy({spec.estimator.maxIter: 3})
     cut, again = search.first_rounds(long, short), short.fit(train)
     assert (cut.getNumTrees, cut.treeWeights) == (again.getNumTrees, again.treeWeights) and cut.toDebugString.split("\n", 1)[1] == again.toDebugString.split("\n", 1)[1]
-    assert models.score(cut, train, "probability").exceptAll(models.score(again, train, "probability")).isEmpty()
+    cut.write().overwrite().save(f"{tmp_path}/cut")
+    stored = search.ModelStore(spark, str(tmp_path)).load(f"{tmp_path}/cut")
+    assert stored.getNumTrees == 3 and T.node_table(spark, f"{tmp_path}/cut").select("tree").distinct().count() == 3
+    for model in (cut, stored):
+        assert models.score(model, train, "probability").exceptAll(models.score(again, train, "probability")).isEmpty()
 
 
 def test_forests_keep_node_ids_and_stay_as_they_were(spark):
