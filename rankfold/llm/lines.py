@@ -54,28 +54,51 @@ def _places(edits: int, gap: int, i: int) -> range:
     return range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)
 
 
-def _entry(text: Column, n: Column, bucket: Column, edits: int, i: int, target: Column, shift: int, probe: bool, rest: bool) -> Column:
+def _key(bucket: Column, edits: int, target: Column, i: int, piece: Column) -> Column:
+    return F.xxhash64(bucket, F.lit(edits), target, F.lit(i), piece)
+
+
+def _entry(text: Column, n: Column, bucket: Column, edits: int, i: int, target: Column, shift: int, probe: bool) -> Column:
     """A key, and what is left beside the match: text, edits allowed there and by how much it is longer than its partner's."""
     start, size = _segment(target, edits, i)
     at = start + shift
-    key = F.xxhash64(bucket, F.lit(edits), target, F.lit(i), F.substring(text, at + 1, size))
-    fields = [key.alias("key"), F.lit(probe).alias("probe")]
-    if rest:
-        right = edits - i >= i  # go on with the side that may hold more edits
-        left_over = F.substring(text, at + size + 1, n) if right else F.substring(text, F.lit(1), at)
-        gap = (n - at) - (target - start) if right else F.lit(shift)
-        fields += [left_over.alias("text"), F.lit(edits - i if right else i).alias("edits"), gap.cast("int").alias("gap")]
+    key = _key(bucket, edits, target, i, F.substring(text, at + 1, size))
+    right = edits - i >= i  # go on with the side that may hold more edits
+    left_over = F.substring(text, at + size + 1, n) if right else F.substring(text, F.lit(1), at)
+    gap = (n - at) - (target - start) if right else F.lit(shift)
+    fields = [key.alias("key"), F.lit(probe).alias("probe"), left_over.alias("text"), F.lit(edits - i if right else i).alias("edits"),
+              gap.cast("int").alias("gap")]
     # A place outside the text has no key, save the empty segment of an empty text.
     return F.when((at >= 0) & (at + size <= n), F.struct(*fields))
 
 
-def first_keys(lines: DataFrame, threshold: int, rest: bool) -> DataFrame:
-    """Keys of whole lines. A line's own segments serve as probe at shift 0 too, unless `rest` asks for both apart."""
+def whole_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """Keys of whole lines, `(h, key, probe)`: own segments first, which serve as probe at shift 0 too, then all other places.
+
+    Where segments lie is worked out once, in columns of their own: as parts of the keys these expressions made a method of
+    more than 8,000 bytes, which the JVM never compiles.
+    """
+    text, n, none, bounds, own, probes = F.col("line"), F.col("_n"), F.lit(0).cast("long"), {}, [], []
+    for gap in range(threshold + 1):
+        for i in range(threshold + 1):
+            start, size = F.col(f"_start_{gap}_{i}"), F.col(f"_size_{gap}_{i}")
+            bounds[f"_start_{gap}_{i}"], bounds[f"_size_{gap}_{i}"] = _segment(n - gap, threshold, i)
+            for shift in _places(threshold, gap, i):
+                at = start + shift
+                key = F.when((at >= 0) & (at + size <= n), _key(none, threshold, n - gap, i, F.substring(text, at + 1, size)))
+                (probes if gap or shift else own).append(key)
+    placed = lines.withColumn("_n", F.length("line")).withColumns(bounds)
+    keys = placed.select("h", F.posexplode(F.array(*own, *probes)).alias("_place", "key")).filter("key is not null")
+    return keys.select("h", "key", (F.col("_place") >= len(own)).alias("probe"))
+
+
+def first_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """Keys of whole lines, own segments and probes apart, with what is left beside them."""
     text, n, none = F.col("line"), F.col("_n"), F.lit(0).cast("long")
-    entries = [_entry(text, n, none, threshold, i, n, 0, False, rest) for i in range(threshold + 1)]
+    entries = [_entry(text, n, none, threshold, i, n, 0, False) for i in range(threshold + 1)]
     for gap in range(threshold + 1):
         for i in range(threshold + 1):
-            entries += [_entry(text, n, none, threshold, i, n - gap, s, True, rest) for s in _places(threshold, gap, i) if rest or gap or s]
+            entries += [_entry(text, n, none, threshold, i, n - gap, s, True) for s in _places(threshold, gap, i)]
     return lines.withColumn("_n", F.length("line")).select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
 
@@ -86,9 +109,9 @@ def next_keys(rows: DataFrame, threshold: int) -> DataFrame:
     for edits in range(threshold + 1):
         for i in range(edits + 1):
             mine = F.col("edits") == edits
-            entries.append(F.when(mine & ~F.col("probe"), _entry(text, n, F.col("key"), edits, i, n, 0, False, True)))
+            entries.append(F.when(mine & ~F.col("probe"), _entry(text, n, F.col("key"), edits, i, n, 0, False)))
             for gap in range(-edits, edits + 1):
-                entries += [F.when(mine & F.col("probe") & (F.col("gap") == gap), _entry(text, n, F.col("key"), edits, i, n - gap, s, True, True))
+                entries += [F.when(mine & F.col("probe") & (F.col("gap") == gap), _entry(text, n, F.col("key"), edits, i, n - gap, s, True))
                             for s in _places(edits, gap, i)]
     return rows.withColumn("_n", F.length("text")).select("h", F.explode(F.array(*entries)).alias("e")).filter("e is not null").select("h", "e.*")
 
@@ -113,7 +136,7 @@ def _pairs(live: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """Distinct pairs of line hashes `(a, b)` with a common key that isn't crowded."""
-    keys = first_keys(lines, threshold, False)
+    keys = whole_keys(lines, threshold)
     live = materialize(_among(keys, materialize(_shared(keys)), "key").distinct())
     crowd = materialize(live.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("key"))
     found = _pairs(live.join(crowd, "key", "left_anti"))
@@ -121,7 +144,7 @@ def candidates(lines: DataFrame, threshold: int) -> DataFrame:
         return found
     members = live.join(crowd, "key", "left_semi").select("h").distinct()
     texts = _among(lines.select("h", "line"), materialize(members), "h").distinct()
-    rows = materialize(_among(first_keys(texts, threshold, True), crowd, "key").distinct())
+    rows = materialize(_among(first_keys(texts, threshold), crowd, "key").distinct())
     for level in range(LEVELS):
         rows = materialize(next_keys(rows, threshold).distinct())
         rows = materialize(rows.join(_shared(rows), "key", "left_semi"))
