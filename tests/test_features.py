@@ -88,6 +88,18 @@ def test_prepare_learns_on_training_rows_only(spark):
     assert (train.count(), test.count(), kept.count()) == (320, 80, 2)
 
 
+def test_each_side_is_picked_before_it_is_transformed(spark):
+    """The indexer's functions count as nondeterministic, so a filter after them had all rows transformed for either side."""
+    from rankfold.operators.split import make_split
+
+    df = spark.range(40).select(F.col("id").cast("string").alias("id"), (F.col("id") % 4 == 0).cast("int").alias("default"),
+                                F.col("id").cast("double").alias("x"), F.lit("a").alias("kind"))
+    train, test, *_ = X.prepare(df, make_split(df), ["x"], ["kind"])
+    for side, rows in (("train", train), ("test", test)):
+        assert f"EqualTo(split,{side})" in rows._jdf.queryExecution().executedPlan().toString()
+    assert train.columns == ["id", "default", "rank", "fold", "features", "features_sc"] and test.columns == ["id", "default", "rank", "features", "features_sc"]
+
+
 def test_join_check_counts_repeats(spark):
     a = spark.createDataFrame([("1",), ("2",), ("2",)], "id string")
     b = spark.createDataFrame([("2",), ("3",)], "id string")
