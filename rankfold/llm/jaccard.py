@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rankfold.llm.common import materialize, rows_per_batch
+from rankfold.llm.common import materialize, rows_per_batch, told
 from rankfold.llm.components import connected_components
 from rankfold.llm.words import blocks, mix, shingles
 
@@ -165,31 +165,38 @@ def _linked(row: DataFrame) -> DataFrame:
     return row.filter(f"{WHOLE} * common >= {PART} * (na + nb - common)")
 
 
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs `(a, b)` of representatives to be compared: `a` has the smallest id of those that share a minimum with `b`.
+
+    The minima of all orders are rows of one table, so one aggregation and one join serve them all: a query for each order
+    would have the driver keep as many times the tasks, broadcasts and generated code.
+    """
+    minima, same = [f"m{i}" for i in range(HASHES)], ["_order", "_minimum"]
+    hot_size = nodes.count() * HOT_SHARE
+    rows = nodes.select("rep", "n", *minima, F.posexplode(F.array(*minima)).alias(*same))
+    first = rows.groupBy(*same).agg(F.min(F.struct("rep", "n", *minima)).alias("f"), F.max("rep").alias("last"), F.count("*").alias("sets"))
+    first = materialize(first.filter("last > f.rep"))
+    agree = sum((F.col(x) == F.col(f"f.{x}")).cast("int") for x in minima)
+    like = (WHOLE * F.least("n", "f.n") >= PART * F.greatest("n", "f.n")) & (agree >= 2) & (F.col("f.rep") < F.col("rep"))
+    # A minimum of very many sets: they stay where they are. At most HASHES / HOT_SHARE rows are broadcast.
+    hot = F.broadcast(first.filter(F.col("sets") > hot_size))
+    others = rows.join(hot.select(*same), same, "left_anti").join(first.filter(F.col("sets") <= hot_size), same)
+    met = [m.filter(like).select(F.col("f.rep").alias("a"), F.col("rep").alias("b")) for m in (rows.join(hot, same), others)]
+    return met[0].union(met[1]).distinct()
+
+
 def _trees(nodes: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """`(rep, n, root, gained)` of every representative, and the verified links `(a, b)` that made the trees.
 
     Only meetings of like size that agree in two minima are compared; the index finds what this leaves out.
     """
-    minima = [f"m{i}" for i in range(HASHES)]
-    hot_size, meetings = nodes.count() * HOT_SHARE, None
-    for m in minima:
-        first = nodes.groupBy(m).agg(F.min(F.struct("rep", "n", *minima)).alias("f"), F.max("rep").alias("last"), F.count("*").alias("sets"))
-        first = materialize(first.filter("last > f.rep").withColumnRenamed(m, "_m"))
-        agree = sum((F.col(x) == F.col(f"f.{x}")).cast("int") for x in minima)
-        like = (WHOLE * F.least("n", "f.n") >= PART * F.greatest("n", "f.n")) & (agree >= 2) & (F.col("f.rep") < F.col("rep"))
-        # A minimum of very many sets: they stay where they are. At most 1 / HOT_SHARE rows are broadcast.
-        hot, same = F.broadcast(first.filter(F.col("sets") > hot_size)), F.col(m) == F.col("_m")
-        others = nodes.join(hot.select("_m"), same, "left_anti").join(first.filter(F.col("sets") <= hot_size), same)
-        for met in (nodes.join(hot, same), others):
-            met = met.filter(like).select(F.col("f.rep").alias("a"), F.col("rep").alias("b"))
-            meetings = met if meetings is None else meetings.union(met)
-    links = materialize(_linked(overlaps(docs, materialize(meetings.distinct()), k)))
+    links = materialize(_linked(overlaps(docs, materialize(_meetings(nodes)), k)))
     best = F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"), (-F.col("a")).alias("low")))
     parents = links.groupBy(F.col("b").alias("rep")).agg(best.alias("p")).select("rep", (-F.col("p.low")).alias("root"))
     tree = materialize(nodes.select("rep", "n").distinct().join(parents, "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("root")))
     while True:  # parents have smaller ids, so jumping ends at roots
         up = tree.filter("root <> rep").select(F.col("rep").alias("at"), F.col("root").alias("next"))
-        moved = materialize(tree.join(up, F.col("root") == F.col("at"), "left").select(
+        moved = materialize(tree.join(told(up)(up), F.col("root") == F.col("at"), "left").select(
             "rep", "n", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("changed")))
         tree = moved.drop("changed")
         if not moved.filter("changed").limit(1).count():

@@ -129,7 +129,7 @@ class CompressionClassifier:
 
 
 def _sample(texts: DataFrame) -> list[bytes]:
-    """At most PIECES pieces of the texts, by hash."""
+    """At most PIECES pieces of the texts, by hash. A task puts the first ones together, and only these reach the driver, once."""
 
     def cut(batches):
         for batch in batches:
@@ -137,7 +137,7 @@ def _sample(texts: DataFrame) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["piece"])
 
     pieces = texts.select("text").mapInArrow(cut, "piece binary")
-    return [bytes(r[0]) for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()]
+    return pieces.orderBy(F.xxhash64("piece"), "piece").limit(PIECES).toArrow().column(0).to_pylist()
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

@@ -484,3 +484,68 @@ def test_different_texts_of_a_leading_id_stay(spark):
     texts = [prose(20, 1), prose(20, 2), prose(20, 1), prose(20, 3)]
     got = jaccard.keep_one(documents(spark, texts, ids=[1, 1, 1, 4])).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted({(1, texts[0]), (1, texts[1]), (4, texts[3])})
+
+
+def test_minima_of_all_orders_meet_in_one_query(spark, monkeypatch):
+    """One query an order, and a union of two joins for each of them, made the driver of a run keep too much."""
+    exchanges, stored = [], jaccard.materialize
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return stored(df)
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.2)  # some minima are met by the broadcast, others by the shuffle
+    texts = [prose(40, 1)] * 3 + [edited(prose(40, 1), 1, s) for s in range(9)] + [prose(40, s) for s in (2, 3)] + [edited(prose(60, s), 1, s) for s in (4, 4, 5)] + EDGE_TEXTS
+    df = documents(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(df).collect()}
+    assert got == plain_components(list(enumerate(texts)))
+    assert max(exchanges) <= 12
+
+
+def test_meetings_are_those_of_each_order(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 0.1)
+    rng = random.Random(7)
+    rows = [(rep, rng.choice([8, 9, 10, 30]), *(rng.choice([rep % 5, 77, 1000 + rng.randrange(12)]) for _ in range(jaccard.HASHES))) for rep in range(60)]
+    rows.append((3, 9, *rows[3][2:]))  # an id with two texts
+    want = set()
+    for m in range(2, 2 + jaccard.HASHES):
+        for b in rows:
+            a = min(r for r in rows if r[m] == b[m])
+            if a[0] < b[0] and 4 * min(a[1], b[1]) >= 3 * max(a[1], b[1]) and sum(x == y for x, y in zip(a[2:], b[2:])) >= 2:
+                want.add((a[0], b[0]))
+    nodes = spark.createDataFrame(rows, "rep long, n long, " + ", ".join(f"m{i} long" for i in range(jaccard.HASHES)))
+    assert sorted(map(tuple, jaccard._meetings(nodes).collect())) == sorted(want) and want
+
+
+def test_pieces_are_put_together_by_a_task(spark, monkeypatch):
+    """`collect` of an ordered limit has every task send its own first pieces to the driver, as many as are asked for."""
+    monkeypatch.setattr(quality, "PIECES", 5)
+    df = spark.createDataFrame([(prose(9, s),) for s in range(6)] + [(None,), ("",), (prose(9, 1),)], "text string").repartition(3)
+    pieces = df.filter("text <> ''").select(F.col("text").cast("binary").alias("piece"))  # none is longer than a piece
+    want = [bytes(r[0]) for r in pieces.orderBy(F.xxhash64("piece"), "piece").collect()][:5]
+
+    def refuse(self):
+        raise AssertionError("rows collected by the driver")
+
+    monkeypatch.setattr(type(df), "collect", refuse)
+    assert quality._sample(df) == want
+
+
+def test_few_labels_are_not_shuffled(spark, monkeypatch):
+    """A round with few labels has the one exchange of its aggregation; with many labels it gives the same."""
+    from rankfold.llm import common, components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(30) if i % 10 != 9] + [(50, 3), (7, 7), (None, 1), (4, None)], "a long, b long")
+    want = sorted([(n, 10 * (n // 10)) for n in range(30)] + [(50, 0)])
+    shuffles, stored = [], components.materialize
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return stored(df)
+
+    monkeypatch.setattr(components, "materialize", counted)
+    assert sorted(map(tuple, components.connected_components(links).collect())) == want
+    assert max(shuffles) == 1
+    monkeypatch.setattr(common, "TOLD_ROWS", 0)
+    assert sorted(map(tuple, components.connected_components(links).collect())) == want
