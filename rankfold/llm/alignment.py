@@ -1,7 +1,7 @@
 """Alignment of two tokenizers: where tokens of both end at the same byte, the text is cut into groups, and groups give links.
 
 A text goes through a byte-level BPE (A, with a space put before it) and a sentence-piece model (B, which puts that space
-itself). Either side's cumulative token ends go into a dictionary from end to index; the ends that both dictionaries hold,
+itself). The bytes at which tokens of one side end are marked; the other side's ends that meet a mark,
 in order, slice both id lists into groups. Within a group every A token is linked with every B token.
 
 Links of the whole corpus are counted by document. A text then asks how often its pairs are linked elsewhere: pairs that
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -37,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LATIN_END = "\u0250"
 #: A group of more links than this is counted by distinct ids.
 GROUP_LINKS = 1 << 16
+#: Texts of about this many characters, or one longer text, go through a step together.
+SLICE_CHARS = 1 << 20
 
 ALIGNED = "n_a int, n_b int, n_groups int, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
 
@@ -89,18 +92,27 @@ class Encoders:
     def first(self, text: str) -> np.ndarray:
         """Ids of a space and the text, none if they don't spell it. Ranks always do: all bytes are among them."""
         if self._fast is not None and (text.isascii() or max(text) < LATIN_END):
-            return self._fast.encode_to_numpy(" " + text).astype(np.int64)
+            return np.array(self._fast.encode_ordinary(" " + text), dtype=np.int64)
         ids = self._a.encode(" " + text, add_special_tokens=False).ids
         return np.array(ids if b"".join(map(self.bytes_a.__getitem__, ids)) == b" " + text.encode() else [], dtype=np.int64)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of either side; both empty where they don't spell the text."""
+        (a,), (b,) = self.encode_all([text])
+        return a, b
+
+    def encode_all(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of either side of each text. One side goes after the other: taking turns, each would drive the other's vocabulary out of the cache."""
         none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        a, b = self.first(text), self._b.encode(text)
-        same = len(a) and b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode()
-        return (a, np.array(b, dtype=np.int64)) if same else (none, none)
+        a = [self.first(text) if text else none for text in texts]
+        b = [none] * len(texts)
+        for i, text in enumerate(texts):
+            ids = self._b.encode(text) if len(a[i]) else []
+            if ids and b"".join(map(self.bytes_b.__getitem__, ids)) == b" " + text.encode():
+                b[i] = np.array(ids, dtype=np.int64)
+            else:
+                a[i] = none
+        return a, b
 
 
 def read_encoders(folder: str = TOKENIZERS) -> tuple[str, bytes]:
@@ -112,9 +124,13 @@ def read_encoders(folder: str = TOKENIZERS) -> tuple[str, bytes]:
 
 def group_cuts(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index in either list after which each group ends."""
-    at_a, at_b = (dict(zip(np.cumsum(size[ids]).tolist(), range(1, len(ids) + 1))) for ids, size in ((a, size_a), (b, size_b)))
-    shared = list(filter(at_b.__contains__, at_a))  # the common keys; ends rise, so they are in order
-    return tuple(np.fromiter(map(at.__getitem__, shared), dtype=np.int64, count=len(shared)) for at in (at_a, at_b))
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    here = np.zeros(max(ends_a.max(initial=0), ends_b.max(initial=0)) + 1, dtype=bool)
+    here[ends_a] = True
+    shared = ends_b[here[ends_b]]
+    if len(shared):  # tokens without bytes repeat an end; the last one closes the group
+        shared = shared[np.r_[shared[1:] != shared[:-1], True]]
+    return np.searchsorted(ends_a, shared, side="right"), np.searchsorted(ends_b, shared, side="right")
 
 
 class GroupNames:
@@ -173,49 +189,12 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in spelled], dtype=np.int64) for spelled in (encoders.bytes_a, encoders.bytes_b)]
         self.names = GroupNames(*map(len, self.sizes))
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """`(n_a, n_b, n_groups, groups, pairs, times)`."""
-        a, b = self.encoders.encode(text or "")
-        cuts = group_cuts(a, b, *self.sizes)
-        return len(a), len(b), len(cuts[0]), self.names.render(a, b, *cuts), *linked_pairs(a, b, *cuts)
-
-
-@lru_cache(maxsize=1)
-def _aligner(byte_model: str, piece_model: bytes) -> Aligner:
-    """One for all tasks of a worker process."""
-    return Aligner(Encoders(byte_model, piece_model))
-
-
-def align(self, texts: list[str | None]) -> list[tuple]:
-        """`(n_a, n_b, n_groups, n_links, groups, pairs, times)` of each text."""
-        split = [self.encoders.units(text) if text else [] for text in texts]
-        asked = set().union(*split)
-        if len(self.young) > MEMORY:
-            self.young, self.old = {}, self.young
-        fresh = []
-        for unit in asked:
-            if unit not in self.young:
-                if unit in self.old:
-                    self.young[unit] = self.old[unit]
-                else:
-                    fresh.append(unit)
-        self.learn(fresh)
-        out, none = [], np.zeros(0, np.int64)
-        for units in split:
-            n_a, n_b, n_groups, groups, links = zip(*map(self.young.__getitem__, units)) if units else ((), (), (), (None,), ())
-            if None in groups:
-                out.append((0, 0, 0, 0, "", none, none))
-                continue
-            pairs, times = np.unique(np.frombuffer(b"".join(links), dtype=np.int64), return_counts=True)
-            more = [self.large[u] for u in units if u in self.large] if self.large else []
-            if more:
-                pairs, back = np.unique(np.concatenate([pairs, *(p for p, _ in more)]), return_inverse=True)
-                times = np.bincount(back, weights=np.concatenate([times, *(t for _, t in more)])).astype(np.int64)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), ";".join(groups), pairs, times))
-        for unit in [u for u in asked if len(u) > LONG_UNIT]:  # rare and large
-            del self.young[unit]
-            self.large.pop(unit, None)
-        return out
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """`(n_a, n_b, n_groups, groups, pairs, times)` of each text."""
+        a, b = self.encoders.encode_all(texts)
+        cuts = [group_cuts(*ids, *self.sizes) for ids in zip(a, b)]
+        names = [self.names.render(*ids, *at) for *ids, at in zip(a, b, cuts)]
+        return [(len(x), len(y), len(at[0]), name, *linked_pairs(x, y, *at)) for x, y, at, name in zip(a, b, cuts, names)]
 
 
 @lru_cache(maxsize=1)
@@ -250,12 +229,12 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         aligner = _aligner(*models)
         for batch in batches:
             rows, drawn, pairs, times = [], [], [], []
-            for text in batch.column(1):
-                n_a, n_b, n_groups, text, pair, of = aligner.align(text.as_py())
-                rows.append((n_a, n_b, n_groups, int(of.sum()), hashlib.sha256(text.encode()).hexdigest() if n_a else ""))
-                drawn.append(text if groups else None)
-                pairs.append(pair)
-                times.append(of)
+            for part in _slices(batch.column(1).to_pylist()):
+                for n_a, n_b, n_groups, text, pair, of in aligner.align(part):
+                    rows.append((n_a, n_b, n_groups, int(of.sum()), hashlib.sha256(text.encode()).hexdigest() if n_a else ""))
+                    drawn.append(text if groups else None)
+                    pairs.append(pair)
+                    times.append(of)
             limits = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
             pair, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs, times))
             lists = [pa.ListArray.from_arrays(limits, pa.array(x.astype(np.int32))) for x in (pair >> 32, pair & 0xFFFFFFFF, of)]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from functools import lru_cache
 from pathlib import Path
@@ -207,6 +208,39 @@ def test_ranks_equal_the_merges_they_stand_for():
     assert all(encoders.first(t).tolist() == encoders._a.encode(" " + t, add_special_tokens=False).ids for t in texts)
 
 
+def test_cuts_equal_those_of_dictionaries_and_take_less_time():
+    def plain(a, b, size_a, size_b):
+        at_a, at_b = ({int(end): i + 1 for i, end in enumerate(np.cumsum(size[ids]))} for ids, size in ((a, size_a), (b, size_b)))
+        shared = [end for end in at_a if end in at_b]
+        return [at_a[end] for end in shared], [at_b[end] for end in shared]
+
+    rng = np.random.default_rng(4)
+    for least in (0, 1):  # also tokens without bytes, and lists that end apart
+        for _ in range(500):
+            sizes = rng.integers(least, 4, 8), rng.integers(least, 5, 8)
+            ids = rng.integers(0, 8, rng.integers(0, 12)), rng.integers(0, 8, rng.integers(0, 12))
+            assert tuple(x.tolist() for x in alignment.group_cuts(*ids, *sizes)) == plain(*ids, *sizes)
+    ids, sizes = (rng.integers(0, 8, 300_000), rng.integers(0, 8, 300_000)), (np.arange(1, 9), np.arange(1, 9))
+    took = []
+    for cuts in (alignment.group_cuts, plain):
+        start = time.process_time()
+        cuts(*ids, *sizes)
+        took.append(time.process_time() - start)
+    assert 2 * took[0] < took[1]
+
+
+@needs_models
+def test_slices_of_texts_align_as_single_ones(monkeypatch):
+    texts = [*EDGE_TEXTS, None, "", "日本語", "ﬁ ² ①", *[prose(n, n) for n in (1, 30, 200)], "naïve x"]
+    aligner = alignment.Aligner(alignment.Encoders(*alignment.read_encoders()))
+    plain = [(r[:4], r[4].tolist(), r[5].tolist()) for t in texts for r in aligner.align([t])]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(alignment, "SLICE_CHARS", size)
+        slices = list(alignment._slices(texts))
+        assert [t for part in slices for t in part] == texts and (size < 1000) == (len(slices) > 1)
+        assert [(r[:4], r[4].tolist(), r[5].tolist()) for part in slices for r in aligner.align(part)] == plain
+
+
 @needs_models
 def test_alignment_report_of_repeats_and_nothing(spark):
     df = documents(spark, ["one two", "one two", None], [7, 7, 8])
