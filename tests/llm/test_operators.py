@@ -6,9 +6,10 @@ import random
 import re
 import string
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EDGE_TEXTS, distance, edited, prose, shingle_list, words
 from pyspark.sql import functions as F
@@ -360,6 +361,46 @@ def test_contexts_of_a_small_share_count(spark, monkeypatch):
     assert found[0] == pytest.approx(found[1]) and found[0][0] > -8
 
 
+def test_a_task_counts_its_keys_once(monkeypatch):
+    """Batches of a task share their counts, and texts to be scored share rows with those that are learnt from."""
+    texts, learnt = [*[prose(40, s) for s in range(30)], None, "", "a", "ab abc"] * 2, [True, True, False] * 22 + [True, False]
+    whole = pa.record_batch([pa.array(texts, pa.string()), pa.array(learnt)], names=["text", "learnt"])
+
+    def counted(held):
+        monkeypatch.setattr(suffixtree, "HELD", held)
+        rows, found = 0, defaultdict(lambda: [0, 0])
+        for batch in suffixtree.count_batches(whole.slice(i, 10) for i in range(0, len(texts), 10)):
+            rows += batch.num_rows
+            for r in batch.to_pylist():
+                found[r["kind"], r["key"]][0] += r["n"]
+                found[r["kind"], r["key"]][1] += r["m"]
+        return rows, found
+
+    want = defaultdict(lambda: [0, 0])
+    for text, used in zip(texts, learnt):
+        context, symbols = [11], [b + 1 for b in (" ".join(words(text)) + "\n").encode()]
+        for b in symbols:
+            run = [*context, b][-suffixtree.DEPTH - 1:]
+            n = want[0, sum(c << (9 * j) for j, c in enumerate(reversed(run)))]
+            n[0] += used
+            n[1] += 1
+            context.append(b)
+    for held in (1 << 21, 1):
+        rows, found = counted(held)
+        assert {k: v for k, v in found.items() if k[0] == 0} == want and found[2, 0] == [sum(learnt)] * 2
+        assert sum(v[0] for k, v in found.items() if k[0] == 1) == sum(len(words(t)) for t, used in zip(texts, learnt) if used)
+        assert (rows == len(found)) == (held > 1)
+
+
+def test_rare_keys_are_joined_by_one_column(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "WORD_SHARE", 0.02)
+    monkeypatch.setattr(suffixtree, "GRAM_SHARE", 0.02)
+    scored = suffixtree.score_documents(documents(spark, [prose(20, s) for s in range(30)]))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 4 and not any(" AND " in line for line in joins)
+
+
 def test_scores_without_training_text(spark):
     rows = suffixtree.score_texts(documents(spark, ["ab", None]), documents(spark, []), keep=("doc_id",)).orderBy("doc_id").collect()
     assert rows[0]["score"] == pytest.approx(-3 * math.log10(256)) and rows[1]["score"] == pytest.approx(-math.log10(256))
