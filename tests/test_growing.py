@@ -121,3 +121,13 @@ def test_what_growing_lacks_is_left_to_spark(rows):
                     forest.copy({forest.minInstancesPerNode: 3})):
         assert not G.suits(changed, specs["RF"].grid, rows)
     assert not G.suits(forest, [{forest.minInfoGain: 0.1}], rows) and not search.grows_here(forest, specs["RF"].grid, rows)
+
+
+def test_held_partitions_do_not_grow_with_the_table(spark):
+    """More rows than cores can hold in large partitions make more of them."""
+    cores = spark.sparkContext.defaultParallelism
+    held, _ = search.compact(spark.range(0, 80 * cores * 50, numPartitions=80 * cores), rows_per_partition=10)
+    try:
+        assert max(held.rdd.glom().map(len).collect()) <= 150 and held.rdd.getNumPartitions() == 40 * cores
+    finally:
+        held.unpersist()
